@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, quality
+from tidemark.llm import langid, neardup, quality
 from tidemark.llm.common import held_out, table
 
 
@@ -22,9 +22,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, "doc_id").select("doc_id", held_out(3).alias("held_out"), "lang_pred", "score")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), neardup.Config(width=2))
+
+
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_language_id": op4_language_id,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}

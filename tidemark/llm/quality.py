@@ -43,10 +43,19 @@ class Model:
     config: Config
 
 
+#: What a repeated word hashes to: the n-gram "a word, itself again" and "a word, another, the first again" of any words.
+_AGAIN = (K.U64(0x3C6EF372FE94F82B), K.U64(0xA54FF53A5F1D36F1))
+
+
 def _grams(h: np.ndarray, counts: np.ndarray, width: int, bits: int):
-    """(bucket of each n-gram, its row), for all orders."""
+    """(bucket of each n-gram, its row), for all orders. Immediate repeats of a word also count as
+    an n-gram of back-references, the same for all words, else unseen words that repeat stay unseen."""
     rows, out, own = K.row_of(counts), [h], []
     own.append(rows)
+    for k, code in enumerate(_AGAIN, 1):
+        again = np.flatnonzero((h[:-k] == h[k:]) & (rows[:-k] == rows[k:]))
+        out.append(np.full(len(again), code))
+        own.append(rows[:-k][again])
     g = h
     for k in range(1, width):
         if len(h) <= k:
