@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, neardup, packing, quality, substring
+from tidemark.llm import langid, neardup, packing, quality, substring, suffixtree
 from tidemark.llm.common import held_out, table
 
 
@@ -36,12 +36,18 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"), neardup.Config(width=2))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = suffixtree.score(table(spark, sf_dir, "documents"), ~held_out(5))
+    return scored.select("doc_id", held_out(5).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {}
