@@ -11,7 +11,9 @@
    the signature; pairs are confirmed on full shingle sets, and components are labelled by
    alternating minimum joins with checkpoints.
 5. Buckets that then still hold several components get the rest: every class outside the
-   bucket's largest component against every class of another component, again confirmed. So no
+   bucket's largest component against every class of another component. A bound that no similar
+   pair exceeds (the parity bits of two sets differ in at most as many places as the sets in
+   elements) drops pairs before they are formed; the others are confirmed on full sets. So no
    link between components is lost, and no pair inside a component is spelled out.
 
 Defined cases: null, empty and white-space texts have an empty set, n_shingles 0, and are linked
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,10 @@ from tidemark.llm import kernels as K
 from tidemark.llm.common import checkpoint
 
 
+#: 64-bit words of the parity bits of a set.
+ODD = 16
+
+
 @dataclass(frozen=True)
 class Config:
     width: int = 5  # words in a shingle
@@ -125,6 +132,16 @@ def sketch(docs: DataFrame, config: Config) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
+def odd_bits(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * ODD cells: whether it holds an odd number of the set's elements.
+
+    Two sets differ in at least as many elements as their bits differ in places."""
+    cells = 64 * ODD
+    at = K.row_of(counts) * cells + (K.mix(s) >> K.U64(64 - cells.bit_length() + 1)).astype(np.int64)
+    bits = np.bincount(at, minlength=len(counts) * cells).astype(np.uint8) & 1
+    return np.packbits(bits.reshape(len(counts), cells), axis=1, bitorder="little").view("<i8")
+
+
 def set_bytes(docs: DataFrame, config: Config) -> DataFrame:
     """doc_id and the sorted shingle set of every row, as little-endian 64-bit numbers."""
 
@@ -132,12 +149,16 @@ def set_bytes(docs: DataFrame, config: Config) -> DataFrame:
         for batch in batches:
             raw, offsets, _ = K.buffers(batch.column("text"))
             sets: list = []
-            for _, _, s, n in shingle_sets(raw, offsets, config.width):
+            odd: list = []
+            for i, j, s, n in shingle_sets(raw, offsets, config.width):
                 ends = np.cumsum(n)
                 sets += [s[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "members"])
+                for lo in range(0, j - i, 4096):
+                    hi = min(j - i, lo + 4096)
+                    odd += list(odd_bits(s[ends[lo] - n[lo] : ends[hi - 1]], n[lo:hi]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary()), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "members", "odd"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, members binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, members binary, odd array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, config: Config) -> DataFrame:
@@ -209,9 +230,14 @@ def groups(docs: DataFrame, config: Config = Config()) -> DataFrame:
     placed = checkpoint(placed)
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
     most = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.component").alias("main"))
-    split = checkpoint(placed.hint("merge").join(checkpoint(most).hint("merge"), "bucket"))
-    minor = split.where(F.col("component") != F.col("main")).select("bucket", F.col("node").alias("a"), F.col("n").alias("m"), F.col("component").alias("apart"))
-    rest = split.hint("merge").join(minor.hint("merge"), "bucket").where((F.col("component") != F.col("apart")) & alike)
+    split = placed.hint("merge").join(checkpoint(most).hint("merge"), "bucket")
+    # similar sets of n and m elements differ in at most (n + m) * (100 - percent) / (100 + percent) elements, hence in no more parity bits
+    bits = sets.select(F.col("doc_id").alias("node"), *[F.col("odd")[k].alias(f"x{k}") for k in range(ODD)])
+    split = checkpoint(split.hint("merge").join(bits.hint("merge"), "node"))
+    minor = split.where(F.col("component") != F.col("main")).select("bucket", F.col("node").alias("a"), F.col("n").alias("m"), F.col("component").alias("apart"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(ODD)])
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(ODD)])
+    close = differ * (100 + config.percent) <= (F.col("n") + F.col("m")) * (100 - config.percent)
+    rest = split.hint("merge").join(minor.hint("merge"), "bucket").where((F.col("component") != F.col("apart")) & alike & close)
     rest = rest.select(*ordered("node", "a")).distinct().join(first, ["u", "v"], "left_anti")
     more = checkpoint(confirm(checkpoint(rest), sets, config))
     if more.take(1):
