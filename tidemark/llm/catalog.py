@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, langid, neardup, packing, quality, substring, suffixtree
+from tidemark.llm import ann, fingerprint, langid, neardup, packing, quality, substring, suffixtree
 from tidemark.llm.common import held_out, table
 
 
@@ -42,6 +42,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"), neardup.Config(width=2))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = suffixtree.score(table(spark, sf_dir, "documents"), ~held_out(5))
     return scored.select("doc_id", held_out(5).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -54,6 +58,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op10_lm_scoring": op10_lm_scoring,
 }
 
