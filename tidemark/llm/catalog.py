@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, fingerprint, langid, neardup, packing, quality, substring, suffixtree
+from tidemark.llm import ann, fingerprint, langid, licenses, neardup, packing, quality, substring, suffixtree
 from tidemark.llm.common import held_out, table
 
 
@@ -46,6 +46,10 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = suffixtree.score(table(spark, sf_dir, "documents"), ~held_out(5))
     return scored.select("doc_id", held_out(5).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -59,6 +63,7 @@ QUERIES = {
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_license_scans": op9_license_scans,
     "op10_lm_scoring": op10_lm_scoring,
 }
 
