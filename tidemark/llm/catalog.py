@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, fingerprint, langid, licenses, neardup, packing, quality, substring, suffixtree
+from tidemark.llm import ann, fingerprint, langid, licenses, neardup, packing, pieces, quality, substring, suffixtree
 from tidemark.llm.common import held_out, table
 
 
@@ -32,6 +32,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, "doc_id").select("doc_id", held_out(3).alias("held_out"), "lang_pred", "score")
 
 
+def op5_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sample(table(spark, sf_dir, "documents"))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fingerprint.edited(table(spark, sf_dir, "documents"))
     texts = [fingerprint.text_of(F.col(k)).alias(name) for k, name in (("fp", "fingerprint"), ("edited_fp", "edited_fingerprint"))]
@@ -60,6 +64,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
+    "op5_sentencepiece_sampling": op5_sentencepiece_sampling,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_nearest_neighbours": op8_nearest_neighbours,
