@@ -92,7 +92,7 @@ def _ranges(docs: DataFrame, rows: int) -> DataFrame:
     true for a copy of a range's first row at the end of the range before it, in a circle."""
     bounds, nulls = _bounds(docs.select("doc_id"), rows)
     count = len(bounds)
-    last = count - 1 + nulls
+    last = max(0, count - 1 + nulls)
     if not count:
         number, head = F.lit(0), F.lit(True)
     else:
