@@ -1 +1 @@
-"""Versioned key-value analytics on DataFrames."""
+"""Column expressions: key codecs, hashes, names and estimates."""

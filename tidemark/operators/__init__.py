@@ -1 +1 @@
-"""Versioned key-value analytics on DataFrames."""
+"""DataFrame operators over changelogs, snapshots, runs, files and manifests."""

@@ -1 +1 @@
-"""Versioned key-value analytics on DataFrames."""
+"""The registered queries and their SQL."""

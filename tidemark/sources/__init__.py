@@ -1 +1 @@
-"""Versioned key-value analytics on DataFrames."""
+"""Binary logs and manifests: byte formats, and DataFrames of them."""
