@@ -1 +1 @@
-"""Versioned key-value analytics on DataFrames."""
+"""Streaming folds of changelogs (an extension: the batch operators are the reference semantics)."""
