@@ -15,6 +15,7 @@ def lattice():
 
 def test_samples_follow_the_distribution_without_replacement(lattice):
     units = lattice.units("the in ")
+    lattice.learn()
     first, count, log_p = (x.used for x in (lattice.first, lattice.count, lattice.log_p))
     p = {z: math.exp(sum(log_p[list(z)])) for z in itertools.product(*[range(first[i], first[i] + count[i]) for i in units])}
     assert abs(sum(p.values()) - 1) < 1e-9
@@ -34,6 +35,7 @@ def test_samples_follow_the_distribution_without_replacement(lattice):
 
 def test_all_segmentations_where_k_exceeds_them(lattice):
     units = lattice.units("of")
+    lattice.learn()
     n = int(lattice.count.used[units].prod())
     ((out, after),) = top_k(lattice, [units], 1000, [5])
     assert len({tuple(c) for c, _, _ in out}) == len(out) == n and after is None

@@ -66,6 +66,18 @@ def _utf8(character: str) -> bytes:
     return (MARK if character == _OWN_MARK else character).encode()
 
 
+class _Numbers(dict):
+    """Numbers units as they come up; `new` has those without segmentations."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = k = len(self)
+        self.new.append(unit)
+        return k
+
+
 class _Column:
     """An array that grows."""
 
@@ -113,7 +125,7 @@ class Lattice:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
         self.first, self.count = _Column(np.int64), _Column(np.int64)  # of each unit: its first segmentation, how many
         # of each segmentation: log-probability, that of all others, cumulative probability plus the unit's number, end of its pieces
         self.log_p, self.others, self.cumulative, self.end = _Column(), _Column(), _Column(), _Column(np.int64)
@@ -135,53 +147,69 @@ class Lattice:
                 ways[i] += [(w + s, (*own, *rest)) for s, rest in ways[i + 1]]
         return ways[0]
 
-    def learn(self, unit: str) -> int:
-        found = self.segmentations(unit)
-        w = np.array([s for s, _ in found])
-        order = np.argsort(-w, kind="stable")
+    def learn(self) -> None:
+        """The segmentations of all units that have a number but none yet."""
+        new, found = self.index.new, []
+        sizes = np.empty(len(new), np.int64)
+        for k, unit in enumerate(new):
+            own = self.segmentations(unit)
+            sizes[k] = len(own)
+            found += own
+        new.clear()
+        if not len(sizes):
+            return
+        at = self.first.size
+        w, owner, begin = np.array([s for s, _ in found]), K.row_of(sizes), np.cumsum(sizes) - sizes
+        # within a unit the likeliest first
+        order = np.lexsort((-w, owner))
         w = w[order]
-        p = np.exp(w - w[0])
-        total = p.sum()
-        p /= total
-        at = self.index[unit] = self.first.size
-        self.first.add([self.log_p.size])
-        self.count.add([len(p)])
-        self.log_p.add(w - (w[0] + np.log(total)))
-        # by sums, so that nearly certain segmentations leave no rounding residue
-        rest = np.concatenate([p[1:][::-1].cumsum()[::-1], [0.0]]) + np.concatenate([[0.0], p[:-1].cumsum()])
+        p = np.exp(w - w[begin][owner])
+        total = np.add.reduceat(p, begin)
+        p /= total[owner]
+        sums = np.concatenate([[0.0], np.cumsum(p)])
+        upto = np.minimum(sums[1:] - sums[begin][owner], 1.0)
+        self.first.add(self.log_p.size + begin)
+        self.count.add(sizes)
+        self.log_p.add(w - (w[begin] + np.log(total))[owner])
+        # of the likeliest by the sum of the others, so that nearly certain ones leave no rounding residue
+        rest = 1.0 - p
+        top = p.copy()
+        top[begin] = 0.0
+        rest[begin] = np.add.reduceat(top, begin)
+        rest[begin[sizes == 1]] = 0.0
         with np.errstate(divide="ignore"):
-            self.others.add(np.log(rest))
-        self.cumulative.add(np.minimum(p.cumsum(), 1.0) + at)
+            self.others.add(np.log(np.maximum(rest, 0.0)))
+        self.cumulative.add(upto + at + owner)
         listed = [found[k][1] for k in order]
         self.end.add(self.pieces.size + np.cumsum([len(x) for x in listed]))
         self.pieces.add([k for x in listed for k in x])
-        return at
 
     def units(self, text: str) -> np.ndarray:
-        out, index, size = [], self.index, self.config.unit
+        """Numbers of a text's units; `learn` must follow before they are used."""
+        if not text:
+            return np.zeros(0, np.int64)
+        size = self.config.unit
         if MARK in text:
             text = text.replace(MARK, _OWN_MARK)
-        for word in text.split(" ") if text else ():
-            word = MARK + word
-            if len(word) <= size:
-                k = index.get(word)
-                out.append(self.learn(word) if k is None else k)
+        parts: list[str] = []
+        add = parts.append
+        for word in text.split(" "):
+            if len(word) < size:
+                add(MARK + word)
             else:
-                for i in range(0, len(word), size):
-                    part = word[i : i + size]
-                    k = index.get(part)
-                    out.append(self.learn(part) if k is None else k)
-        return np.array(out, np.int64)
+                word = MARK + word
+                parts += [word[i : i + size] for i in range(0, len(word), size)]
+        return np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
 
     def decode(self, ids) -> str:
         """The text of a segmentation that `sample` made."""
-        return b"".join([self.texts[i] for i in ids])[1:].decode()
+        return b"".join(map(self.texts.__getitem__, ids))[1:].decode()
 
 
-def _uniform(base: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Numbers inside (0, 1), by hashing counters."""
+def _uniform(base: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers inside (0, 1) for each counter, by hashing; of 32 bits each."""
     h = K.mix(base + (count.astype(np.uint64) + K.U64(1)) * K.U64(0x9E3779B97F4A7C15))
-    return ((h >> K.U64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return ((h >> K.U64(32)).astype(np.float64) + 0.5) * 2.0**-32, ((h & K.U64(0xFFFFFFFF)).astype(np.float64) + 0.5) * 2.0**-32
 
 
 class _Part:
@@ -208,7 +236,8 @@ def top_k(lattice: Lattice, texts: list[np.ndarray], k: int, keys: list[int]):
     place = np.arange(len(units)) - starts[row]
     begin, ways = first[units], count[units]
     base = K.mix(np.array(keys, np.uint64))
-    roots = -np.log(-np.log(_uniform(base, np.zeros(len(texts)))))
+    each = base[row]
+    roots = -np.log(-np.log(_uniform(base, np.zeros(len(texts)))[0]))
     heaps = [[_Part(float(g), None, 0, ())] for g in roots]
     out: list = [[] for _ in texts]
     for turn in range(k):
@@ -219,10 +248,14 @@ def top_k(lattice: Lattice, texts: list[np.ndarray], k: int, keys: list[int]):
         lo = np.array([x.at if x else 0 for x in parts])
         bound = np.array([x.value if x else 0.0 for x in parts])
         # each part's best segmentation is a draw from its distribution
-        u = _uniform(base[row], 1 + place + turn * (1 << 40))
+        u, noise = _uniform(each, 1 + place + turn * (1 << 40))
         choice = begin.copy()
-        other = np.flatnonzero(units + u > cumulative[begin])
-        choice[other] = np.minimum(np.searchsorted(cumulative, units[other] + u[other]), begin[other] + ways[other] - 1)
+        target = units + u
+        other = np.flatnonzero((target > cumulative[begin]) & (ways > 1))
+        for step in range(1, 4):  # few are further down
+            choice[other] += 1
+            other = other[(target[other] > cumulative[choice[other]]) & (step < ways[other] - 1)]
+        choice[other] = np.minimum(np.searchsorted(cumulative, target[other]), begin[other] + ways[other] - 1)
         left_mass = np.full(len(texts), -np.inf)
         for r in np.flatnonzero(live & (sizes > 0)):
             part, at = parts[r], starts[r] + lo[r]
@@ -247,7 +280,7 @@ def top_k(lattice: Lattice, texts: list[np.ndarray], k: int, keys: list[int]):
         rest[at_lo] = left_mass[live & (sizes > 0)]
         mass = so_far[:-1] - so_far[starts[row]] + rest
         with np.errstate(divide="ignore"):
-            value = mass - np.log(np.exp(mass - bound[row]) - np.log(_uniform(base[row], 1 + place + turn * (1 << 40) + (1 << 39))))
+            value = mass - np.log(np.exp(mass - bound[row]) - np.log(noise))
         value[(place < lo[row]) | ~np.isfinite(mass)] = -np.inf
         for r in np.flatnonzero(live):
             x = slice(starts[r], ends[r])
@@ -261,22 +294,27 @@ def top_k(lattice: Lattice, texts: list[np.ndarray], k: int, keys: list[int]):
     return [(o, h[0].value if h else None) for o, h in zip(out, heaps, strict=True)]
 
 
-def ids_of(lattice: Lattice, choice: np.ndarray) -> np.ndarray:
-    """Piece ids of a segmentation."""
+def ids_of(lattice: Lattice, choices: list[np.ndarray]) -> list[np.ndarray]:
+    """Piece ids of segmentations."""
+    every = np.concatenate([np.zeros(0, np.int64), *choices])
     end = lattice.end.data
-    hi = end[choice]
-    lo = np.where(choice > 0, end[choice - 1], 0)
-    n = hi - lo
-    ends = np.cumsum(n)
-    return lattice.pieces.data[np.repeat(lo - ends + n, n) + np.arange(ends[-1])] if len(n) else np.zeros(0, np.uint32)
+    lo = np.where(every > 0, end[every - 1], 0)
+    n = end[every] - lo
+    ends = np.concatenate([[0], np.cumsum(n)])
+    flat = lattice.pieces.data[np.repeat(lo - ends[:-1], n) + np.arange(ends[-1])]
+    cut = ends[np.cumsum([0, *map(len, choices)])]
+    return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def samples(lattice: Lattice, texts: list[str], keys: list[int]):
     """Of each text [(ids, log-probability, perturbed value, inclusion score)]."""
     if len(lattice.index) > lattice.config.cache:
         lattice.clear()
-    found = top_k(lattice, [lattice.units(x) for x in texts], lattice.config.k, keys)
-    return [[(ids_of(lattice, c), p, g, 1.0 if after is None else float(-np.expm1(-np.exp(p - after)))) for c, p, g in own] for own, after in found]
+    units = [lattice.units(x) for x in texts]
+    lattice.learn()
+    found = top_k(lattice, units, lattice.config.k, keys)
+    ids = iter(ids_of(lattice, [c for own, _ in found for c, _, _ in own]))
+    return [[(next(ids), p, g, 1.0 if after is None else float(-np.expm1(-np.exp(p - after)))) for _, p, g in own] for own, after in found]
 
 
 _LATTICES: dict[Config, Lattice] = {}  # one for each Python worker
