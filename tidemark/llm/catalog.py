@@ -72,4 +72,21 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLES: dict[str, str] = {}
+#: All pairs by their common shingles, then the least id reachable. The other operators train models,
+#: hash, draw or search approximately: tests/llm holds them against brute force instead.
+ORACLES: dict[str, str] = {
+    "op7_minhash_near_dedup": r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1:1] ELSE w[i:i + 1] END AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 1, 1))) AS i FROM split WHERE len(w) > 0)
+), coded AS (SELECT doc_id, dense_rank() OVER (ORDER BY s) AS s FROM shingles
+), sizes AS (SELECT doc_id, count(*) AS n FROM coded GROUP BY doc_id
+), pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM coded a JOIN coded b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (SELECT u, v FROM pairs JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * k >= 80 * (x.n + y.n - k)
+), reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = d.doc_id
+"""
+}
