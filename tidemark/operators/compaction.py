@@ -1,8 +1,7 @@
 """Leveled compaction: what to compact, with what, and the rewrite.
 
-`files` is (level, file_number, file_size, smallest, largest, ...), a row for each file. It grows
-with the number of files, so overlap joins are bucketed by nothing but the level and left to
-Catalyst; the rewrite works on the runs' rows.
+`files` is (level, file_number, file_size, smallest, largest, ...), a row for each file; file numbers
+are unique. Overlaps are found by a sweep over sorted keys; the rewrite works on the runs' rows.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.estimates import ratio
-from tidemark.operators import merge
+from tidemark.operators import merge, snapshot
 
 BASE_BYTES = 4 << 20
 FACTOR = 10
@@ -44,8 +43,8 @@ def pick(files: DataFrame, base: int = BASE_BYTES) -> DataFrame:
     if "allowed_seeks" not in files.columns:
         return chosen
     worn = files.where("allowed_seeks <= 0").orderBy("level", "file_number").limit(1)
-    nothing = full_levels(files, base).agg(F.count("*").alias("_n")).where("_n = 0")
-    return chosen.unionByName(worn.crossJoin(F.broadcast(nothing)).drop("_n"))  # one row by one
+    some = full_levels(files, base).limit(1).select(F.lit(1).alias("_one"))
+    return chosen.unionByName(worn.withColumn("_one", F.lit(1)).join(some, "_one", "left_anti").drop("_one"))
 
 
 def priority(files: DataFrame, base: int = BASE_BYTES) -> DataFrame:
@@ -57,16 +56,28 @@ def overlap(a: str = "a", b: str = "b") -> Column:
     return (F.col(f"{a}.largest") >= F.col(f"{b}.smallest")) & (F.col(f"{a}.smallest") <= F.col(f"{b}.largest"))
 
 
+def _meets(files: DataFrame, others: DataFrame, step: int) -> DataFrame:
+    """`files` with `_meets`: whether the range of any of `others`, `step` levels below, meets theirs.
+
+    A sweep in the order of keys instead of a join of ranges: something meets [a, b] if the largest
+    end of all ranges that begin at or before b is not before a. One sort of the file rows of a level."""
+    starts = others.select((F.col("level") - step).alias("_level"), F.col("smallest").alias("_at"), F.lit(0).alias("_kind"), F.col("largest").alias("_end"), F.lit(None).cast("long").alias("_id"))
+    numbered = files.withColumn("_id", F.col("file_number").cast("long"))
+    ends = numbered.select(F.col("level").alias("_level"), F.col("largest").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(dict(files.dtypes)["largest"]).alias("_end"), "_id")
+    before = Window.partitionBy("_level").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = starts.unionByName(ends).withColumn("_reach", F.max("_end").over(before)).where("_kind = 1").select("_level", "_id", "_reach").distinct()
+    met = numbered.join(swept, (F.col("level") == F.col("_level")) & numbered["_id"].eqNullSafe(swept["_id"]))
+    return met.withColumn("_meets", F.coalesce(F.col("_reach") >= F.col("smallest"), F.lit(False))).select(*files.columns, "_meets")
+
+
 def overlapping(files: DataFrame, inputs: DataFrame) -> DataFrame:
     """Files of the next level that overlap any input, each once."""
-    same = F.col("a.level") == F.col("b.level") + 1
-    return files.alias("a").join(inputs.alias("b"), same & overlap(), "left_semi")
+    return _meets(files, inputs, -1).where("_meets").drop("_meets")
 
 
 def trivial_moves(files: DataFrame, inputs: DataFrame) -> DataFrame:
     """Inputs that alone meet nothing in the next level: they only change their level."""
-    same = F.col("b.level") == F.col("a.level") + 1
-    return inputs.alias("a").join(files.alias("b"), same & overlap("a", "b"), "left_anti")
+    return _meets(inputs, files, 1).where("not _meets").drop("_meets")
 
 
 def rewrite(rows: DataFrame, level: int, last_level: int, oldest: bool | None = None) -> DataFrame:
@@ -75,12 +86,9 @@ def rewrite(rows: DataFrame, level: int, last_level: int, oldest: bool | None =
 
 
 def output_files(rows: DataFrame, size: Column, target: int) -> DataFrame:
-    """Rows with `output`, the file that they go to: a file is closed by the row that reaches `target` bytes.
-
-    By the running size over the target; ranges of keys are worked off side by side by `range`, if there is one."""
-    by = ["range"] if "range" in rows.columns else []
-    running = F.sum(size).over(Window.partitionBy(*by).orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("output", F.floor(F.coalesce(running, F.lit(0)) / target).cast("int"))
+    """Rows with `output`, the file that they go to: their running size in the order of keys over `target` bytes."""
+    sized = snapshot.running(rows.withColumn("_size", size.cast("long")), "_size")
+    return sized.withColumn("output", F.floor((F.col("running") - F.col("_size")) / target).cast("int")).drop("_size", "running")
 
 
 def with_ratio(stats: DataFrame) -> DataFrame:

@@ -75,15 +75,15 @@ def first(rows: DataFrame, limit: int = 1, key: str = "key") -> DataFrame:
     return rows.orderBy(key).limit(limit)
 
 
-def ranked(rows: DataFrame, key: str = "key", parts: int | None = None) -> DataFrame:
-    """Rows with `rank`, the place of their key in the whole order (from 1). Keys are unique.
+def running(rows: DataFrame, amount: str, key: str = "key", parts: int | None = None) -> DataFrame:
+    """Rows with `running`, the sum of `amount` (a long) up to and with their key, over the whole order. Keys are unique.
 
-    The rank inside a range plus the sizes of the ranges before it: only one number for each
-    range meets in one place."""
+    The running sum inside a range of keys plus the sums of the ranges before it: only one number
+    for each range meets in one place."""
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)] or [F.lit(0.5)])
     kind = dict(rows.dtypes)[key]
     if kind in ("int", "bigint", "smallint", "double", "float"):
+        shares = F.array(*[F.lit(k / parts) for k in range(1, parts)] or [F.lit(0.5)])
         bounds = rows.agg(F.percentile_approx(key, shares, 10_000)).first()[0] or []
     else:  # a fixed number of sampled keys
         drawn = sorted(r[0] for r in rows.select(key).orderBy(F.xxhash64(key)).limit(64 * parts).collect() if r[0] is not None)
@@ -92,10 +92,15 @@ def ranked(rows: DataFrame, key: str = "key", parts: int | None = None) -> DataF
     for b in sorted(set(bounds)):
         part = part + (F.col(key) > F.lit(b)).cast("int")
     placed = rows.withColumn("_part", F.coalesce(part, F.lit(-1)))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))  # at most `parts` rows
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
-    inside = placed.withColumn("_inside", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
-    return inside.join(F.broadcast(before), "_part").withColumn("rank", (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_inside", "_before")
+    sums = placed.groupBy("_part").agg(F.sum(amount).alias("_sum"))  # at most `parts` + 1 rows
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    inside = placed.withColumn("_inside", F.sum(amount).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return inside.join(F.broadcast(before), "_part").withColumn("running", (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_inside", "_before")
+
+
+def ranked(rows: DataFrame, key: str = "key") -> DataFrame:
+    """Rows with `rank`, the place of their key in the whole order (from 1). Keys are unique."""
+    return running(rows.withColumn("_one", F.lit(1).cast("long")), "_one", key).withColumnRenamed("running", "rank").drop("_one")
 
 
 def dump(log: DataFrame, columns: Sequence[str], text: Column | None = None) -> DataFrame:
