@@ -27,3 +27,15 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 0
+
+
+def test_defined_cases(spark, documents, odd, tmp_path):
+    """Null, empty, blank and repeated rows, clashing columns and empty tables go through all stages."""
+    labels = spark.createDataFrame([(4, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    for name, rows, marks in (("odd", odd, labels), ("none", [], labels.limit(0)), ("unmarked", odd, labels.limit(0))):
+        path = str(tmp_path / name)
+        documents(rows).write.parquet(f"{path}/documents.parquet")
+        marks.write.parquet(f"{path}/labels.parquet")
+        got = corpus_pipeline.run(spark, path).collect()
+        assert {p.doc_id for p in got} <= {i for i, _ in rows}
+        assert len([p for p in got if p.doc_id == 5 and p.start == 0]) <= 1

@@ -11,7 +11,7 @@ under `short` words decide nothing and go with a run around them.
 Spans are in code points of the original text. Defined cases: null texts stay null and have no
 unit; empty texts are returned as they are; rows that repeat a doc_id count as one document for
 ownership, so each keeps what that id owns; rows with null doc_id own nothing that a numbered row
-holds; further columns pass through untouched.
+holds; further columns pass through untouched, but for one named removed_spans, which is replaced.
 """
 
 from __future__ import annotations
@@ -137,6 +137,7 @@ def removals(b: np.ndarray, own: np.ndarray, foreign: dict[int, int | None], doc
 
 def dedup(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """The columns of `docs` with repeats taken from `text`, and `removed_spans` of the original text."""
+    docs = docs.drop("removed_spans", "_digests", "_owners", "_of")
     held = digests(docs, config)
     owners = held.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("holders")).where(F.col("holders") > 1)
     # one digest may be in a third of all documents: its holders are dealt to several parts
