@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import codec
+from tidemark.operators import snapshot
 
 
 def changelog(rows: DataFrame, key: str, seq: str, is_delete: Column, *values: str) -> DataFrame:
@@ -44,3 +45,10 @@ def accounted_size(log: DataFrame, *by: str) -> DataFrame:
 def next_sequence(log: DataFrame) -> DataFrame:
     """What replay continues with."""
     return log.agg((F.coalesce(F.max("seq"), F.lit(-1)) + 1).cast("long").alias("next_seq"), F.count("*").alias("replayed"))
+
+
+def rotations(log: DataFrame, limit: int, parts: int | None = None) -> DataFrame:
+    """Entries with `memory`, the number of the memory table that they go to in the order of sequences, by their running size over `limit` bytes."""
+    sized = log.withColumn("_bytes", codec.memory_bytes(F.col("key"), F.col("value"), F.col("op")).cast("long"))
+    running = snapshot.running(sized, "_bytes", "seq", parts)
+    return running.withColumn("memory", F.floor((F.col("running") - F.col("_bytes")) / limit).cast("int")).drop("_bytes", "running")

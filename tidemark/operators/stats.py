@@ -22,3 +22,10 @@ def scan_stats(files: DataFrame) -> DataFrame:
     """Levels with data and files read by a full scan."""
     counted = files.agg(F.countDistinct("level").alias("levels"), F.count("*").alias("files"))
     return counted.withColumn("files_per_level", ratio(F.col("files"), F.col("levels")))
+
+
+def status(log: DataFrame, files: DataFrame, flushed: int) -> DataFrame:
+    """Entries not flushed yet, files and their bytes, and the last sequence, as one row."""
+    memory = log.agg(F.count_if(F.col("seq") > flushed).alias("memory_entries"), F.coalesce(F.max("seq"), F.lit(-1)).cast("long").alias("last_seq"), F.lit(1).alias("_one"))
+    held = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("file_size"), F.lit(0)).cast("long").alias("file_bytes"), F.lit(1).alias("_one"))
+    return memory.join(held, "_one").drop("_one")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codec, estimates
 from tidemark.operators import bloom, cache, changelog, commands, compaction, manifest, merge, snapshot, stats, tables
+from tidemark.sources import wal
 
 RUN = 2500
 
@@ -362,6 +363,23 @@ def memory_size(spark, d):
     return changelog.accounted_size(log, "id").withColumnRenamed("id", "key")
 
 
+@query(f"WITH {CL}, sized AS (SELECT *, 2 * length(CAST(key AS VARCHAR)) + CASE WHEN op = 1 THEN length(event_type) ELSE 0 END + 25 AS b FROM cl), placed AS (SELECT *, CAST((sum(b) OVER (ORDER BY seq) - b) // 65536 AS INTEGER) AS memory FROM sized) SELECT memory, count(*) AS entries, min(seq) AS first_seq, max(seq) AS last_seq FROM placed GROUP BY memory")
+def memory_rotation(spark, d):
+    log = events_log(spark, d).withColumn("key", F.col("key").cast("string")).withColumn("value", F.col("event_type"))
+    return changelog.rotations(log, 65536).groupBy("memory").agg(F.count("*").alias("entries"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+@query(None)  # where a record starts depends on the padding before it, record by record
+def wal_fragment_counts(spark, d):
+    sizes = wal_record_sizes(spark, d).select((F.col("batch_id") % 64).alias("log"), F.col("batch_id").alias("record"), (F.col("bytes") * 150).alias("bytes"))
+    return wal.fragment_counts(sizes)
+
+
+@query(f"WITH {FILES} SELECT (SELECT count(*) FROM cl WHERE seq > 7000) AS memory_entries, (SELECT max(seq) FROM cl) AS last_seq, count(*) AS files, CAST(sum(file_size) AS BIGINT) AS file_bytes FROM files")
+def db_status(spark, d):
+    return stats.status(events_log(spark, d), files(spark, d), 7000)
+
+
 # keys and tables
 
 
