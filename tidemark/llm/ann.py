@@ -29,12 +29,12 @@ from tidemark.llm.common import checkpoint
 
 @dataclass(frozen=True)
 class Config:
-    books: int = 16
+    books: int = 24
     words: int = 256  # codewords of a book
     beam: int = 4
     sample: int = 8192
     rounds: int = 2  # joint refits
-    rerank: int = 256
+    rerank: int = 192
     top: int = 5
     code_block: int = 32768
     query_block: int = 128
