@@ -45,7 +45,7 @@ class Config:
     stretch: int = 1 << 17
     sentence_penalty: float = 0.25  # a document cut at a sentence end
     token_penalty: float = 2.0  # a cut inside a sentence
-    inner: int = 48  # tokens between candidates inside a sentence
+    inner: int = 16  # tokens between candidates inside a sentence
     cache: int = 1_000_000  # words whose ids are kept
 
     def path(self) -> str:
