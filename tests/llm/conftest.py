@@ -35,3 +35,7 @@ ODD = [
 @pytest.fixture(scope="session")
 def odd():
     return ODD
+
+
+#: The registered names: one query for each operator, and the pipeline.
+NAMES = ["op1_substring_dedup", "op2_quality_classifier", "op3_packing", "op4_language_id", "op5_sentencepiece_sampling", "op6_document_fingerprints", "op7_minhash_near_dedup", "op8_nearest_neighbours", "op9_license_scans", "op10_lm_scoring", "pipeline"]

@@ -73,3 +73,8 @@ def test_language_score_is_the_posterior(spark, documents):
     buckets = lambda t: [b for x, _ in langid._buckets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), model.config) for b in x]
     ll = [sum(float(model.logp[k][b]) for b in buckets("ab cd")) + model.prior[k] for k in (0, 1)]
     assert abs(got[3] - max(np.exp(ll)) / sum(np.exp(ll))) < 1e-5
+
+
+def test_only_the_most_frequent_languages_are_learned(documents):
+    docs = documents([(i, f"text {i}", "ab"[i % 2]) for i in range(10)] + [(20, "rare", "c")])
+    assert langid.train(docs, F.lit(True), langid.Config(bits=8, classes=2)).labels == ("a", "b")

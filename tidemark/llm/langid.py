@@ -30,6 +30,7 @@ class Config:
     bits: int = 15
     orders: tuple[int, ...] = (1, 2, 3)
     per_class: int = 3000  # most rows of a language that training reads
+    classes: int = 512  # most languages, the most frequent ones; the matrix has at most classes * 2**bits floats
     alpha: float = 0.5  # added to every count
 
 
@@ -90,12 +91,13 @@ def count(docs: DataFrame, config: Config) -> DataFrame:
 def train(docs: DataFrame, usable: Column, config: Config = Config()) -> Model:
     """Fit on rows with a language for which `usable` holds, about `config.per_class` of each."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable)
-    sizes = sorted((r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect())
+    sizes = sorted((r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(config.classes).collect())
     if not sizes:
         return Model((), np.zeros((0, 1 << config.bits), np.float32), np.zeros(0), config)
     ticket = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(11)), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, int(min(1.0, config.per_class / n) * (1 << 30)))])
-    got = count(known.where(ticket < F.element_at(share, F.col("lang"))), config).toPandas()
+    # a language beyond those has no share, and null keeps no row
+    got = count(known.where(ticket < F.try_element_at(share, F.col("lang"))), config).toPandas()
     labels = tuple(sorted(set(got["lang"])))
     counts = np.full((len(labels), 1 << config.bits), config.alpha)
     counts[np.searchsorted(labels, got["lang"]), got["bucket"]] += got["n"]
