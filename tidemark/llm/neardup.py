@@ -240,10 +240,13 @@ def groups(docs: DataFrame, config: Config = Config()) -> DataFrame:
     rest = split.hint("merge").join(minor.hint("merge"), "bucket").where((F.col("component") != F.col("apart")) & alike & close)
     rest = rest.select(*ordered("node", "a")).distinct().join(first, ["u", "v"], "left_anti")
     more = checkpoint(confirm(checkpoint(rest), sets, config))
-    if more.take(1):
-        labels = components(edges.union(more))
-
     named = classes.hint("merge").join(labels.hint("merge"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    if more.take(1):  # these links join whole components: a small graph of its own
+        for end in ("u", "v"):
+            at = labels.select(F.col("node").alias(end), "component")
+            more = more.join(at, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+        upper = components(more.select("u", "v").where("u <> v"))
+        named = named.join(upper.withColumnRenamed("node", "component_id"), "component_id", "left").select("digest", F.coalesce("component", "component_id").alias("component_id"))
     named = checkpoint(named)
     linked = full.select("doc_id", "n_shingles", "digest").hint("merge").join(named.hint("merge"), "digest").select("doc_id", "n_shingles", "component_id")
     alone = marks.where(F.col("digest").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
