@@ -150,7 +150,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], config: Config) -> Mode
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, config: Config = Config()) -> Model:
     """Fit on at most `config.sample` documents for which `usable` holds and whose labels agree."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & usable).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("_top")).where(F.col("y") == F.col("_top"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & usable).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("_top")).where(F.col("y") == F.col("_top"))
     chosen = known.select(F.col("doc_id").alias("_id"), F.col("y").cast("int").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(config.sample)
     # at most config.sample pairs of numbers are broadcast
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text")
