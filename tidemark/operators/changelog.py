@@ -17,17 +17,15 @@ def changelog(rows: DataFrame, key: str, seq: str, is_delete: Column, *values: s
 def sequence_batches(batches: DataFrame, start: int = 0) -> DataFrame:
     """Numbers the operations of (batch_id, ops) rows: contiguous, in the order of batches, then of operations.
 
-    Only (batch_id, size) takes part in the running sum. That sum is worked out in two steps,
-    inside ranges of batch ids and over the ranges, so no task holds all batches."""
-    sizes = batches.select("batch_id", F.size("ops").cast("long").alias("n"))
-    width = 100_000
-    part = F.floor(F.col("batch_id") / width)
+    The running sum is worked out in two steps, inside ranges of batch ids and over the ranges,
+    so no task holds all batches and they are dealt out once."""
+    n = F.size("ops").cast("long")
+    part = F.floor(F.col("batch_id") / 100_000)
     inside = Window.partitionBy("_part").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
-    local = sizes.withColumn("_part", part).withColumn("_before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    totals = sizes.withColumn("_part", part).groupBy("_part").agg(F.sum("n").alias("_total"))  # a row for 100,000 batches
+    local = batches.withColumn("_part", part).withColumn("_before", F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    totals = batches.groupBy(part.alias("_part")).agg(F.sum(n).alias("_total"))  # a row for 100,000 batches
     earlier = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_offset")
-    starts = local.join(earlier, "_part").select("batch_id", (F.lit(start) + F.col("_offset") + F.col("_before")).alias("start_seq"))
-    return batches.join(starts, "batch_id")
+    return local.join(earlier, "_part").withColumn("start_seq", F.lit(start) + F.col("_offset") + F.col("_before")).drop("_part", "_before", "_offset")
 
 
 def operations(batches: DataFrame) -> DataFrame:
