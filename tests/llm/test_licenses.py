@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -57,3 +58,25 @@ def test_alignment_equals_full_dynamic_programme():
         if got:
             assert got[0] >= score.max() and 0 <= got[1] <= got[2] < 9 and a[-1] is not None
     assert Config().coverage <= 1
+
+
+def test_notices_side_by_side_all_count(documents):
+    rows = [(1, "All rights reserved. All rights reserved."), (2, "Released under the MIT License.\n" * 2), (3, "All rights reserved. " * 7), (4, "Released under the MIT License. So. Released under the MIT License.")]
+    got = licenses.scan(documents(rows)).collect()
+    spans = {i: sorted((x.start, x.end) for x in got if x.doc_id == i) for i, _ in rows}
+    assert spans[1] == [(0, 19), (21, 40)] and spans[2] == [(0, 30), (32, 62)] and spans[4] == [(0, 30), (36, 66)]
+    assert spans[3] == [(21 * k, 21 * k + 19) for k in range(7)]
+
+
+def test_short_notices_with_as_many_words_changed_as_may_be(documents):
+    """Whichever words of a short notice are replaced, no two side by side, it is found while enough of them match."""
+    rows, expected = [], {}
+    for t, replaced in ((0, 2), (8, 1)):
+        words = TEMPLATES[t][1].rstrip(".").replace("2.0", "2 0").split()
+        for at in itertools.combinations(range(len(words)), replaced):
+            if replaced == 2 and at[1] == at[0] + 1:
+                continue
+            rows.append((len(rows), "before it " + " ".join("zzz" if k in at else w for k, w in enumerate(words)) + " after it"))
+            expected[rows[-1][0]] = t, len(words) - replaced
+    got = {x.doc_id: (x.template, x.matched_words) for x in licenses.scan(documents(rows)).collect()}
+    assert got == expected

@@ -1,11 +1,14 @@
 """License scans: where texts carry license notices, and how much of a notice.
 
-The word k-grams of the templates are winnowed (in each window of consecutive k-grams the least
-hash is kept) into an inverted index, which is all that is broadcast. A text's k-grams are looked
-up in it; hits of one template on near diagonals form a candidate. A candidate is confirmed by a
-banded local alignment of the template's words with the text's words around it, which gives the
-matched words, their share of the template and the span. Of matches that overlap the one with
-more matched words is reported.
+The word k-grams of the templates make an inverted index, which is all that is broadcast; k is the
+run of words that is sure to stay whole when as many of a template's words are replaced or left out
+as `coverage` allows, but `gram` at most. The k-grams are winnowed (in each window of consecutive
+ones the least hash is kept) only where that run spans a whole window, so no such notice is without
+a hit. A text's k-grams are looked up; hits of one template on near diagonals form a candidate. A
+candidate is confirmed by a banded local alignment of the template's words with the text's words
+around it, which gives the matched words, their share of the template and the span; what lies
+before and after a match is aligned again, as notices may follow each other closely. Of matches
+that overlap the one with more matched words is reported.
 
 Words are runs of letters, digits and non-ASCII bytes, in lower case. Spans are in code points.
 Defined cases: null, empty and wordless texts have no match; repeated rows are scanned each by
@@ -66,30 +69,47 @@ def _grams(h: np.ndarray, k: int) -> np.ndarray:
     return g
 
 
+def _sure_run(n: int, coverage: float) -> int:
+    """Words that stay side by side however the replaced or missing words of a match lie in a template of n words."""
+    matched = next(m for m in range(n + 1) if m >= coverage * n)
+    return -(-matched // (n - matched + 1))
+
+
 class Index:
-    """Winnowed fingerprints of the templates: sorted hashes, each with its template and position."""
+    """Fingerprints of the templates by gram length: sorted hashes, each with its template and position."""
 
     def __init__(self, templates: list[tuple[str, str]], config: Config):
         self.words = []
-        rows = []
+        rows: dict[int, list] = {}
         for t, (_, text) in enumerate(templates):
             b = K.LOWER[np.frombuffer(text.encode(), np.uint8)]
             h = K.hashes(b, *K.runs(b, np.array([0, len(b)], np.int64), _CLASSES))
             self.words.append(h)
-            g = _grams(h, config.gram)
-            rows += [(int(g[p]), t, int(p)) for p in winnow(g, config.window)]
-        rows.sort()
-        self.keys = np.array([r[0] for r in rows], np.uint64)
-        self.template = np.array([r[1] for r in rows], np.int64)
-        self.position = np.array([r[2] for r in rows], np.int64)
-
-    def hits(self, g: np.ndarray):
+            run = _sure_run(len(h), config.coverage)
+            k = max(1, min(config.gram, run))
+            g = _grams(h, k)
+            kept = winnow(g, config.window) if run >= k + config.window - 1 else range(len(g))
+            rows.setdefault(k, []).extend((int(g[p]), t, int(p)) for p in kept)
+        self.grams = {}
+        for k, own in rows.items():
+            own.sort()
+            self.grams[k] = np.array([r[0] for r in own], np.uint64), np.array([r[1] for r in own], np.int64), np.array([r[2] for r in own], np.int64)
+
+    def hits(self, h: np.ndarray):
         """(position in the text, template, position in the template) of every pair of equal k-grams."""
-        lo, hi = np.searchsorted(self.keys, g, "left"), np.searchsorted(self.keys, g, "right")
-        at = np.flatnonzero(hi > lo)
-        n = (hi - lo)[at]
-        entry = np.repeat(lo[at], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        return np.repeat(at, n), self.template[entry], self.position[entry]
+        out = []
+        for k, (keys, template, position) in self.grams.items():
+            g = _grams(h, k)
+            lo, hi = np.searchsorted(keys, g, "left"), np.searchsorted(keys, g, "right")
+            at = np.flatnonzero(hi > lo)
+            n = (hi - lo)[at]
+            entry = np.repeat(lo[at], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            out.append((np.repeat(at, n), template[entry], position[entry]))
+        return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+    def hit_at(self, h: np.ndarray) -> np.ndarray:
+        """Positions of words where a k-gram of some template begins."""
+        return np.concatenate([np.zeros(0, np.int64), *(np.flatnonzero(np.isin(_grams(h, k), keys)) for k, (keys, _, _) in self.grams.items())])
 
 
 def align(template: np.ndarray, text: np.ndarray, shift: int, band: int):
@@ -112,7 +132,8 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int):
                 for other in (previous[d + 1], row[d - 1] if d else (0, 0, -1, -1)):  # a word of the template or of the text left out
                     if other[0] - 1 > cell[0]:
                         cell = (other[0] - 1, *other[1:])
-                row[d] = cell if cell[0] > 0 else (0, 0, -1, -1)
+                # at 0 what matched so far stays, since it makes the match longer
+                row[d] = cell if cell[0] >= 0 else (0, 0, -1, -1)
                 if (cell[0], cell[1]) > best[:2]:
                     best = cell
         previous = row
@@ -121,7 +142,7 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int):
 
 def matches(h: np.ndarray, index: Index, config: Config) -> list[tuple[int, int, int, int]]:
     """(template, matched words, first word, last word) of a text with word hashes h."""
-    at, template, position = index.hits(_grams(h, config.gram))
+    at, template, position = index.hits(h)
     if not len(at):
         return []
     diagonal = at - position
@@ -133,10 +154,17 @@ def matches(h: np.ndarray, index: Index, config: Config) -> list[tuple[int, int,
             continue
         t, shift = int(template[order[begin]]), int(diagonal[order[begin]])
         own = index.words[t]
-        lo = max(0, shift - config.band)
-        got = align(own, h[lo : shift + len(own) + 2 * config.band], shift - lo, config.band)
-        if got and got[0] >= config.coverage * len(own):
-            found.append((t, got[0], lo + got[1], lo + got[2]))
+        least = config.coverage * len(own)
+        open_ = [(max(0, shift - config.band), min(len(h), shift + len(own) + 2 * config.band))]
+        while open_:
+            lo, hi = open_.pop()
+            # too few of the template's words are there for a match
+            if hi - lo < least or np.isin(own, h[lo:hi]).sum() < least:
+                continue
+            got = align(own, h[lo:hi], shift - lo, config.band)
+            if got and got[0] >= least:
+                found.append((t, got[0], lo + got[1], lo + got[2]))
+                open_ += [(lo, lo + got[1]), (lo + got[2] + 1, hi)]
         begin = k
     found.sort(key=lambda x: (-x[1], x[0], x[2]))
     kept: list = []
@@ -161,9 +189,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, config
             for i, j in K.slices(offsets):
                 h, counts = K.words(raw, offsets[i : j + 1], _CLASSES)
                 ends = np.cumsum(counts)
-                g = _grams(h, config.gram)
-                hit = np.flatnonzero(np.isin(g, index.keys))
-                for r in np.unique(np.searchsorted(ends, hit, "right")):
+                for r in np.unique(np.searchsorted(ends, index.hit_at(h), "right")):
                     own = h[ends[r] - counts[r] : ends[r]]
                     got = matches(own, index, config)
                     if not got:
