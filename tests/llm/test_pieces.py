@@ -69,3 +69,52 @@ def test_inclusion_scores_estimate_sums(lattice):
     rows = [s for key in range(3000) for s in [pieces.samples(lattice, ["the on"], [key])[0]]]
     total = np.mean([sum(math.exp(p) / share for _, p, _, share in own) for own in rows])
     assert abs(total - 1) < 0.05
+
+
+def test_long_words_are_drawn_from_their_whole_lattice(lattice):
+    word = pieces.MARK + "however"
+    assert len(word) > lattice.config.unit and word in lattice.ids
+    weights = {z: math.exp(w) for w, z in lattice.segmentations(word)}
+    p = {z: w / sum(weights.values()) for z, w in weights.items()}
+    units = lattice.units("however")
+    lattice.learn()
+    n = 20_000
+    got, top = dict.fromkeys(p, 0), dict.fromkeys(p, 0)
+    found = top_k(lattice, [units] * n, 2, list(range(n)))
+    ids = iter(pieces.ids_of(lattice, [c for out, _ in found for c, _, _ in out]))
+    for out, after in found:
+        a, b = (tuple(next(ids).tolist()) for _ in out)
+        assert a != b and out[0][2] >= out[1][2] >= after
+        assert all(abs(x[1] - math.log(p[z])) < 1e-9 for x, z in zip(out, (a, b), strict=True))
+        top[a] += 1
+        got[a] += 1
+        got[b] += 1
+    assert top[(lattice.ids[word],)] > 0
+    for z in p:
+        among = p[z] + sum(p[y] * p[z] / (1 - p[y]) for y in p if y != z)
+        for share, k in ((p[z], top[z]), (among, got[z])):
+            assert abs(k / n - share) < 5 * math.sqrt(share * (1 - share) / n) + 1e-4
+
+
+def test_long_words_have_all_their_segmentations(lattice):
+    for text in ("however", "straßen𝄞", "an onwards"):
+        units = lattice.units(text)
+        lattice.learn()
+        n = math.prod(len(lattice.segmentations(pieces.MARK + w)) for w in text.split())
+        ((out, after),) = top_k(lattice, [units], n + 5, [5])
+        ids = pieces.ids_of(lattice, [c for c, _, _ in out])
+        assert len({tuple(x.tolist()) for x in ids}) == len(out) == n and after is None
+        assert {lattice.decode(x.tolist()) for x in ids} == {text}
+        assert abs(sum(math.exp(p) for _, p, _ in out) - 1) < 1e-9
+
+
+def test_edges_of_all_words_at_once_equal_those_of_one():
+    words = [pieces.MARK + w for w in ("international", "straßen𝄞\udc81x", "a" * 40, "l'été-2024", "zz\x00\nqq")]
+    tables = []
+    for name in ("_grow", "_grow_all"):
+        own = Lattice(Config())
+        roots = getattr(own, name)(words)
+        per = [(r, {(int(own.edge_to.data[e]), int(own.edge_piece.data[e])): (round(float(own.edge_log_p.data[e]), 9), round(float(own.edge_others.data[e]), 9)) for e in range(a, a + n)}) for r, a, n in zip(range(own.edge.size), own.edge.used.tolist(), own.edges.used.tolist(), strict=True)]
+        runs = {k: c for c, k in own.byte_runs.items()}
+        tables.append((roots.tolist(), [(r, {(to, k if k >= 0 else runs[-1 - k]): v for (to, k), v in x.items()}) for r, x in per]))
+    assert tables[0] == tables[1]

@@ -10,8 +10,10 @@ Gumbel variable cut off at its parent's, so nothing but the emitted segmentation
 and all splits of one set are drawn in one vector operation.
 
 Lattice: a text is what stands between blanks; every word begins with the blank's mark, and no piece
-crosses a word or a unit of `unit` characters in a longer word. Pieces that the vocabulary has not
-are their characters' bytes. A BPE vocabulary has ranks instead of probabilities, so the weight of
+crosses a word. The segmentations of words of up to `unit` characters are listed. A longer word has
+nodes and edges instead: sums over all ways to its end, made backwards, give the chance of each edge
+at its node, so that segmentations are drawn edge by edge, all words of all texts side by side.
+Pieces that the vocabulary has not are their characters' bytes. A BPE vocabulary has ranks instead of probabilities, so the weight of
 a piece is by Zipf's law, 1 / (rank + offset), raised to `sharpness`.
 
 The inclusion score of a sample is 1 - exp(-exp(log_p - kappa)), kappa being the perturbed value of
@@ -27,6 +29,8 @@ repeated rows give repeated samples; further columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
+import random
 import zlib
 from dataclasses import dataclass
 
@@ -44,10 +48,10 @@ class Config:
     model: str = ""  # path of the model on every executor; empty: that of the installed piece_bpe_32k.model
     k: int = 3
     seed: int = 17
-    unit: int = 6  # characters of a unit
+    unit: int = 6  # most characters of a word, its mark included, whose segmentations are listed
     offset: float = 2.7
     sharpness: float = 1.0
-    cache: int = 250_000  # units whose segmentations are kept
+    cache: int = 250_000  # words whose segmentations or edges are kept
 
     def path(self) -> str:
         if self.model:
@@ -62,12 +66,25 @@ MARK = "▁"
 _OWN_MARK = "\udc81"
 
 
+#: Longer words have their edges worked out one by one, as they would take as many turns over all others.
+_VERY_LONG = 256
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _longer(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Hashes of strings that go on with one more character."""
+    return K.mix(h + (code + K.U64(1)) * K.U64(0x9E3779B97F4A7C15))
+
+
 def _utf8(character: str) -> bytes:
     return (MARK if character == _OWN_MARK else character).encode()
 
 
 class _Numbers(dict):
-    """Numbers units as they come up; `new` has those without segmentations."""
+    """Numbers words as they come up; `new` has those without segmentations."""
 
     def __init__(self):
         self.new: list[str] = []
@@ -97,7 +114,7 @@ class _Column:
 
 
 class Lattice:
-    """Segmentations of single units with their log-probabilities, and the pieces' ids."""
+    """Segmentations of single words (units) with their log-probabilities, and the pieces' ids."""
 
     def __init__(self, config: Config):
         import sentencepiece
@@ -116,6 +133,8 @@ class Lattice:
         rank = np.maximum(np.arange(size) - first, 0)
         weight = -config.sharpness * np.log(rank + config.offset)
         self.weight = weight - np.log(np.exp(weight[sorted(self.ids.values())]).sum())
+        self._weights = self.weight.tolist()
+        self._by_length: dict = {}
         self.longest = max(map(len, self.ids), default=1)
         self.texts = [b""] * size
         for b, i in self.bytes.items():
@@ -130,6 +149,23 @@ class Lattice:
         # of each segmentation: log-probability, that of all others, cumulative probability plus the unit's number, end of its pieces
         self.log_p, self.others, self.cumulative, self.end = _Column(), _Column(), _Column(), _Column(np.int64)
         self.pieces = _Column(np.uint32)
+        self.root = _Column(np.int64)  # of each unit: its first node, -1 where segmentations are listed
+        self.edge, self.edges = _Column(np.int64), _Column(np.int64)  # of each node: its first edge, how many
+        # of each edge, the likeliest of a node first: cumulative probability plus the node's number, log-probability,
+        # probability of the node's others, node after it or -1, piece or -1 less the number of a run of bytes
+        self.edge_cumulative, self.edge_log_p, self.edge_others, self.edge_to, self.edge_piece = _Column(), _Column(), _Column(), _Column(np.int32), _Column(np.int32)
+        self.byte_runs: dict[str, int] = {}
+        self.byte_first, self.byte_count, self.byte_pieces = _Column(np.int64), _Column(np.int64), _Column(np.uint32)
+        self.marks = None
+        self.path, self.path_end = _Column(np.int64), _Column(np.int64)  # edges of drawn segmentations
+
+    def forget(self) -> None:
+        """Drops the segmentations that were drawn."""
+        if self.marks:
+            self.log_p.size, self.pieces.size = self.marks
+            self.others.size = self.end.size = self.marks[0]
+        self.path.size = self.path_end.size = 0
+        self.marks = self.log_p.size, self.pieces.size
 
     def segmentations(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
         """All segmentations of a unit with unnormalised log-weights."""
@@ -147,60 +183,322 @@ class Lattice:
                 ways[i] += [(w + s, (*own, *rest)) for s, rest in ways[i + 1]]
         return ways[0]
 
+    def _grow(self, units: list[str]) -> np.ndarray:
+        """Adds nodes and edges of units; their first nodes."""
+        ids, weight, exp, longest = self.ids, self._weights, math.exp, self.longest
+        roots, first, count = [], [], []
+        cumulative, log_p, others, to, piece = [], [], [], [], []
+        node, edges = self.edge.size, self.edge_cumulative.size
+        for unit in units:
+            n = len(unit)
+            ways = [0.0] * (n + 1)  # log of the sum over all ways to the end
+            made: list = [None] * n
+            for i in range(n - 1, -1, -1):
+                own = []
+                for j in range(i + 1, min(n, i + longest) + 1):
+                    k = ids.get(unit[i:j])
+                    if k is not None:
+                        own.append((weight[k] + ways[j], j, k))
+                    elif j == i + 1:  # a character that is no piece: its bytes
+                        k = self._bytes_of(unit[i])
+                        own.append((sum(weight[self.bytes[b]] for b in _utf8(unit[i])) + ways[j], j, -1 - k))
+                if len(own) > 1:
+                    own.sort(reverse=True)
+                    top = own[0][0]
+                    ways[i] = top + math.log(sum(exp(w - top) for w, _, _ in own))
+                else:
+                    ways[i] = own[0][0]
+                made[i] = own
+            roots.append(node)
+            for i, own in enumerate(made):
+                first.append(edges + len(to))
+                count.append(len(own))
+                if len(own) == 1:
+                    _, j, k = own[0]
+                    cumulative.append(node + i + 1.0)
+                    log_p.append(0.0)
+                    others.append(0.0)
+                    to.append(node + j if j < n else -1)
+                    piece.append(k)
+                    continue
+                p = [exp(w - ways[i]) for w, _, _ in own]
+                upto = 0.0
+                for x, (w, j, k) in zip(p, own, strict=True):
+                    upto += x
+                    cumulative.append(node + i + min(upto, 1.0))
+                    log_p.append(w - ways[i])
+                    others.append(1.0 - x)
+                    to.append(node + j if j < n else -1)
+                    piece.append(k)
+                others[-len(p)] = sum(p[1:])  # of the likeliest without rounding residue
+            node += n
+        self.edge.add(first)
+        self.edges.add(count)
+        for column, values in ((self.edge_cumulative, cumulative), (self.edge_log_p, log_p), (self.edge_others, others), (self.edge_to, to), (self.edge_piece, piece)):
+            column.add(values)
+        return np.array(roots, np.int64)
+
+    def _grow_all(self, units: list[str]) -> np.ndarray:
+        """As `_grow`, all units at once."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        code = _code_points("".join(units))
+        size = len(code)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(size)  # characters from each node to its unit's end
+        src, length, piece, weight = [], [], [], []
+        h = np.zeros(size, np.uint64)
+        for n in range(1, min(self.longest, int(sizes.max())) + 1):
+            h = _longer(h[: size - n + 1], code[n - 1 :])
+            keys, values, filled = self._pieces_of(n)
+            at = np.flatnonzero(filled[h >> K.U64(44)] & (left[: len(h)] >= n))
+            spot = np.minimum(np.searchsorted(keys, h[at]), max(0, len(keys) - 1))
+            hit = keys[spot] == h[at] if len(keys) else np.zeros(len(at), bool)
+            at, k = at[hit], values[spot[hit]] if len(keys) else np.zeros(0, np.int64)
+            if n == 1:  # characters that are no pieces: their bytes
+                bare = np.ones(size, bool)
+                bare[at] = False
+                bare = np.flatnonzero(bare)
+                kinds, which = np.unique(code[bare], return_inverse=True)
+                runs = np.array([self._bytes_of(chr(int(c))) for c in kinds], np.int64)
+                heavy = np.array([sum(self._weights[self.bytes[b]] for b in _utf8(chr(int(c)))) for c in kinds])
+                if len(bare):
+                    src.append(bare)
+                    length.append(np.ones(len(bare), np.int64))
+                    piece.append(-1 - runs[which])
+                    weight.append(heavy[which])
+            src.append(at)
+            length.append(np.full(len(at), n))
+            piece.append(k)
+            weight.append(self.weight[k])
+        src, length, piece, value = (np.concatenate(x) for x in (src, length, piece, weight))
+        # sums over all ways to the end, the nodes next to it first
+        order = np.lexsort((src, left[src]))
+        src, length, piece, value = src[order], length[order], piece[order], value[order]
+        ends = length == left[src]
+        to = np.where(ends, size, src + length)
+        ways = np.zeros(size + 1)
+        cuts = np.searchsorted(left[src], np.arange(1, int(sizes.max()) + 2))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = src[lo:hi]
+            begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            value[lo:hi] += ways[to[lo:hi]]
+            top = np.maximum.reduceat(value[lo:hi], begin)
+            n = np.diff(np.append(begin, hi - lo))
+            ways[own[begin]] = top + np.log(np.add.reduceat(np.exp(value[lo:hi] - np.repeat(top, n)), begin))
+        # at each node the likeliest edge first
+        order = np.lexsort((-value, src))
+        src, piece, to, log_p = src[order], piece[order], to[order], (value - ways[src])[order]
+        count = np.bincount(src, minlength=size)
+        begin = np.cumsum(count) - count
+        p = np.exp(log_p)
+        upto = np.cumsum(p)
+        upto = np.minimum(upto - np.repeat(upto[begin] - p[begin], count), 1.0)
+        rest, top = 1.0 - p, p.copy()
+        top[begin] = 0.0
+        rest[begin] = np.add.reduceat(top, begin)
+        node, edges = self.edge.size, self.edge_cumulative.size
+        self.edge.add(edges + begin)
+        self.edges.add(count)
+        self.edge_cumulative.add(upto + node + src)
+        self.edge_log_p.add(log_p)
+        self.edge_others.add(rest)
+        self.edge_to.add(np.where(to < size, node + to, -1))
+        self.edge_piece.add(piece)
+        return node + np.cumsum(sizes) - sizes
+
+    def _pieces_of(self, n: int):
+        """(sorted hashes, pieces, which leading bits of hashes there are) of the pieces of n characters."""
+        if n not in self._by_length:
+            own = [(x, i) for x, i in self.ids.items() if len(x) == n]
+            code = _code_points("".join(x for x, _ in own)).reshape(-1, n)
+            h = np.zeros(len(own), np.uint64)
+            for k in range(n):
+                h = _longer(h, code[:, k])
+            order = np.argsort(h)
+            filled = np.zeros(1 << 20, bool)
+            filled[h >> K.U64(44)] = True
+            self._by_length[n] = h[order], np.array([i for _, i in own], np.int64)[order], filled
+        return self._by_length[n]
+
+    def _bytes_of(self, character: str) -> int:
+        k = self.byte_runs.get(character)
+        if k is None:
+            k = self.byte_runs[character] = len(self.byte_runs)
+            own = [self.bytes[b] for b in _utf8(character)]
+            self.byte_first.add([self.byte_pieces.size])
+            self.byte_count.add([len(own)])
+            self.byte_pieces.add(own)
+        return k
+
     def learn(self) -> None:
-        """The segmentations of all units that have a number but none yet."""
+        """The segmentations or edges of all units that have a number but none yet."""
+        self.forget()
         new, found = self.index.new, []
-        sizes = np.empty(len(new), np.int64)
+        sizes = np.zeros(len(new), np.int64)
+        roots = np.full(len(new), -1)
+        for grow, least, most in ((self._grow_all, self.config.unit, _VERY_LONG), (self._grow, _VERY_LONG, math.inf)):
+            own = [k for k, unit in enumerate(new) if max(least, self.config.unit) < len(unit) <= most]
+            if own:
+                roots[own] = grow([new[k] for k in own])
         for k, unit in enumerate(new):
-            own = self.segmentations(unit)
-            sizes[k] = len(own)
-            found += own
+            if roots[k] < 0:
+                own = self.segmentations(unit)
+                sizes[k] = len(own)
+                found += own
         new.clear()
-        if not len(sizes):
-            return
         at = self.first.size
+        self.root.add(roots)
+        self.count.add(sizes)
+        if not found:
+            self.first.add(np.zeros(len(sizes), np.int64))
+            return
         w, owner, begin = np.array([s for s, _ in found]), K.row_of(sizes), np.cumsum(sizes) - sizes
         # within a unit the likeliest first
         order = np.lexsort((-w, owner))
         w = w[order]
-        p = np.exp(w - w[begin][owner])
-        total = np.add.reduceat(p, begin)
+        p = np.exp(w - w[begin[owner]])
+        listed = np.flatnonzero(sizes)
+        total = np.ones(len(sizes))
+        total[listed] = np.add.reduceat(p, begin[listed])
         p /= total[owner]
         sums = np.concatenate([[0.0], np.cumsum(p)])
         upto = np.minimum(sums[1:] - sums[begin][owner], 1.0)
-        self.first.add(self.log_p.size + begin)
-        self.count.add(sizes)
-        self.log_p.add(w - (w[begin] + np.log(total))[owner])
+        self.first.add(np.where(sizes > 0, self.log_p.size + begin, 0))
+        self.log_p.add(w - (w[begin[owner]] + np.log(total)[owner]))
         # of the likeliest by the sum of the others, so that nearly certain ones leave no rounding residue
         rest = 1.0 - p
         top = p.copy()
-        top[begin] = 0.0
-        rest[begin] = np.add.reduceat(top, begin)
+        top[begin[listed]] = 0.0
+        rest[begin[listed]] = np.add.reduceat(top, begin[listed])
         rest[begin[sizes == 1]] = 0.0
         with np.errstate(divide="ignore"):
             self.others.add(np.log(np.maximum(rest, 0.0)))
         self.cumulative.add(upto + at + owner)
-        listed = [found[k][1] for k in order]
-        self.end.add(self.pieces.size + np.cumsum([len(x) for x in listed]))
-        self.pieces.add([k for x in listed for k in x])
+        coded = [found[k][1] for k in order]
+        self.end.add(self.pieces.size + np.cumsum([len(x) for x in coded]))
+        self.pieces.add([k for x in coded for k in x])
+        self.marks = self.log_p.size, self.pieces.size
 
     def units(self, text: str) -> np.ndarray:
         """Numbers of a text's units; `learn` must follow before they are used."""
         if not text:
             return np.zeros(0, np.int64)
-        size = self.config.unit
         if MARK in text:
             text = text.replace(MARK, _OWN_MARK)
-        parts: list[str] = []
-        add = parts.append
-        for word in text.split(" "):
-            if len(word) < size:
-                add(MARK + word)
-            else:
-                word = MARK + word
-                parts += [word[i : i + size] for i in range(0, len(word), size)]
+        parts = [MARK + word for word in text.split(" ")]
         return np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
 
+    def draw(self, root: np.ndarray, base: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Draws a segmentation from each root; their numbers."""
+        first, many, cumulative, log_p, others, to = (x.used for x in (self.edge, self.edges, self.edge_cumulative, self.edge_log_p, self.edge_others, self.edge_to))
+        total, missed = np.zeros(len(root)), np.zeros(len(root))
+        live, node = np.arange(len(root)), root
+        which, taken, step = [], [], 0
+        while len(live):
+            if step % 2:
+                u = spare  # noqa: F821
+            else:
+                u, spare = _uniform(K.mix(base + K.U64((step + 1) * 0xD6E8FEB86659FD93 & (2**64 - 1))), count)
+            e, n = first[node], many[node]
+            target = node + u
+            far = np.flatnonzero((target > cumulative[e]) & (n > 1))
+            for k in range(1, 4):  # few are further down
+                e[far] += 1
+                far = far[(target[far] > cumulative[e[far]]) & (k < n[far] - 1)]
+            if len(far):
+                e[far] = np.minimum(np.searchsorted(cumulative, target[far]), first[node[far]] + n[far] - 1)
+            missed[live] += np.exp(total[live]) * others[e]
+            total[live] += log_p[e]
+            which.append(live)
+            taken.append(e)
+            node = to[e].astype(np.int64)
+            go = node >= 0
+            live, node, base, count, spare, step = live[go], node[go], base[go], count[go], spare[go], step + 1
+        if not which:
+            return np.zeros(0, np.int64)
+        of = np.concatenate(which)
+        order = np.argsort(of, kind="stable")
+        return self._keep(np.concatenate(taken)[order], np.bincount(of, minlength=len(root)), total, missed)
+
+    def _keep(self, edges: np.ndarray, sizes: np.ndarray, total: np.ndarray, missed: np.ndarray) -> np.ndarray:
+        """Adds drawn segmentations, given by their edges; their numbers."""
+        at = self.log_p.size
+        self.log_p.add(total)
+        with np.errstate(divide="ignore"):
+            self.others.add(np.log(missed))
+        piece = self.edge_piece.data[edges]
+        ends = np.cumsum(sizes)
+        self.path_end.add(self.path.size + ends)
+        self.path.add(edges)
+        if (piece < 0).any():
+            runs = np.maximum(-1 - piece, 0)
+            n = np.where(piece < 0, self.byte_count.data[runs], 1)
+            upto = np.cumsum(n)
+            place = np.arange(upto[-1]) - np.repeat(upto - n, n)
+            flat = np.repeat(piece, n)
+            byte = flat < 0
+            flat[byte] = self.byte_pieces.data[(np.repeat(self.byte_first.data[runs], n) + place)[byte]]
+            piece, ends = flat, upto[ends - 1]
+        self.end.add(self.pieces.size + ends)
+        self.pieces.add(piece)
+        return np.arange(at, self.log_p.size)
+
+    def draw_without(self, root: int, without: tuple[int, ...], seed: int) -> tuple[int, float]:
+        """A segmentation from `root` that is none of the drawn ones `without`, and the log-probability of all that are then left."""
+        first, many, log_p, others, to, path, end = (x.data for x in (self.edge, self.edges, self.edge_log_p, self.edge_others, self.edge_to, self.path, self.path_end))
+        chance = random.Random(seed).random
+        tree: dict = {}
+
+        def exclude(edges):
+            at = tree
+            for e in edges:
+                at = at.setdefault(e, {})
+
+        def left() -> dict[int, tuple[list[int], list[float], float]]:
+            """By the part of the tree: edges, their probabilities without what is excluded, and the sum. Only sums, so that nothing cancels."""
+            every, k = [(tree, root)], 0
+            while k < len(every):
+                at, node = every[k]
+                every += [(x, int(to[e])) for e, x in at.items() if to[e] >= 0]
+                k += 1
+            found: dict = {}
+            for at, node in reversed(every):
+                edges = list(range(int(first[node]), int(first[node] + many[node])))
+                p = np.exp(log_p[edges[0] : edges[-1] + 1]).tolist()
+                for i, e in enumerate(edges):
+                    if e in at:
+                        p[i] *= found[id(at[e])][2] if to[e] >= 0 else 0.0
+                found[id(at)] = edges, p, sum(p)
+            return found
+
+        for k in without:
+            k -= self.marks[0]
+            exclude(path[end[k - 1] if k else 0 : end[k]].tolist())
+        found = left()
+        at, node, own = tree, root, []
+        total = missed = 0.0
+        while node >= 0:
+            if at is not None:
+                edges, p, mass = found[id(at)]
+            else:
+                edges = range(int(first[node]), int(first[node] + many[node]))
+                p = np.exp(log_p[edges[0] : edges[-1] + 1]).tolist()
+                mass = sum(p)
+            u = chance() * mass
+            pick = None
+            for e, x in zip(edges, p, strict=True):
+                if x > 0:
+                    pick, u = e, u - x
+                    if u < 0:
+                        break
+            own.append(pick)
+            missed += math.exp(total) * float(others[pick])
+            total += float(log_p[pick])
+            at, node = at.get(pick) if at is not None else None, int(to[pick])
+        exclude(own)
+        mass = left()[id(tree)][2]
+        (k,) = self._keep(np.array(own), np.array([len(own)]), np.array([total]), np.array([missed]))
+        return int(k), math.log(mass) if mass > 0 else -math.inf
+
     def decode(self, ids) -> str:
         """The text of a segmentation that `sample` made."""
         return b"".join(map(self.texts.__getitem__, ids))[1:].decode()
@@ -213,7 +511,7 @@ def _uniform(base: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class _Part:
-    """Segmentations that agree with `choice` before unit `at` and there have none of `without`."""
+    """Segmentations of a text that agree with `choice` before unit `at` and there have none of `without`."""
 
     __slots__ = ("at", "choice", "value", "without")
 
@@ -227,14 +525,16 @@ class _Part:
 def top_k(lattice: Lattice, texts: list[np.ndarray], k: int, keys: list[int]):
     """Of each text (its units): ([(choice of each unit, log-probability, perturbed value)] of at most
     k distinct segmentations, value of the next one or None). Texts are drawn independently, side by side."""
-    first, count, log_p, others, cumulative = (x.used for x in (lattice.first, lattice.count, lattice.log_p, lattice.others, lattice.cumulative))
+    lattice.forget()
+    first, count, cumulative, root = (x.used for x in (lattice.first, lattice.count, lattice.cumulative, lattice.root))
     sizes = np.array([len(x) for x in texts])
     ends = np.cumsum(sizes)
     starts = ends - sizes
     units = np.concatenate([np.zeros(0, np.int64), *texts])
     row = K.row_of(sizes)
     place = np.arange(len(units)) - starts[row]
-    begin, ways = first[units], count[units]
+    begin, ways, root = first[units], count[units], root[units]
+    long = root >= 0
     base = K.mix(np.array(keys, np.uint64))
     each = base[row]
     roots = -np.log(-np.log(_uniform(base, np.zeros(len(texts)))[0]))
@@ -251,17 +551,23 @@ def top_k(lattice: Lattice, texts: list[np.ndarray], k: int, keys: list[int]):
         u, noise = _uniform(each, 1 + place + turn * (1 << 40))
         choice = begin.copy()
         target = units + u
-        other = np.flatnonzero((target > cumulative[begin]) & (ways > 1))
+        other = np.flatnonzero(ways > 1)
+        other = other[target[other] > cumulative[begin[other]]]
         for step in range(1, 4):  # few are further down
             choice[other] += 1
             other = other[(target[other] > cumulative[choice[other]]) & (step < ways[other] - 1)]
         choice[other] = np.minimum(np.searchsorted(cumulative, target[other]), begin[other] + ways[other] - 1)
+        drawn = np.flatnonzero(long & (place >= lo[row]) & live[row])
+        choice[drawn] = lattice.draw(root[drawn], each[drawn], (1 + place + turn * (1 << 40))[drawn])
         left_mass = np.full(len(texts), -np.inf)
         for r in np.flatnonzero(live & (sizes > 0)):
             part, at = parts[r], starts[r] + lo[r]
             if part.choice is not None:
                 choice[starts[r] : at] = part.choice[: lo[r]]
-            if part.without:
+            if part.without and long[at]:
+                choice[at], left_mass[r] = lattice.draw_without(int(root[at]), part.without, int(each[at]) << 64 | int(place[at]) + turn * (1 << 40))
+            elif part.without:
+                log_p = lattice.log_p.data
                 p = np.exp(log_p[begin[at] : begin[at] + ways[at]])
                 p[np.array(part.without) - begin[at]] = 0
                 c = np.cumsum(p)
@@ -271,7 +577,10 @@ def top_k(lattice: Lattice, texts: list[np.ndarray], k: int, keys: list[int]):
                 total = p.sum()
                 left_mass[r] = np.log(total) if total > 0 else -np.inf
             else:
-                left_mass[r] = others[choice[at]]
+                left_mass[r] = lattice.others.data[choice[at]]
+        # of texts that have no part left nothing is drawn or used
+        choice[long & ~live[row]] = 0
+        log_p, others = lattice.log_p.data, lattice.others.data
         own = log_p[choice]
         so_far = np.concatenate([[0.0], np.cumsum(own)])
         # what is left of each part, split at every unit from its first open one on
@@ -308,7 +617,7 @@ def ids_of(lattice: Lattice, choices: list[np.ndarray]) -> list[np.ndarray]:
 
 def samples(lattice: Lattice, texts: list[str], keys: list[int]):
     """Of each text [(ids, log-probability, perturbed value, inclusion score)]."""
-    if len(lattice.index) > lattice.config.cache:
+    if len(lattice.index) > lattice.config.cache or lattice.edge_to.size > 32 * lattice.config.cache:
         lattice.clear()
     units = [lattice.units(x) for x in texts]
     lattice.learn()
