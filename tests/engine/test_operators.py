@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codec, estimates
 from tidemark.operators import bloom, cache, changelog, commands, compaction, manifest, merge, snapshot, tables
+from tidemark.plans import catalog
 from tidemark.sources import directory, frames, manifest_log, sstable, wal
 from tidemark.store import Store
 
@@ -239,3 +240,11 @@ def test_a_binary_database_is_loaded(spark, tmp_path):
     db = Store.open(spark, str(tmp_path / "db"))
     db.write_frame(directory.load(spark, str(tmp_path)))
     assert db.get("b") == b"from the log" and db.snapshot().count() == 3
+
+
+def test_bloom_query_probes_every_key(spark, tmp_path):
+    spark.range(-300, 200).withColumnRenamed("id", "user_id").write.parquet(f"{tmp_path}/events.parquet")
+    assert tuple(catalog.bloom_no_false_negatives(spark, str(tmp_path)).first()) == (500, 500)
+    keys = spark.range(4000).withColumnRenamed("id", "user_id")
+    got = bloom.probed(keys, keys.where("user_id < 2000"), "user_id", 2000).collect()
+    assert all(r.maybe for r in got if r.user_id < 2000) and sum(r.maybe for r in got if r.user_id >= 2000) < 60

@@ -3,8 +3,26 @@
 from __future__ import annotations
 
 import io
+import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def _places(key: Column, bits: int, hashes: int) -> Column:
+    """The bits of a key, by double hashing."""
+    a, b = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(bits)) for seed in (0, 1))
+    return F.array_distinct(F.array(*[F.pmod(a + b * k, F.lit(bits)) for k in range(hashes)]))
+
+
+def probed(keys: DataFrame, rows: DataFrame, column: str, expected: int, error: float = 0.01) -> DataFrame:
+    """`keys` (distinct) and `maybe`: whether a filter of `rows` may hold them. The filter is a table of its set bits, so nothing of it meets in one place."""
+    n = max(1, expected)
+    bits = math.ceil(-n * math.log(error) / math.log(2) ** 2)
+    hashes = max(1, round(bits / n * math.log(2)))
+    held = rows.select(F.explode(_places(F.col(column), bits, hashes)).alias("bit")).distinct().withColumn("held", F.lit(True))
+    asked = keys.select(column, F.explode(_places(F.col(column), bits, hashes)).alias("bit"))
+    return asked.join(held, "bit", "left").groupBy(column).agg(F.bool_and(F.col("held").isNotNull()).alias("maybe"))
 
 
 class BloomFilter:
