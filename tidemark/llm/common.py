@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +21,12 @@ def held_out(folds: int, doc_id: str = "doc_id") -> Column:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise `df` in the folder that spark.checkpoint.dir names, and cut its lineage.
 
-    A folder of this machine is used only where the setting is absent, as in tests."""
+    A folder of this machine is used only where the setting is absent and Spark runs on this
+    machine alone, as in tests; on a cluster that is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint()

@@ -1,9 +1,10 @@
 """Quality classifier: hashed word n-gram logistic regression, trained by FTRL-proximal.
 
-Training takes a bounded sample of labelled rows (`Config.sample`), chosen by a hash of
-the id, so the model does not depend on partitioning. Scoring is a sparse dot product of
+Training takes a bounded sample of labelled documents (`Config.sample`), chosen by a hash of
+the id, so the model does not depend on partitioning; it runs in one task of an executor, which
+holds that sample and nothing else. Scoring is a sparse dot product of
 each whole text's n-gram counts with the weights, vectorised over Arrow batches; the
-weights (2**bits doubles) are the only thing broadcast.
+weights that are not zero (2**bits at most) are the only thing broadcast.
 
 Defined cases: null and empty texts have no n-gram and score the bias alone; a document
 whose labels disagree does not train; without both classes the score is the known
@@ -124,8 +125,8 @@ def features(docs: DataFrame, config: Config, *keep: str) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], config: Config) -> Model:
-    """Follow the regularised leader, proximal form, one row after the other."""
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], config: Config) -> tuple[np.ndarray, float]:
+    """Follow the regularised leader, proximal form, one row after the other: (weights, bias)."""
     size = 1 << config.bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     w = np.zeros(size + 1)
@@ -135,7 +136,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], config: Config) -> Mode
     for _ in range(config.epochs):
         for r in order.permutation(len(rows)):
             ids, x, y = rows[r]
-            ids, x = np.append(ids, size), np.append(x, 1.0)
+            ids, x = np.append(ids.astype(np.int64), size), np.append(x, 1.0)
             zi, ni = z[ids], n[ids]
             wi = np.where(np.abs(zi) <= config.l1, 0.0, (np.sign(zi) * config.l1 - zi) / ((config.beta + np.sqrt(ni)) / config.alpha + config.l2))
             p = 1 / (1 + np.exp(-np.clip(wi @ x, -35, 35)))
@@ -145,32 +146,53 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], config: Config) -> Mode
             n[ids] = ni + g * g
     live = np.abs(z) > config.l1
     w[live] = (np.sign(z[live]) * config.l1 - z[live]) / ((config.beta + np.sqrt(n[live])) / config.alpha + config.l2)
-    return Model(w[:size], float(w[size]), config)
+    return w[:size], float(w[size])
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, config: Config = Config()) -> Model:
-    """Fit on at most `config.sample` documents for which `usable` holds and whose labels agree."""
+    """Fit on at most `config.sample` documents for which `usable` holds and whose labels agree.
+
+    Of rows that repeat a doc_id the one whose vector sorts first trains. The vectors meet in one
+    task of an executor, in the order of their ids; the driver gets the weights that are not zero."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & usable).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("_top")).where(F.col("y") == F.col("_top"))
     chosen = known.select(F.col("doc_id").alias("_id"), F.col("y").cast("int").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(config.sample)
     # at most config.sample pairs of numbers are broadcast
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text")
-    got = sorted(features(found, config, "doc_id", "y").limit(2 * config.sample).toLocalIterator(), key=lambda r: (r.doc_id, bytes(r.ids)))
-    rows = [(np.frombuffer(r["ids"], "<u4").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(np.float64), int(r["y"])) for r in got]
-    classes = {y for *_, y in rows}
-    if len(classes) < 2:
-        bias = {(): 0.0, (0,): -35.0, (1,): 35.0}[tuple(sorted(classes))]
-        return Model(np.zeros(1 << config.bits), bias, config)
-    return ftrl(rows, config)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
+    vectors = features(found, config, "doc_id", "y")
+    vectors = vectors.groupBy("doc_id", "y").agg(F.min(F.struct("ids", "values")).alias("v")).select("doc_id", "y", "v.ids", "v.values")
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column("doc_id").to_numpy(), kind="stable")))
+        made = zip(table.column("ids"), table.column("values"), table.column("y").to_pylist(), strict=True)
+        rows = [(np.frombuffer(i.as_buffer(), "<u4"), np.frombuffer(v.as_buffer(), "<f4"), y) for i, v, y in made]
+        classes = {y for *_, y in rows}
+        if len(classes) < 2:
+            weights, bias = np.zeros(1), 35.0 if classes == {1} else -35.0
+        else:
+            weights, bias = ftrl(rows, config)
+        at = np.flatnonzero(weights)
+        return pa.table({"ids": pa.array([at.astype("<u4").tobytes()], pa.binary()), "weights": pa.array([weights[at].astype("<f8").tobytes()], pa.binary()), "bias": [bias]})
+
+    got = vectors.groupBy(F.lit(0).alias("_all")).applyInArrow(fit, "ids binary, weights binary, bias double").collect()  # one row at most
+    weights = np.zeros(1 << config.bits)
+    if not got:
+        return Model(weights, 0.0, config)
+    weights[np.frombuffer(got[0]["ids"], "<u4")] = np.frombuffer(got[0]["weights"], "<f8")
+    return Model(weights, got[0]["bias"], config)
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """`keep` columns and `score`, the probability of label 1, of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = np.flatnonzero(model.weights)
+    shared = docs.sparkSession.sparkContext.broadcast((at, model.weights[at], model.bias, model.config))
 
     def run(batches):
+        at, values, bias, config = shared.value
+        weights = np.zeros(1 << config.bits)
+        weights[at] = values
         for batch in batches:
             raw, offsets, _ = K.buffers(batch.column(batch.num_columns - 1))
-            p = probability(dot(raw, offsets, shared.value))
+            p = probability(dot(raw, offsets, Model(weights, bias, config)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*keep, "score"])
 
     schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "score double"])
