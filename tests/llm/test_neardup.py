@@ -76,3 +76,25 @@ def test_parity_bits_bound_the_difference():
     b = np.unique(np.concatenate([a[:180], r.integers(0, 2**63, 15).astype(np.uint64)]))
     x, y = neardup.odd_bits(np.concatenate([a, b]), np.array([len(a), len(b)])).view(np.uint64)
     assert sum(int(v).bit_count() for v in x ^ y) <= len(np.setxor1d(a, b))
+
+
+def test_repeated_ids_with_other_texts(documents):
+    """Of rows that share an id the largest set counts, in links and in components."""
+    r = random.Random(9)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    long, short = words(62), words(59)
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(long)), (1, " ".join(short)), (2, near(long)), (3, near(short)), (4, " ".join(short)), (1, None)]
+    got = neardup.groups(documents(rows), neardup.Config(width=2)).collect()
+    by = sorted((r.doc_id, r.n_shingles, r.component_id) for r in got)
+    assert by == [(1, 0, 1), (1, 58, 1), (1, 61, 1), (2, 61, 1), (3, 58, 3), (4, 58, 3)]
+    tied = [(7, " ".join(long)), (7, " ".join(words(62))), (8, near(long))]
+    runs = {tuple(sorted((r.doc_id, r.component_id) for r in neardup.groups(documents(tied, parts), neardup.Config(width=2)).collect())) for parts in (1, 2, 3)}
+    assert len(runs) == 1
+
+
+def test_a_bucket_of_many_unlike_classes(documents):
+    """Parts of a hot bucket are put in order by themselves; no link is lost by that."""
+    rows = made(seed=8)
+    one = {r.doc_id: r.component_id for r in neardup.groups(documents(rows), neardup.Config(width=2, bands=8, rows=1, part=3)).collect()}
+    assert one == {i: c for i, (_, c) in plain_groups(rows, 2).items()}

@@ -8,7 +8,7 @@
 3. `bands` bands of `rows` registers put classes into buckets. With the defaults a pair at the
    threshold shares none with probability (1 - 0.8**7)**48 = 9e-6, and less above it.
 4. In a bucket each class is paired with the smallest id and with its neighbour in the order of
-   the signature; pairs are confirmed on full shingle sets, and components are labelled by
+   sizes (inside parts of about `part` classes, so that no task holds a hot bucket); pairs are confirmed on full shingle sets, and components are labelled by
    alternating minimum joins with checkpoints.
 5. Buckets that then still hold several components get the rest: every class outside the
    bucket's largest component against every class of another component. A bound that no similar
@@ -17,9 +17,10 @@
    link between components is lost, and no pair inside a component is spelled out.
 
 Defined cases: null, empty and white-space texts have an empty set, n_shingles 0, and are linked
-with nothing; a text with fewer words than a shingle is one shingle; rows that repeat a doc_id
-are one node, of which the largest set counts; rows with null doc_id are returned with
-component_id null and kept true; further columns are ignored.
+with nothing; a text with fewer words than a shingle is one shingle; of rows that repeat a doc_id
+the one with the largest set counts (of equal sizes the one whose set's digest sorts first), and the
+others get its component; rows with null doc_id are returned with component_id null and kept true;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ class Config:
     percent: int = 80  # least similarity, as 100 * intersection >= percent * union
     bands: int = 48
     rows: int = 7
+    part: int = 4096  # classes of a hot bucket that one task puts in order
 
     @property
     def registers(self) -> int:
@@ -104,6 +106,10 @@ def superminhash(s: np.ndarray, counts: np.ndarray, m: int) -> np.ndarray:
     return sig.reshape(n, m)
 
 
+def _digest(members: bytes) -> bytes:
+    return hashlib.blake2b(members, digest_size=16).digest()
+
+
 def sketch(docs: DataFrame, config: Config) -> DataFrame:
     """doc_id, n_shingles, digest of the set and the band hashes of every row; the last two are null for an empty set."""
 
@@ -125,7 +131,7 @@ def sketch(docs: DataFrame, config: Config) -> DataFrame:
                     h = K.mix(h + np.arange(1, config.bands + 1, dtype=np.uint64)).view(np.int64)
                     for r in range(lo, hi):
                         if n[r]:
-                            digests[i + r] = hashlib.blake2b(s[ends[r] - n[r] : ends[r]].tobytes(), digest_size=16).digest()
+                            digests[i + r] = _digest(s[ends[r] - n[r] : ends[r]].tobytes())
                             bands[i + r] = h[r - lo]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
 
@@ -143,11 +149,12 @@ def odd_bits(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def set_bytes(docs: DataFrame, config: Config) -> DataFrame:
-    """doc_id and the sorted shingle set of every row, as little-endian 64-bit numbers."""
+    """doc_id and the sorted shingle set, as little-endian 64-bit numbers, of the rows (doc_id, digest, text) whose set has that digest."""
 
     def run(batches):
         for batch in batches:
             raw, offsets, _ = K.buffers(batch.column("text"))
+            wanted = batch.column("digest").to_pylist()
             sets: list = []
             odd: list = []
             for i, j, s, n in shingle_sets(raw, offsets, config.width):
@@ -156,9 +163,10 @@ def set_bytes(docs: DataFrame, config: Config) -> DataFrame:
                 for lo in range(0, j - i, 4096):
                     hi = min(j - i, lo + 4096)
                     odd += list(odd_bits(s[ends[lo] - n[lo] : ends[hi - 1]], n[lo:hi]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary()), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "members", "odd"])
+            own = pa.array([_digest(x) == w for x, w in zip(sets, wanted, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary()), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "members", "odd"]).filter(own)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, members binary, odd array<long>")
+    return docs.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, members binary, odd array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, config: Config) -> DataFrame:
@@ -204,19 +212,24 @@ def groups(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs`."""
     marks = checkpoint(sketch(docs, config))
     full = marks.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = checkpoint(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")))
+    # the set that counts for each id; maps send one row of an id
+    order = Window.partitionBy("doc_id").orderBy(F.desc("n_shingles"), "digest")
+    ids = checkpoint(full.select("doc_id", "n_shingles", "digest").withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank"))
+    classes = checkpoint(ids.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")))
 
     # buckets of at least two classes, each class with the bucket's least id and the one before it
     own = full.where(F.col("bands").isNotNull()).select("digest", "doc_id", "bands")
-    reps = own.hint("merge").join(classes.hint("merge"), (own.doc_id == classes.node) & (own.digest == classes.digest)).select("node", "n", "bands").dropDuplicates(["node", "n"])
+    own = own.join(classes.withColumnRenamed("node", "doc_id").hint("merge"), ["doc_id", "digest"])
+    reps = checkpoint(own.dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "n", "bands"))
     rows = reps.select("node", "n", F.explode("bands").alias("bucket"))
-    bucket = Window.partitionBy("bucket")
-    rows = rows.select("node", "n", "bucket", F.lag("node").over(bucket.orderBy("n", "node")).alias("before"), F.min("node").over(bucket).alias("hub"), F.max("node").over(bucket).alias("last"))
-    shared = checkpoint(rows.where(F.col("hub") != F.col("last")).drop("last"))
+    buckets = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("held")).where("held > 1")
+    shared = rows.hint("merge").join(buckets.hint("merge"), "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / config.part)))
+    beside = Window.partitionBy("bucket", "part").orderBy("n", "node")
+    shared = checkpoint(shared.repartition("bucket", "part").select("node", "n", "bucket", "hub", F.lag("node").over(beside).alias("before")))
 
     alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * config.percent
-    wanted = shared.select(F.col("node").alias("doc_id")).distinct()
-    sets = checkpoint(set_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), config))
+    wanted = shared.select("node").distinct().hint("merge").join(classes.select("node", "digest").hint("merge"), "node").select(F.col("node").alias("doc_id"), "digest")
+    sets = checkpoint(set_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").hint("merge").join(wanted.hint("merge"), "doc_id"), config))
 
     ordered = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     near = shared.groupBy("node").agg(F.min("hub").alias("hub"), F.min("before").alias("before"))
@@ -247,7 +260,7 @@ def groups(docs: DataFrame, config: Config = Config()) -> DataFrame:
             more = more.join(at, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
         upper = components(more.select("u", "v").where("u <> v"))
         named = named.join(upper.withColumnRenamed("node", "component_id"), "component_id", "left").select("digest", F.coalesce("component", "component_id").alias("component_id"))
-    named = checkpoint(named)
-    linked = full.select("doc_id", "n_shingles", "digest").hint("merge").join(named.hint("merge"), "digest").select("doc_id", "n_shingles", "component_id")
+    placed = ids.select("doc_id", "digest").hint("merge").join(checkpoint(named).hint("merge"), "digest").select("doc_id", "component_id")
+    linked = full.select("doc_id", "n_shingles").hint("merge").join(placed.hint("merge"), "doc_id").select("doc_id", "n_shingles", "component_id")
     alone = marks.where(F.col("digest").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
