@@ -1,3 +1,5 @@
+import math
+import unicodedata
 import zlib
 
 import numpy as np
@@ -66,15 +68,47 @@ def test_language_defined_cases(spark, documents, odd):
     assert langid.predict(documents([]), model, "doc_id").collect() == []
 
 
-def test_language_score_is_the_posterior(spark, documents):
-    docs = documents([(1, "abc abc", "x"), (2, "bcd bcd", "y"), (3, "ab cd")], 1)
-    model = langid.train(docs, F.lit(True), langid.Config(bits=8, orders=(1,)))
-    got = {r.doc_id: r.score for r in langid.predict(docs, model, "doc_id").collect()}
-    buckets = lambda t: [b for x, _ in langid._buckets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), model.config) for b in x]
-    ll = [sum(float(model.logp[k][b]) for b in buckets("ab cd")) + model.prior[k] for k in (0, 1)]
-    assert abs(got[3] - max(np.exp(ll)) / sum(np.exp(ll))) < 1e-5
+def plain_grams(text, orders, bits):
+    """Buckets of a text's n-grams, one character after the other."""
+    folded = []
+    for ch in text:
+        c = (ch.lower() if len(ch.lower()) == 1 else ch) if unicodedata.category(ch)[0] in "LM" else " "
+        if c != " " or not folded or folded[-1] != " ":
+            folded.append(c)
+    for n in orders:
+        for i in range(len(folded) - n + 1):
+            g = 0
+            for c in folded[i : i + n]:
+                g = (g * 0x01000193 + ord(c) + 1) & 0xFFFFFFFF
+            yield (((g ^ (g >> 15)) * (0x85EBCA6B + 2 * (n - 1))) & 0xFFFFFFFF) >> (32 - bits)
 
 
-def test_only_the_most_frequent_languages_are_learned(documents):
-    docs = documents([(i, f"text {i}", "ab"[i % 2]) for i in range(10)] + [(20, "rare", "c")])
-    assert langid.train(docs, F.lit(True), langid.Config(bits=8, classes=2)).labels == ("a", "b")
+def test_language_score_is_the_posterior(spark, documents):
+    """Against naive Bayes spelled out over code points, for scripts of one to four bytes a character."""
+    texts = [(1, "Straße, STRASSE: über!", "de"), (2, "Москва и ПЕТЕРБУРГ", "ru"), (3, "今日は 晴れ 𝄞𐐀", "ja"), (4, "नमस्ते दुनिया", "hi"), (5, "the house", "en"), (6, "Über Москва 晴れ 𐐨 the"), (7, "İstanbul  --  УЛИЦА"), (8, "the STRAẞE")]
+    config = langid.Config(bits=9)
+    model = langid.train(documents(texts, 2), F.lit(True), config)
+    langs = sorted(t[2] for t in texts[:5])
+    counts = {k: [config.alpha] * (1 << config.bits) for k in langs}
+    for _, text, lang in texts[:5]:
+        for b in plain_grams(text, config.orders, config.bits):
+            counts[lang][b] += 1
+    for r in langid.predict(documents(texts), model, "doc_id").collect():
+        text = next(t[1] for t in texts if t[0] == r.doc_id)
+        ll = {k: sum(math.log(counts[k][b] / sum(counts[k])) for b in plain_grams(text, config.orders, config.bits)) for k in langs}
+        best = max(langs, key=ll.get)
+        assert r.lang_pred == best and abs(r.score - 1 / sum(math.exp(v - ll[best]) for v in ll.values())) < 1e-3
+
+
+def test_all_languages_are_learned(documents):
+    """With many languages the matrix has fewer buckets, not fewer rows."""
+    rows = [(i, f"text {chr(0x4E00 + i % 600)} {chr(0x4E00 + i % 600)}{chr(0x4E00 + i % 600)}", f"l{i % 600:03}") for i in range(1200)]
+    model = langid.train(documents(rows), F.lit(True), langid.Config(cells=1 << 17))
+    assert len(model.labels) == 600 and model.logp.shape == (600, 128)
+
+
+def test_rows_without_ids_train_by_their_texts(documents):
+    rows = [(None, f"text w{i}", "en") for i in range(400)]
+    docs = documents(rows)
+    models = [langid.train(docs, F.lit(True), langid.Config(per_class=n, bits=8)) for n in (100, 100, 10**6)]
+    assert (models[0].logp == models[1].logp).all() and (models[0].logp != models[2].logp).any()

@@ -1,18 +1,24 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts the n-grams of a bounded number of rows of each language
-(`Config.per_class`, chosen by a hash of the id) on the executors; the log-probability
-matrix (2**bits floats for each language) is broadcast, and texts are scored in numpy by
-sparse gathers, a bounded slice at a time, however long a text is.
+Characters are code points: letters and the marks that combine with them, in Unicode lower case;
+all others count as a blank, and blanks in a row as one. Training counts the n-grams of a bounded
+number of rows of each language (`Config.per_class`, chosen by a hash of the id, or of the text
+where there is no id) on the executors, which also work out each language's log-probabilities. The
+matrix (2**bits floats for each language) is broadcast and has at most `Config.cells` floats: all
+languages are learned, and the more there are, the fewer buckets each has. Texts are scored in
+numpy by sparse gathers, a bounded slice at a time, however long a text is.
 
 Defined cases: a null or empty text, or one without any letter, is `und` with score 0;
 if no language could be learned every row is `und`; ties go to the language that sorts
-first; repeated rows are scored each by itself; further input columns are ignored.
+first; repeated rows are scored each by itself; further input columns are ignored; n-grams that
+span one of the cuts that texts of over a megabyte are read with do not count.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import unicodedata
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +33,10 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Config:
-    bits: int = 15
+    bits: int = 15  # of the buckets; fewer where languages times buckets would exceed `cells`
     orders: tuple[int, ...] = (1, 2, 3)
     per_class: int = 3000  # most rows of a language that training reads
-    classes: int = 512  # most languages, the most frequent ones; the matrix has at most classes * 2**bits floats
+    cells: int = 1 << 22  # most floats of the matrix, for up to half as many languages
     alpha: float = 0.5  # added to every count
 
 
@@ -42,21 +48,33 @@ class Model:
     config: Config
 
 
-#: Bytes as the n-grams see them: a-z lower, white space, digits and marks as one blank, non-ASCII bytes unchanged.
-FOLD = K.LOWER.copy()
-FOLD[K.WORD_MARK != 1] = 32
-FOLD[48:58] = 32
+@lru_cache(1)
+def folding() -> np.ndarray:
+    """What each code point counts as: lower case of letters, combining marks as they are, else a blank."""
+    out = np.full(0x110000, 32, np.uint32)
+    for c in range(0x110000):
+        x = chr(c)
+        if unicodedata.category(x)[0] in "LM":
+            low = x.lower()
+            out[c] = ord(low) if len(low) == 1 else c
+    return out
+
+
+def _characters(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(folded code points, blanks in a row once; the row of each)."""
+    codes = np.frombuffer(b.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+    first = (b & 0xC0) != 0x80
+    points = np.concatenate([np.zeros(1, np.int64), np.cumsum(first)])[offsets]
+    c, rows = folding()[codes], K.row_of(np.diff(points))
+    blank = c == 32
+    keep = np.ones(len(c), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1]) | (rows[1:] != rows[:-1])
+    return c[keep], rows[keep]
 
 
 def _buckets(b: np.ndarray, offsets: np.ndarray, config: Config):
-    """(buckets, rows) for each order; n-grams are of folded bytes, blanks in a row count once, none across rows."""
-    b = FOLD[b]
-    rows = K.row_of(np.diff(offsets))
-    blank = b == 32
-    keep = np.ones(len(b), bool)
-    keep[1:] = ~(blank[1:] & blank[:-1])
-    keep[offsets[:-1][np.diff(offsets) > 0]] = True
-    c, rows = b[keep].astype(np.uint32), rows[keep]
+    """(buckets, rows) for each order; no n-gram spans rows."""
+    c, rows = _characters(b, offsets)
     g = np.zeros(len(c), np.uint32)
     for k in range(max(config.orders)):
         g = (g[: len(c) - k] if k else g) * np.uint32(0x01000193) + c[k:] + np.uint32(1) if len(c) > k else np.zeros(0, np.uint32)
@@ -74,13 +92,17 @@ def count(docs: DataFrame, config: Config) -> DataFrame:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             raw, offsets, _ = K.buffers(batch.column("text"))
-            langs = np.array(batch.column("lang").to_pylist(), object)
+            names, codes = np.unique(np.array(batch.column("lang").to_pylist(), str), return_inverse=True)
             for i, j, b, off in K.segments(raw, offsets):
                 for bucket, rows in _buckets(b, off, config):
-                    own = langs[i:j][rows]
-                    for lang in set(langs[i:j]):
-                        sums.setdefault(lang, np.zeros(1 << config.bits, np.int64))
-                        sums[lang] += np.bincount(bucket[own == lang], minlength=1 << config.bits)
+                    at, n = np.unique((codes[i:j][rows].astype(np.int64) << config.bits) | bucket, return_counts=True)
+                    own = at >> config.bits
+                    for k in np.unique(own):
+                        lang = str(names[k])
+                        if lang not in sums:
+                            sums[lang] = np.zeros(1 << config.bits, np.int64)
+                        mine = slice(*np.searchsorted(own, (k, k + 1)))
+                        sums[lang][at[mine] & ((1 << config.bits) - 1)] += n[mine]
         for lang, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
@@ -90,20 +112,27 @@ def count(docs: DataFrame, config: Config) -> DataFrame:
 
 def train(docs: DataFrame, usable: Column, config: Config = Config()) -> Model:
     """Fit on rows with a language for which `usable` holds, about `config.per_class` of each."""
-    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable)
-    sizes = sorted((r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(config.classes).collect())
-    if not sizes:
+    known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable)
+    # a row for each language, here and in what is broadcast: no more than the model itself has
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    total = {r["lang"]: r["n"] for r in sizes.collect()}
+    config = replace(config, bits=max(1, min(config.bits, (config.cells // max(1, len(total))).bit_length() - 1)))
+    if not total:
         return Model((), np.zeros((0, 1 << config.bits), np.float32), np.zeros(0), config)
-    ticket = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(11)), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, int(min(1.0, config.per_class / n) * (1 << 30)))])
-    # a language beyond those has no share, and null keeps no row
-    got = count(known.where(ticket < F.try_element_at(share, F.col("lang"))), config).toPandas()
-    labels = tuple(sorted(set(got["lang"])))
-    counts = np.full((len(labels), 1 << config.bits), config.alpha)
-    counts[np.searchsorted(labels, got["lang"]), got["bucket"]] += got["n"]
-    logp = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
-    total = dict(sizes)
-    prior = np.log(np.array([total[x] for x in labels], float) / sum(total[x] for x in labels))
+    spark = docs.sparkSession
+    share = spark.createDataFrame([(k, int(min(1.0, config.per_class / n) * (1 << 30))) for k, n in sorted(total.items())], "lang string, _share long")
+    ticket = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(11))).otherwise(F.xxhash64("doc_id", F.lit(11))), F.lit(1 << 30))
+    drawn = known.join(F.broadcast(share), "lang").where(ticket < F.col("_share"))
+
+    def logs(table: pa.Table) -> pa.Table:  # one language, 2**bits rows at most
+        n = np.full(1 << config.bits, config.alpha)
+        n[table.column("bucket").to_numpy()] += table.column("n").to_numpy()
+        return pa.table([table.column("lang").slice(0, 1), pa.array([np.log(n / n.sum()).astype("<f4").tobytes()], pa.binary())], names=["lang", "logp"])
+
+    got = sorted((r["lang"], bytes(r["logp"])) for r in count(drawn, config).groupBy("lang").applyInArrow(logs, "lang string, logp binary").collect())
+    labels = tuple(k for k, _ in got)
+    logp = np.array([np.frombuffer(x, "<f4") for _, x in got]).reshape(len(got), 1 << config.bits)
+    prior = np.log(np.array([total[x] for x in labels], float) / max(1, sum(total[x] for x in labels)))
     return Model(labels, logp, prior, config)
 
 
