@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import codec
@@ -14,18 +14,12 @@ def changelog(rows: DataFrame, key: str, seq: str, is_delete: Column, *values: s
     return rows.select(F.col(key).alias("key"), F.col(seq).alias("seq"), F.when(is_delete, codec.DELETE).otherwise(codec.PUT).cast("int").alias("op"), *values)
 
 
-def sequence_batches(batches: DataFrame, start: int = 0) -> DataFrame:
+def sequence_batches(batches: DataFrame, start: int = 0, parts: int | None = None) -> DataFrame:
     """Numbers the operations of (batch_id, ops) rows: contiguous, in the order of batches, then of operations.
 
-    The running sum is worked out in two steps, inside ranges of batch ids and over the ranges,
-    so no task holds all batches and they are dealt out once."""
-    n = F.size("ops").cast("long")
-    part = F.floor(F.col("batch_id") / 100_000)
-    inside = Window.partitionBy("_part").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
-    local = batches.withColumn("_part", part).withColumn("_before", F.coalesce(F.sum(n).over(inside), F.lit(0)))
-    totals = batches.groupBy(part.alias("_part")).agg(F.sum(n).alias("_total"))  # a row for 100,000 batches
-    earlier = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_offset")
-    return local.join(earlier, "_part").withColumn("start_seq", F.lit(start) + F.col("_offset") + F.col("_before")).drop("_part", "_before", "_offset")
+    The running sum is worked out inside ranges of batch ids and over the ranges, so no task holds all batches."""
+    sized = snapshot.running(batches.withColumn("_n", F.size("ops").cast("long")), "_n", "batch_id", parts)
+    return sized.withColumn("start_seq", F.lit(start) + F.col("running") - F.col("_n")).drop("running", "_n")
 
 
 def operations(batches: DataFrame) -> DataFrame:

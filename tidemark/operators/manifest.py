@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import codec
+from tidemark.operators import snapshot
 
 ADD, REMOVE = "ADD", "DEL"
 
@@ -40,9 +41,31 @@ def ordered(files: DataFrame) -> DataFrame:
     return files.withColumn("place", F.row_number().over(by))
 
 
+def _spread(files: DataFrame, cuts: list) -> DataFrame:
+    """Files with `_first`, the range of keys where they begin, and a row for each range (`_part`) that they reach."""
+    kind = dict(files.dtypes)["smallest"]
+    first, last = (snapshot.part_of(c, kind, cuts) for c in ("smallest", "largest"))
+    return files.withColumn("_first", first).withColumn("_part", F.explode(F.sequence(F.col("_first"), last)))
+
+
 def containing(files: DataFrame, requests: DataFrame) -> DataFrame:
-    """(key, level, file_number) of all files whose range holds a requested key."""
-    return requests.join(files, F.col("key").between(F.col("smallest"), F.col("largest"))).select("key", "level", "file_number")
+    """(key, level, file_number) of all files whose range holds a requested key.
+
+    Keys are cut into ranges, and a key meets the files that reach its range: a join on equal
+    ranges. A file counts once for each range that it reaches."""
+    cuts = snapshot.bounds(files, "smallest")
+    spread = _spread(files, cuts).drop("_first")
+    asked = requests.withColumn("_part", snapshot.part_of("key", dict(requests.dtypes)["key"], cuts))
+    return asked.join(spread, "_part").where(F.col("key").between(F.col("smallest"), F.col("largest"))).select("key", "level", "file_number")
+
+
+def overlap_pairs(files: DataFrame) -> DataFrame:
+    """(input_file, next_file): files of a level and of the next one whose ranges meet, by ranges of keys as `containing`."""
+    spread = _spread(files, snapshot.bounds(files, "smallest")).select("level", "file_number", "smallest", "largest", "_first", "_part")
+    lower = spread.select((F.col("level") - 1).alias("level"), F.col("file_number").alias("next_file"), F.col("smallest").alias("_low"), F.col("largest").alias("_high"), F.col("_first").alias("_from"), "_part")
+    met = spread.join(lower, ["level", "_part"]).where((F.col("largest") >= F.col("_low")) & (F.col("smallest") <= F.col("_high")))
+    # a pair that shares several ranges counts in the first of them
+    return met.where(F.col("_part") == F.greatest("_first", "_from")).select(F.col("file_number").alias("input_file"), "next_file")
 
 
 def totals(files: DataFrame) -> DataFrame:

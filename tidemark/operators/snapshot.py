@@ -75,32 +75,88 @@ def first(rows: DataFrame, limit: int = 1, key: str = "key") -> DataFrame:
     return rows.orderBy(key).limit(limit)
 
 
-def running(rows: DataFrame, amount: str, key: str = "key", parts: int | None = None) -> DataFrame:
-    """Rows with `running`, the sum of `amount` (a long) up to and with their key, over the whole order. Keys are unique.
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
-    The running sum inside a range of keys plus the sums of the ranges before it: only one number
-    for each range meets in one place."""
-    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = dict(rows.dtypes)[key]
-    if kind in ("int", "bigint", "smallint", "double", "float"):
-        shares = F.array(*[F.lit(k / parts) for k in range(1, parts)] or [F.lit(0.5)])
-        bounds = rows.agg(F.percentile_approx(key, shares, 10_000)).first()[0] or []
+
+def bounds(rows: DataFrame, key: str = "key", parts: int | None = None) -> list:
+    """Keys that cut `rows` into about `parts` ranges of like size (10,000 at most), ascending; that many is all the driver gets to keep."""
+    parts = min(10_000, parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if parts < 2:
+        return []
+    if dict(rows.dtypes)[key] in _NUMBERS:
+        shares = F.split(F.lit(",".join(str(k / parts) for k in range(1, parts))), ",").cast("array<double>")
+        found = rows.agg(F.percentile_approx(key, shares, max(10_000, 10 * parts))).first()[0] or []
     else:  # a fixed number of sampled keys
-        drawn = sorted(r[0] for r in rows.select(key).orderBy(F.xxhash64(key)).limit(64 * parts).collect() if r[0] is not None)
-        bounds = [drawn[k * len(drawn) // parts] for k in range(1, parts)] if drawn else []
-    part = F.lit(0)
-    for b in sorted(set(bounds)):
-        part = part + (F.col(key) > F.lit(b)).cast("int")
-    placed = rows.withColumn("_part", F.coalesce(part, F.lit(-1)))
-    sums = placed.groupBy("_part").agg(F.sum(amount).alias("_sum"))  # at most `parts` + 1 rows
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    inside = placed.withColumn("_inside", F.sum(amount).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return inside.join(F.broadcast(before), "_part").withColumn("running", (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_inside", "_before")
+        drawn = sorted(r[0] for r in rows.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(min(64 * parts, 100_000)).collect())
+        found = [drawn[k * len(drawn) // parts] for k in range(1, parts)] if drawn else []
+    return sorted(set(found))
+
+
+def part_of(key: str, kind: str, cuts: list) -> Column:
+    """How many of the ascending `cuts` are below the key, by a binary search; -1 for a null key.
+
+    The cuts are one literal and the search a fixed expression, however many there are."""
+    if not cuts:
+        return F.when(F.col(key).isNull(), -1).otherwise(0)
+    if kind in _NUMBERS:
+        own, every = F.col(key), F.split(F.lit(",".join(map(str, cuts))), ",").cast(f"array<{kind}>")
+    elif kind in ("string", "binary"):  # hexadecimal text sorts as the bytes do
+        own = F.hex(F.col(key).cast("binary"))
+        every = F.split(F.lit(",".join((c.encode() if isinstance(c, str) else bytes(c)).hex().upper() for c in cuts)), ",")
+    else:
+        own, every = F.col(key), F.array(*[F.lit(c) for c in cuts])
+    n = len(cuts)
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.try_element_at(every, at + step) < own), at + step).otherwise(at))
+    return F.when(F.col(key).isNull(), -1).otherwise(below).cast("int")
+
+
+def in_parts(rows: DataFrame, key: str = "key", parts: int | None = None) -> DataFrame:
+    """Rows with `_part`, the range of keys that they are in."""
+    return rows.withColumn("_part", part_of(key, dict(rows.dtypes)[key], bounds(rows, key, parts)))
+
+
+def running(rows: DataFrame, amount: str, key: str = "key", parts: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Rows with `running`, the sum of `amount` (a long) up to and with their key, over the whole order or that of each `by`. Keys are unique there.
+
+    The running sum inside a range of keys plus the sums of the ranges before it: only one number
+    for each range (and `by`) meets in one place."""
+    placed = in_parts(rows, key, parts)
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy(*by, "_part").agg(F.sum(amount).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    inside = placed.withColumn("_inside", F.sum(amount).over(Window.partitionBy(*by, "_part").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    if not by:
+        before = F.broadcast(before)  # 10,001 rows at most
+    return _with(inside, before, [*by, "_part"]).withColumn("running", (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_inside", "_before")
+
+
+def previous(rows: DataFrame, value: str, key: str = "key", parts: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Rows with `before`, the `value` of the row before them in the order of keys, over everything or in each `by`.
+
+    Inside a range of keys by a window; the first row of a range looks at the last one of the ranges before it."""
+    placed = in_parts(rows, key, parts)
+    inside = placed.withColumn("_first", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(key)) == 1).withColumn("before", F.lag(value).over(Window.partitionBy(*by, "_part").orderBy(key)))
+    ends = placed.groupBy(*by, "_part").agg(F.max_by(value, key).alias("_end")).withColumn("_end", F.lag("_end").over(Window.partitionBy(*by).orderBy("_part")))
+    if not by:
+        ends = F.broadcast(ends)  # 10,001 rows at most
+    return _with(inside, ends, [*by, "_part"]).withColumn("before", F.when(F.col("_first"), F.col("_end")).otherwise(F.col("before"))).drop("_part", "_first", "_end")
+
+
+def _with(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` with the columns of `few` by keys that may be null."""
+    named = few.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in few.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return rows.join(named, on).drop(*[f"_of_{k}" for k in keys])
 
 
 def ranked(rows: DataFrame, key: str = "key") -> DataFrame:
     """Rows with `rank`, the place of their key in the whole order (from 1). Keys are unique."""
-    return running(rows.withColumn("_one", F.lit(1).cast("long")), "_one", key).withColumnRenamed("running", "rank").drop("_one")
+    return numbered(rows, key).withColumnRenamed("running", "rank")
+
+
+def numbered(rows: DataFrame, key: str = "key", by: Sequence[str] = ()) -> DataFrame:
+    """Rows with `running`, their number (from 1) in the order of keys, over everything or in each `by`."""
+    return running(rows.withColumn("_one", F.lit(1).cast("long")), "_one", key, by=by).drop("_one")
 
 
 def dump(log: DataFrame, columns: Sequence[str], text: Column | None = None) -> DataFrame:

@@ -1,11 +1,14 @@
-"""What a sorted table holds: prefix sharing, restart points, blocks and their index, statistics."""
+"""What a sorted table holds: prefix sharing, restart points, blocks and their index, statistics.
+
+Runs are worked off in ranges of keys, so a run is as many tasks as there are ranges."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import codec
+from tidemark.operators import snapshot
 
 RESTART = 16
 BLOCK_BYTES = 4096
@@ -14,27 +17,25 @@ FULL, ALMOST, LARGE = 0.85, 0.75, 0.50
 
 def order_violations(rows: DataFrame, *by: str) -> DataFrame:
     """Rows, in the order of `position`, whose key is not above the one before."""
-    before = F.lag("key").over(Window.partitionBy(*by).orderBy("position"))
-    return rows.withColumn("before", before).where(F.col("before") >= F.col("key"))
+    return snapshot.previous(rows, "key", "position", by=by).where(F.col("before") >= F.col("key"))
 
 
 def prefix_sharing(rows: DataFrame, *by: str) -> DataFrame:
     """Shared and own bytes of each key after the one before it; `by` are the columns that name a run."""
-    in_order = Window.partitionBy(*by).orderBy("key")
-    shared = codec.common_prefix(F.lag("key").over(in_order), F.col("key"))
-    return rows.withColumn("shared", shared).withColumn("own", (F.length("key") - F.col("shared")).cast("int"))
+    shared = codec.common_prefix(F.col("before"), F.col("key"))
+    return snapshot.previous(rows, "key", by=by).withColumn("shared", shared).withColumn("own", (F.length("key") - F.col("shared")).cast("int")).drop("before")
 
 
 def restart_points(rows: DataFrame, *by: str, every: int = RESTART) -> DataFrame:
     """Each `every`-th key of a run, with its index."""
-    at = F.row_number().over(Window.partitionBy(*by).orderBy("key")) - 1
-    return rows.withColumn("entry", at.cast("int")).where(F.col("entry") % every == 0)
+    at = snapshot.numbered(rows, by=by).withColumn("entry", (F.col("running") - 1).cast("int")).drop("running")
+    return at.where(F.col("entry") % every == 0)
 
 
 def blocks(rows: DataFrame, size: Column, *by: str, bytes_each: int = BLOCK_BYTES) -> DataFrame:
     """Rows with the block of their run that they fall into: a running size over 85 % of a block."""
-    running = F.sum(size).over(Window.partitionBy(*by).orderBy("key"))
-    return rows.withColumn("block", F.floor((running - 1) / int(bytes_each * FULL)).cast("int"))
+    sized = snapshot.running(rows.withColumn("_bytes", size.cast("long")), "_bytes", by=by)
+    return sized.withColumn("block", F.floor((F.col("running") - 1) / int(bytes_each * FULL)).cast("int")).drop("_bytes", "running")
 
 
 def block_index(rows: DataFrame, size: Column, *by: str) -> DataFrame:

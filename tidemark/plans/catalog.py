@@ -264,13 +264,12 @@ def read_amplification_per_key(spark, d):
 
 @query(f"WITH {FILES} SELECT a.file_number AS input_file, b.file_number AS next_file FROM files a JOIN files b ON b.level = a.level + 1 AND a.largest >= b.smallest AND a.smallest <= b.largest")
 def file_overlap_pairs(spark, d):
-    f = files(spark, d)
-    return f.alias("a").join(f.alias("b"), (F.col("b.level") == F.col("a.level") + 1) & compaction.overlap()).select(F.col("a.file_number").alias("input_file"), F.col("b.file_number").alias("next_file"))
+    return manifest.overlap_pairs(files(spark, d))
 
 
 @query(f"WITH {FULL}, one AS (SELECT min(level) AS level FROM full_levels), picked AS (SELECT f.* FROM files f JOIN one USING (level) QUALIFY level = 0 OR row_number() OVER (ORDER BY file_size DESC, file_number) = 1) SELECT level, file_number FROM picked UNION SELECT f.level, f.file_number FROM files f JOIN picked p ON f.level = p.level + 1 AND f.largest >= p.smallest AND f.smallest <= p.largest")
 def compaction_inputs(spark, d):
-    f = files(spark, d)
+    f = files(spark, d).cache()  # a row for each file, read several times
     chosen = compaction.pick(f, BASE)
     return chosen.select("level", "file_number").union(compaction.overlapping(f, chosen).select("level", "file_number"))
 
