@@ -51,7 +51,7 @@ class Config:
     unit: int = 6  # most characters of a word, its mark included, whose segmentations are listed
     offset: float = 2.7
     sharpness: float = 1.0
-    cache: int = 250_000  # words whose segmentations or edges are kept
+    cache: int = 350_000  # words whose segmentations or edges are kept
 
     def path(self) -> str:
         if self.model:
@@ -69,6 +69,12 @@ _OWN_MARK = "\udc81"
 #: Longer words have their edges worked out one by one, as they would take as many turns over all others.
 _VERY_LONG = 256
 
+#: No piece.
+_NONE = -(1 << 40)
+
+#: Words whose edges are worked out at once.
+_TOGETHER = 4096
+
 
 def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -83,23 +89,44 @@ def _utf8(character: str) -> bytes:
     return (MARK if character == _OWN_MARK else character).encode()
 
 
-class _Numbers(dict):
-    """Numbers words as they come up; `new` has those without segmentations."""
+class _Words:
+    """Numbers words by their hashes as they come up; `new` has those without segmentations."""
 
     def __init__(self):
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.new: list[str] = []
 
-    def __missing__(self, unit: str) -> int:
-        self[unit] = k = len(self)
-        self.new.append(unit)
-        return k
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def number(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of the words b[start:end]."""
+        h = K.hashes(b, starts, ends)
+        at = np.searchsorted(self.keys, h)
+        known = np.zeros(len(h), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == h[inside]
+        out = np.zeros(len(h), np.int64)
+        out[known] = self.numbers[at[known]]
+        other = np.flatnonzero(~known)
+        if len(other):
+            keys, first, which = np.unique(h[other], return_index=True, return_inverse=True)
+            numbers = len(self) + np.arange(len(keys))
+            out[other] = numbers[which]
+            data = b.tobytes()
+            for s, e in zip(starts[other[first]].tolist(), ends[other[first]].tolist(), strict=True):
+                word = data[s:e].decode()
+                self.new.append(MARK + (word.replace(MARK, _OWN_MARK) if MARK in word else word))
+            spot = np.searchsorted(self.keys, keys)
+            self.keys, self.numbers = np.insert(self.keys, spot, keys), np.insert(self.numbers, spot, numbers)
+        return out
 
 
 class _Column:
-    """An array that grows."""
+    """An array that grows, of numbers or of rows of `width` numbers."""
 
-    def __init__(self, kind=np.float64):
-        self.data, self.size = np.zeros(1024, kind), 0
+    def __init__(self, kind=np.float64, width: int = 0):
+        self.data, self.size = np.zeros((1024, width) if width else 1024, kind), 0
 
     def add(self, values) -> None:
         n = len(values)
@@ -141,10 +168,13 @@ class Lattice:
             self.texts[i] = bytes([b])
         for name, i in self.ids.items():
             self.texts[i] = name.replace(MARK, " ").encode()
+        self.text_size = np.array([len(x) for x in self.texts], np.int64)
+        self.text_first = np.cumsum(self.text_size) - self.text_size
+        self.text_bytes = np.frombuffer(b"".join(self.texts), np.uint8)
         self.clear()
 
     def clear(self) -> None:
-        self.index = _Numbers()
+        self.index = _Words()
         self.first, self.count = _Column(np.int64), _Column(np.int64)  # of each unit: its first segmentation, how many
         # of each segmentation: log-probability, that of all others, cumulative probability plus the unit's number, end of its pieces
         self.log_p, self.others, self.cumulative, self.end = _Column(), _Column(), _Column(), _Column(np.int64)
@@ -152,8 +182,9 @@ class Lattice:
         self.root = _Column(np.int64)  # of each unit: its first node, -1 where segmentations are listed
         self.edge, self.edges = _Column(np.int64), _Column(np.int64)  # of each node: its first edge, how many
         # of each edge, the likeliest of a node first: cumulative probability plus the node's number, log-probability,
-        # probability of the node's others, node after it or -1, piece or -1 less the number of a run of bytes
-        self.edge_cumulative, self.edge_log_p, self.edge_others, self.edge_to, self.edge_piece = _Column(), _Column(), _Column(), _Column(np.int32), _Column(np.int32)
+        # probability of the node's others, node after it or -1, side by side as they are read together
+        self.step = _Column(width=4)
+        self.edge_piece = _Column(np.int32)  # piece or -1 less the number of a run of bytes
         self.byte_runs: dict[str, int] = {}
         self.byte_first, self.byte_count, self.byte_pieces = _Column(np.int64), _Column(np.int64), _Column(np.uint32)
         self.marks = None
@@ -167,28 +198,72 @@ class Lattice:
         self.path.size = self.path_end.size = 0
         self.marks = self.log_p.size, self.pieces.size
 
-    def segmentations(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
-        """All segmentations of a unit with unnormalised log-weights."""
-        n = len(unit)
-        ways: list[list] = [[] for _ in range(n)] + [[(0.0, ())]]
-        for i in range(n - 1, -1, -1):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                k = self.ids.get(unit[i:j])
-                if k is not None:
-                    w = self.weight[k]
-                    ways[i] += [(w + s, (k, *rest)) for s, rest in ways[j]]
-            if self.ids.get(unit[i]) is None:  # a character that is no piece: its bytes
-                own = tuple(self.bytes[b] for b in _utf8(unit[i]))
-                w = float(sum(self.weight[k] for k in own))
-                ways[i] += [(w + s, (*own, *rest)) for s, rest in ways[i + 1]]
-        return ways[0]
+    def _listed(self, units: list[str], n: int):
+        """All segmentations of units of n characters: (unit, unnormalised log-weight, pieces in a row, filled up with _NONE)."""
+        code = _code_points("".join(units)).reshape(-1, n)
+        piece, weight = {}, {}
+        for i in range(n):
+            h = np.zeros(len(units), np.uint64)
+            for size in range(1, min(n - i, self.longest) + 1):
+                h = _longer(h, code[:, i + size - 1])
+                own, w = np.full(len(units), _NONE), np.zeros(len(units))
+                at, k = self._found(h, size)
+                own[at], w[at] = k, self.weight[k]
+                if size == 1:
+                    bare = np.flatnonzero(own == _NONE)
+                    own[bare], w[bare] = self._bare(code[bare, i])
+                piece[i, size], weight[i, size] = own, w
+        of, total, found = [], [], []
+        for cuts in range(1 << (n - 1)):
+            ends = [k + 1 for k in range(n - 1) if cuts >> k & 1] + [n]
+            spans = [(a, b - a) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            if any(x not in piece for x in spans):
+                continue
+            some = np.flatnonzero(np.logical_and.reduce([piece[x] != _NONE for x in spans]))
+            own = np.full((len(some), n), _NONE)
+            for k, x in enumerate(spans):
+                own[:, k] = piece[x][some]
+            of.append(some)
+            total.append(sum(weight[x][some] for x in spans))
+            found.append(own)
+        return np.concatenate(of), np.concatenate(total), np.concatenate(found)
+
+    def _found(self, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the hashes of n characters are pieces, those pieces)."""
+        keys, values, filled, _ = self._pieces_of(n)
+        if not len(keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(filled[h >> K.U64(44)])
+        spot = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
+        hit = keys[spot] == h[at]
+        return at[hit], values[spot[hit]]
+
+    def _bare(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(-1 less the number of the run of bytes, log-weight) of characters that are no pieces."""
+        kinds, which = np.unique(code, return_inverse=True)
+        runs = np.array([self._bytes_of(chr(int(c))) for c in kinds], np.int64)
+        heavy = np.array([sum(self._weights[self.bytes[b]] for b in _utf8(chr(int(c)))) for c in kinds])
+        return -1 - runs[which], heavy[which]
+
+    def _flat(self, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces with runs of bytes written out, how many each was)."""
+        if not (piece < 0).any():
+            return piece, np.ones(len(piece), np.int64)
+        runs = np.maximum(-1 - piece, 0)
+        n = np.where(piece < 0, self.byte_count.data[runs], 1)
+        upto = np.cumsum(n)
+        place = np.arange(upto[-1]) - np.repeat(upto - n, n)
+        flat = np.repeat(piece, n)
+        byte = flat < 0
+        flat[byte] = self.byte_pieces.data[(np.repeat(self.byte_first.data[runs], n) + place)[byte]]
+        return flat, n
 
     def _grow(self, units: list[str]) -> np.ndarray:
         """Adds nodes and edges of units; their first nodes."""
         ids, weight, exp, longest = self.ids, self._weights, math.exp, self.longest
         roots, first, count = [], [], []
         cumulative, log_p, others, to, piece = [], [], [], [], []
-        node, edges = self.edge.size, self.edge_cumulative.size
+        node, edges = self.edge.size, self.step.size
         for unit in units:
             n = len(unit)
             ways = [0.0] * (n + 1)  # log of the sum over all ways to the end
@@ -234,8 +309,8 @@ class Lattice:
             node += n
         self.edge.add(first)
         self.edges.add(count)
-        for column, values in ((self.edge_cumulative, cumulative), (self.edge_log_p, log_p), (self.edge_others, others), (self.edge_to, to), (self.edge_piece, piece)):
-            column.add(values)
+        self.step.add(np.column_stack([cumulative, log_p, others, to]))
+        self.edge_piece.add(piece)
         return np.array(roots, np.int64)
 
     def _grow_all(self, units: list[str]) -> np.ndarray:
@@ -245,33 +320,34 @@ class Lattice:
         size = len(code)
         left = np.repeat(np.cumsum(sizes), sizes) - np.arange(size)  # characters from each node to its unit's end
         src, length, piece, weight = [], [], [], []
-        h = np.zeros(size, np.uint64)
+        begin, h = np.arange(size), np.zeros(size, np.uint64)  # where a piece may go on, and the hash of its characters so far
         for n in range(1, min(self.longest, int(sizes.max())) + 1):
-            h = _longer(h[: size - n + 1], code[n - 1 :])
-            keys, values, filled = self._pieces_of(n)
-            at = np.flatnonzero(filled[h >> K.U64(44)] & (left[: len(h)] >= n))
-            spot = np.minimum(np.searchsorted(keys, h[at]), max(0, len(keys) - 1))
-            hit = keys[spot] == h[at] if len(keys) else np.zeros(len(at), bool)
-            at, k = at[hit], values[spot[hit]] if len(keys) else np.zeros(0, np.int64)
+            if n > 1:
+                inside = left[begin] >= n
+                begin, h = begin[inside], h[inside]
+            h = _longer(h, code[begin + (n - 1)])
+            hit, k = self._found(h, n)
+            at = begin[hit]
+            go = self._pieces_of(n)[3][h >> K.U64(44)]
+            begin, h = begin[go], h[go]
             if n == 1:  # characters that are no pieces: their bytes
                 bare = np.ones(size, bool)
                 bare[at] = False
                 bare = np.flatnonzero(bare)
-                kinds, which = np.unique(code[bare], return_inverse=True)
-                runs = np.array([self._bytes_of(chr(int(c))) for c in kinds], np.int64)
-                heavy = np.array([sum(self._weights[self.bytes[b]] for b in _utf8(chr(int(c)))) for c in kinds])
                 if len(bare):
                     src.append(bare)
                     length.append(np.ones(len(bare), np.int64))
-                    piece.append(-1 - runs[which])
-                    weight.append(heavy[which])
+                    for column, values in zip((piece, weight), self._bare(code[bare]), strict=True):
+                        column.append(values)
             src.append(at)
             length.append(np.full(len(at), n))
             piece.append(k)
             weight.append(self.weight[k])
+            if not len(begin):
+                break
         src, length, piece, value = (np.concatenate(x) for x in (src, length, piece, weight))
         # sums over all ways to the end, the nodes next to it first
-        order = np.lexsort((src, left[src]))
+        order = np.argsort(left[src] * (size + 1) + src)
         src, length, piece, value = src[order], length[order], piece[order], value[order]
         ends = length == left[src]
         to = np.where(ends, size, src + length)
@@ -285,8 +361,9 @@ class Lattice:
             n = np.diff(np.append(begin, hi - lo))
             ways[own[begin]] = top + np.log(np.add.reduceat(np.exp(value[lo:hi] - np.repeat(top, n)), begin))
         # at each node the likeliest edge first
-        order = np.lexsort((-value, src))
-        src, piece, to, log_p = src[order], piece[order], to[order], (value - ways[src])[order]
+        log_p = value - ways[src]
+        order = np.argsort(2.0 * src - np.exp(log_p))
+        src, piece, to, log_p = src[order], piece[order], to[order], log_p[order]
         count = np.bincount(src, minlength=size)
         begin = np.cumsum(count) - count
         p = np.exp(log_p)
@@ -295,28 +372,34 @@ class Lattice:
         rest, top = 1.0 - p, p.copy()
         top[begin] = 0.0
         rest[begin] = np.add.reduceat(top, begin)
-        node, edges = self.edge.size, self.edge_cumulative.size
+        node, edges = self.edge.size, self.step.size
         self.edge.add(edges + begin)
         self.edges.add(count)
-        self.edge_cumulative.add(upto + node + src)
-        self.edge_log_p.add(log_p)
-        self.edge_others.add(rest)
-        self.edge_to.add(np.where(to < size, node + to, -1))
+        self.step.add(np.column_stack([upto + node + src, log_p, rest, np.where(to < size, node + to, -1)]))
         self.edge_piece.add(piece)
         return node + np.cumsum(sizes) - sizes
 
     def _pieces_of(self, n: int):
-        """(sorted hashes, pieces, which leading bits of hashes there are) of the pieces of n characters."""
+        """Of the pieces of n characters: sorted hashes, pieces, which leading bits of hashes there are; and the leading bits of the first n characters of longer pieces."""
         if n not in self._by_length:
             own = [(x, i) for x, i in self.ids.items() if len(x) == n]
-            code = _code_points("".join(x for x, _ in own)).reshape(-1, n)
-            h = np.zeros(len(own), np.uint64)
-            for k in range(n):
-                h = _longer(h, code[:, k])
+            longer = {x[:n] for x in self.ids if len(x) > n}
+
+            def hashes(texts):
+                code = _code_points("".join(texts)).reshape(-1, n)
+                h = np.zeros(len(code), np.uint64)
+                for k in range(n):
+                    h = _longer(h, code[:, k])
+                return h
+
+            def leading(h):
+                filled = np.zeros(1 << 20, bool)
+                filled[h >> K.U64(44)] = True
+                return filled
+
+            h = hashes([x for x, _ in own])
             order = np.argsort(h)
-            filled = np.zeros(1 << 20, bool)
-            filled[h >> K.U64(44)] = True
-            self._by_length[n] = h[order], np.array([i for _, i in own], np.int64)[order], filled
+            self._by_length[n] = h[order], np.array([i for _, i in own], np.int64)[order], leading(h), leading(hashes(sorted(longer)))
         return self._by_length[n]
 
     def _bytes_of(self, character: str) -> int:
@@ -332,29 +415,39 @@ class Lattice:
     def learn(self) -> None:
         """The segmentations or edges of all units that have a number but none yet."""
         self.forget()
-        new, found = self.index.new, []
-        sizes = np.zeros(len(new), np.int64)
+        new = self.index.new
         roots = np.full(len(new), -1)
-        for grow, least, most in ((self._grow_all, self.config.unit, _VERY_LONG), (self._grow, _VERY_LONG, math.inf)):
-            own = [k for k, unit in enumerate(new) if max(least, self.config.unit) < len(unit) <= most]
-            if own:
-                roots[own] = grow([new[k] for k in own])
-        for k, unit in enumerate(new):
-            if roots[k] < 0:
-                own = self.segmentations(unit)
-                sizes[k] = len(own)
-                found += own
-        new.clear()
+        letters = np.fromiter(map(len, new), np.int64, len(new))
+        long = np.flatnonzero(letters > self.config.unit)
+        long = long[np.argsort(letters[long], kind="stable")]
+        very = np.searchsorted(letters[long], _VERY_LONG, "right")
+        for lo in range(0, very, _TOGETHER):  # words of like lengths, few enough for a processor's cache
+            own = long[lo : min(very, lo + _TOGETHER)]
+            roots[own] = self._grow_all([new[k] for k in own])
+        if very < len(long):
+            roots[long[very:]] = self._grow([new[k] for k in long[very:]])
+        owner, weights, pieces = [], [], []
+        for n in range(1, self.config.unit + 1):
+            own = np.flatnonzero(letters == n)
+            if len(own):
+                of, w, found = self._listed([new[k] for k in own], n)
+                owner.append(own[of])
+                weights.append(w)
+                pieces.append(np.pad(found, ((0, 0), (0, self.config.unit - n)), constant_values=_NONE))
         at = self.first.size
+        new.clear()
         self.root.add(roots)
-        self.count.add(sizes)
-        if not found:
-            self.first.add(np.zeros(len(sizes), np.int64))
+        if not owner:
+            self.count.add(np.zeros(len(roots), np.int64))
+            self.first.add(np.zeros(len(roots), np.int64))
             return
-        w, owner, begin = np.array([s for s, _ in found]), K.row_of(sizes), np.cumsum(sizes) - sizes
+        owner, w, pieces = np.concatenate(owner), np.concatenate(weights), np.concatenate(pieces)
+        sizes = np.bincount(owner, minlength=len(roots))
+        self.count.add(sizes)
         # within a unit the likeliest first
         order = np.lexsort((-w, owner))
-        w = w[order]
+        owner, w, pieces = owner[order], w[order], pieces[order]
+        begin = np.cumsum(sizes) - sizes
         p = np.exp(w - w[begin[owner]])
         listed = np.flatnonzero(sizes)
         total = np.ones(len(sizes))
@@ -373,23 +466,24 @@ class Lattice:
         with np.errstate(divide="ignore"):
             self.others.add(np.log(np.maximum(rest, 0.0)))
         self.cumulative.add(upto + at + owner)
-        coded = [found[k][1] for k in order]
-        self.end.add(self.pieces.size + np.cumsum([len(x) for x in coded]))
-        self.pieces.add([k for x in coded for k in x])
+        there = pieces != _NONE
+        flat, n = self._flat(pieces[there])
+        self.end.add(self.pieces.size + np.cumsum(n)[np.cumsum(there.sum(1)) - 1])
+        self.pieces.add(flat)
         self.marks = self.log_p.size, self.pieces.size
 
-    def units(self, text: str) -> np.ndarray:
-        """Numbers of a text's units; `learn` must follow before they are used."""
-        if not text:
-            return np.zeros(0, np.int64)
-        if MARK in text:
-            text = text.replace(MARK, _OWN_MARK)
-        parts = [MARK + word for word in text.split(" ")]
-        return np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+    def units(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the units of all rows in order, units of each row); `learn` must follow before they are used."""
+        b, off = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+        blank = np.flatnonzero(b == 32)
+        some = np.diff(off) > 0
+        starts = np.sort(np.concatenate([off[:-1][some], blank + 1]))
+        ends = np.sort(np.concatenate([off[1:][some], blank]))
+        return self.index.number(b, starts, ends), np.diff(np.searchsorted(blank, off)) + some
 
     def draw(self, root: np.ndarray, base: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Draws a segmentation from each root; their numbers."""
-        first, many, cumulative, log_p, others, to = (x.used for x in (self.edge, self.edges, self.edge_cumulative, self.edge_log_p, self.edge_others, self.edge_to))
+        first, many, steps = self.edge.used, self.edges.used, self.step.used
         total, missed = np.zeros(len(root)), np.zeros(len(root))
         live, node = np.arange(len(root)), root
         which, taken, step = [], [], 0
@@ -400,23 +494,24 @@ class Lattice:
                 u, spare = _uniform(K.mix(base + K.U64((step + 1) * 0xD6E8FEB86659FD93 & (2**64 - 1))), count)
             e, n = first[node], many[node]
             target = node + u
-            far = np.flatnonzero((target > cumulative[e]) & (n > 1))
-            for k in range(1, 4):  # few are further down
+            at = steps.take(e, axis=0)
+            far, k = np.flatnonzero((target > at[:, 0]) & (n > 1)), 1
+            while len(far):  # few are further down
                 e[far] += 1
-                far = far[(target[far] > cumulative[e[far]]) & (k < n[far] - 1)]
-            if len(far):
-                e[far] = np.minimum(np.searchsorted(cumulative, target[far]), first[node[far]] + n[far] - 1)
-            missed[live] += np.exp(total[live]) * others[e]
-            total[live] += log_p[e]
+                at[far] = further = steps.take(e[far], axis=0)
+                far, k = far[(target[far] > further[:, 0]) & (k < n[far] - 1)], k + 1
+            so_far = total[live]
+            missed[live] += np.exp(so_far) * at[:, 2]
+            total[live] = so_far + at[:, 1]
             which.append(live)
             taken.append(e)
-            node = to[e].astype(np.int64)
+            node = at[:, 3].astype(np.int64)
             go = node >= 0
             live, node, base, count, spare, step = live[go], node[go], base[go], count[go], spare[go], step + 1
         if not which:
             return np.zeros(0, np.int64)
         of = np.concatenate(which)
-        order = np.argsort(of, kind="stable")
+        order = np.argsort(of * len(which) + np.repeat(np.arange(len(which)), [len(x) for x in which]))
         return self._keep(np.concatenate(taken)[order], np.bincount(of, minlength=len(root)), total, missed)
 
     def _keep(self, edges: np.ndarray, sizes: np.ndarray, total: np.ndarray, missed: np.ndarray) -> np.ndarray:
@@ -430,21 +525,16 @@ class Lattice:
         self.path_end.add(self.path.size + ends)
         self.path.add(edges)
         if (piece < 0).any():
-            runs = np.maximum(-1 - piece, 0)
-            n = np.where(piece < 0, self.byte_count.data[runs], 1)
-            upto = np.cumsum(n)
-            place = np.arange(upto[-1]) - np.repeat(upto - n, n)
-            flat = np.repeat(piece, n)
-            byte = flat < 0
-            flat[byte] = self.byte_pieces.data[(np.repeat(self.byte_first.data[runs], n) + place)[byte]]
-            piece, ends = flat, upto[ends - 1]
+            piece, n = self._flat(piece)
+            ends = np.cumsum(n)[ends - 1]
         self.end.add(self.pieces.size + ends)
         self.pieces.add(piece)
         return np.arange(at, self.log_p.size)
 
     def draw_without(self, root: int, without: tuple[int, ...], seed: int) -> tuple[int, float]:
         """A segmentation from `root` that is none of the drawn ones `without`, and the log-probability of all that are then left."""
-        first, many, log_p, others, to, path, end = (x.data for x in (self.edge, self.edges, self.edge_log_p, self.edge_others, self.edge_to, self.path, self.path_end))
+        first, many, path, end = (x.data for x in (self.edge, self.edges, self.path, self.path_end))
+        log_p, others, to = self.step.data.T[1:]
         chance = random.Random(seed).random
         tree: dict = {}
 
@@ -499,6 +589,12 @@ class Lattice:
         (k,) = self._keep(np.array(own), np.array([len(own)]), np.array([total]), np.array([missed]))
         return int(k), math.log(mass) if mass > 0 else -math.inf
 
+    def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of the pieces, the end of each)."""
+        n = self.text_size[ids]
+        ends = np.cumsum(n)
+        return self.text_bytes[np.repeat(self.text_first[ids] - (ends - n), n) + np.arange(n.sum())], ends
+
     def decode(self, ids) -> str:
         """The text of a segmentation that `sample` made."""
         return b"".join(map(self.texts.__getitem__, ids))[1:].decode()
@@ -522,24 +618,22 @@ class _Part:
         return self.value > other.value
 
 
-def top_k(lattice: Lattice, texts: list[np.ndarray], k: int, keys: list[int]):
-    """Of each text (its units): ([(choice of each unit, log-probability, perturbed value)] of at most
+def top_k(lattice: Lattice, units: np.ndarray, sizes: np.ndarray, k: int, keys: list[int]):
+    """Of each text (its units in a row with all others', and how many): ([(choice of each unit, log-probability, perturbed value)] of at most
     k distinct segmentations, value of the next one or None). Texts are drawn independently, side by side."""
     lattice.forget()
     first, count, cumulative, root = (x.used for x in (lattice.first, lattice.count, lattice.cumulative, lattice.root))
-    sizes = np.array([len(x) for x in texts])
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    units = np.concatenate([np.zeros(0, np.int64), *texts])
     row = K.row_of(sizes)
     place = np.arange(len(units)) - starts[row]
     begin, ways, root = first[units], count[units], root[units]
     long = root >= 0
     base = K.mix(np.array(keys, np.uint64))
     each = base[row]
-    roots = -np.log(-np.log(_uniform(base, np.zeros(len(texts)))[0]))
+    roots = -np.log(-np.log(_uniform(base, np.zeros(len(sizes)))[0]))
     heaps = [[_Part(float(g), None, 0, ())] for g in roots]
-    out: list = [[] for _ in texts]
+    out: list = [[] for _ in keys]
     for turn in range(k):
         parts = [heapq.heappop(h) if h else None for h in heaps]
         live = np.array([x is not None for x in parts])
@@ -559,7 +653,7 @@ def top_k(lattice: Lattice, texts: list[np.ndarray], k: int, keys: list[int]):
         choice[other] = np.minimum(np.searchsorted(cumulative, target[other]), begin[other] + ways[other] - 1)
         drawn = np.flatnonzero(long & (place >= lo[row]) & live[row])
         choice[drawn] = lattice.draw(root[drawn], each[drawn], (1 + place + turn * (1 << 40))[drawn])
-        left_mass = np.full(len(texts), -np.inf)
+        left_mass = np.full(len(sizes), -np.inf)
         for r in np.flatnonzero(live & (sizes > 0)):
             part, at = parts[r], starts[r] + lo[r]
             if part.choice is not None:
@@ -615,17 +709,34 @@ def ids_of(lattice: Lattice, choices: list[np.ndarray]) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def samples(lattice: Lattice, texts: list[str], keys: list[int]):
-    """Of each text [(ids, log-probability, perturbed value, inclusion score)]."""
-    if len(lattice.index) > lattice.config.cache or lattice.edge_to.size > 32 * lattice.config.cache:
+def samples(lattice: Lattice, raw: np.ndarray, offsets: np.ndarray, keys: list[int]):
+    """Of each row [(ids, log-probability, perturbed value, inclusion score)]."""
+    if len(lattice.index) > lattice.config.cache or lattice.step.size > 32 * lattice.config.cache:
         lattice.clear()
-    units = [lattice.units(x) for x in texts]
+    units, sizes = lattice.units(raw, offsets)
     lattice.learn()
-    found = top_k(lattice, units, lattice.config.k, keys)
+    found = top_k(lattice, units, sizes, lattice.config.k, keys)
     ids = iter(ids_of(lattice, [c for own, _ in found for c, _, _ in own]))
     return [[(next(ids), p, g, 1.0 if after is None else float(-np.expm1(-np.exp(p - after)))) for _, p, g in own] for own, after in found]
 
 
+def round_trips(lattice: Lattice, coded: list[np.ndarray], texts: list[np.ndarray]) -> list[bool]:
+    """Whether each segmentation spells its text (bytes) after a blank; so many at once as make a slice."""
+    out, i = [], 0
+    while i < len(coded):
+        j, n = i + 1, len(texts[i])
+        while j < len(coded) and n + len(texts[j]) <= K.SLICE:
+            n += len(texts[j])
+            j += 1
+        spelled, ends = lattice.spell(np.concatenate(coded[i:j]))
+        ends = np.concatenate([[0], ends])[np.cumsum([0, *map(len, coded[i:j])])]
+        for a, b, text in zip(ends[:-1], ends[1:], texts[i:j], strict=True):
+            own = spelled[a:b]
+            out.append(bool(len(own) == len(text) + (len(text) > 0) and (not len(own) or own[0] == 32) and np.array_equal(own[1:], text)))
+        i = j
+    return out
+
+
 _LATTICES: dict[Config, Lattice] = {}  # one for each Python worker
 
 
@@ -645,18 +756,15 @@ def sample(docs: DataFrame, config: Config = Config(), with_ids: bool = False) -
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
         for batch in batches:
-            ids, cells = batch.column("doc_id").to_pylist(), batch.column("text")
-            _, offsets, _ = K.buffers(cells)
+            ids = batch.column("doc_id").to_pylist()
+            raw, offsets, _ = K.buffers(batch.column("text"))
             for i, j in K.slices(offsets):
-                texts = [x or "" for x in cells.slice(i, j - i).to_pylist()]
                 keys = [((x or 0) & (2**64 - 1)) ^ seed for x in ids[i:j]]
-                rows: list = []
-                coded: list = []
-                for doc_id, text, own in zip(ids[i:j], texts, samples(lattice, texts, keys), strict=True):
-                    for s, (codes, p, g, share) in enumerate(own):
-                        rows.append((doc_id, s, len(codes), zlib.crc32(codes.astype("<u4").tobytes()), p, g, share, lattice.decode(codes.tolist()) == text))
-                        if with_ids:
-                            coded.append(codes.astype(np.int32))
+                found = [(r, s, own) for r, row in enumerate(samples(lattice, raw, offsets[i : j + 1], keys), i) for s, own in enumerate(row)]
+                coded = [own[0] for _, _, own in found]
+                trips = round_trips(lattice, coded, [raw[offsets[r] : offsets[r + 1]] for r, _, _ in found])
+                rows = [(ids[r], s, len(codes), zlib.crc32(codes.astype("<u4").tobytes()), p, g, share, same) for (r, s, (codes, p, g, share)), same in zip(found, trips, strict=True)]
+                coded = [x.astype(np.int32) for x in coded] if with_ids else []
                 yield _made(rows, coded, names, kinds, with_ids)
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
