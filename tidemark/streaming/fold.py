@@ -20,12 +20,13 @@ def live(changes: DataFrame, *values: str) -> DataFrame:
 
 
 def into_store(changes: DataFrame, store, checkpoint: str, **trigger) -> StreamingQuery:
-    """Every batch of (key, seq, op, value) becomes a run of `store`; a batch that comes again writes the same values again."""
+    """Every batch of (key, seq, op, value) becomes a run of `store`, with the stream's sequences: a row that comes
+    after newer ones of its key stays hidden. A batch that comes again writes the same versions again."""
 
     def write(batch: DataFrame, _epoch: int) -> None:
         from tidemark.operators import snapshot
 
-        rows = snapshot.newest(batch).select("key", F.when(F.col("op") == codec.PUT, F.col("value")).alias("value"))
+        rows = snapshot.newest(batch).select("key", "seq", F.when(F.col("op") == codec.PUT, F.col("value")).alias("value"))
         if not rows.isEmpty():
             store.write_frame(rows)
 
