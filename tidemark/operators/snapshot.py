@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from tidemark.functions import codec
 
 
-def newest(log: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
-    """The newest version of each key, deletes included.
+def newest(log: DataFrame, key: str | Sequence[str] = "key", seq: str = "seq") -> DataFrame:
+    """The newest version of each key (or combination of columns), deletes included.
 
     row_number() = 1 becomes a group limit on both sides of the shuffle, so a map task sends one
     row of a key however hot it is."""
-    by_key = Window.partitionBy(key).orderBy(F.desc(seq))
+    by_key = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(F.desc(seq))
     return log.withColumn("_rank", F.row_number().over(by_key)).where("_rank = 1").drop("_rank")
 
 

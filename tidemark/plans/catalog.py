@@ -61,7 +61,7 @@ def files(spark, d) -> DataFrame:
     made = runs(spark, d)
     size = F.lit(25) + F.length("event_type")
     of = lambda rows, level: rows.groupBy("file_number").agg(F.count("*").alias("entries"), F.sum(size).cast("long").alias("file_size"), F.min("key").alias("smallest"), F.max("key").alias("largest")).withColumn("level", F.lit(level))
-    lower = made.where(F.col("key") % 7 != 0).withColumn("file_number", (1000 + F.floor(F.col("key") / 40)).cast("long"))
+    lower = made.withColumn("file_number", (1000 + F.floor(F.col("key") / 40)).cast("long"))
     return of(made, 0).unionByName(of(lower, 1))
 
 
@@ -87,7 +87,7 @@ KV = "kv AS (SELECT c_name AS key, c_custkey, c_acctbal, c_mktsegment FROM custo
 RUNS = f"{CL}, runs AS (SELECT *, seq // {RUN} AS file_number FROM cl)"
 FILES = f"""{RUNS}, files AS (
   SELECT 0 AS level, file_number, count(*) AS entries, CAST(sum(25 + length(event_type)) AS BIGINT) AS file_size, min(key) AS smallest, max(key) AS largest FROM runs GROUP BY file_number
-  UNION ALL SELECT 1, 1000 + key // 40, count(*), CAST(sum(25 + length(event_type)) AS BIGINT), min(key), max(key) FROM cl WHERE key % 7 <> 0 GROUP BY 1000 + key // 40)"""
+  UNION ALL SELECT 1, 1000 + key // 40, count(*), CAST(sum(25 + length(event_type)) AS BIGINT), min(key), max(key) FROM cl GROUP BY 1000 + key // 40)"""
 EDITS = "edits AS (SELECT event_id AS edit_id, CASE WHEN event_type IN ('purchase', 'error') THEN 'DEL' ELSE 'ADD' END AS action, CAST(user_id % 3 AS INTEGER) AS level, user_id % 40 AS file_number FROM events)"
 LIMIT = "CASE WHEN level = 0 THEN 16384 ELSE CAST(4096 * pow(10.0, level - 1) AS BIGINT) END"
 FULL = f"{FILES}, full_levels AS (SELECT level FROM (SELECT level, count(*) AS n, sum(file_size) AS b FROM files GROUP BY level) WHERE CASE WHEN level = 0 THEN n >= 4 ELSE b >= {LIMIT} END)"
@@ -118,15 +118,16 @@ def multi_get_with_misses(spark, d):
     return snapshot.multi_get(events_log(spark, d), spark.range(0, 300, 3).withColumnRenamed("id", "key"))
 
 
-@query(f"WITH {CL} SELECT * FROM cl WHERE seq % 500 = 0 AND key % 2 = 0")
+@query(f"WITH {CL} SELECT c.* FROM cl c JOIN (SELECT o_custkey AS key, o_orderkey AS seq FROM orders UNION SELECT key, seq FROM cl WHERE op = 0) r ON r.key = c.key AND r.seq = c.seq")
 def get_exact_version(spark, d):
+    """Requests: the customer and number of every order, most of which are no version, and every delete."""
     log = events_log(spark, d)
-    return snapshot.get_exact(log, log.where("seq % 500 = 0 and key % 2 = 0").select("key", "seq"))
+    return snapshot.get_exact(log, orders_log(spark, d).select("key", "seq").union(log.where("op = 0").select("key", "seq")))
 
 
-@query(f"WITH {CL} SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS INTEGER) AS place FROM cl WHERE key IN (7, 8)")
+@query(f"WITH {CL} SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS INTEGER) AS place FROM cl")
 def version_history(spark, d):
-    return snapshot.versions(events_log(spark, d).where("key in (7, 8)"))
+    return snapshot.versions(events_log(spark, d))
 
 
 @query(f"WITH {CL} SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS INTEGER) AS place FROM cl WHERE op = 1")
@@ -134,9 +135,9 @@ def memory_scan(spark, d):
     return snapshot.versions(events_log(spark, d), live_only=True)
 
 
-@query(f"WITH {CL} SELECT key, seq, concat_ws('|', key, seq, op, event_type) AS line FROM cl WHERE key < 5")
+@query(f"WITH {CL} SELECT key, seq, concat_ws('|', key, seq, op, event_type) AS line FROM cl")
 def version_dump(spark, d):
-    return snapshot.dump(events_log(spark, d).where("key < 5"), ["key", "seq", "op", "event_type"])
+    return snapshot.dump(events_log(spark, d), ["key", "seq", "op", "event_type"])
 
 
 @query(f"WITH {CL} SELECT key, seq, event_type, value FROM (SELECT * FROM cl WHERE seq <= 5000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE op = 1")
@@ -206,19 +207,20 @@ def zip_keys_values(spark, d):
     return merge.zipped(lists, "k", "v")
 
 
-@query(f"WITH {RUNS} SELECT key, seq, op, event_type, value, file_number FROM runs WHERE file_number = 1 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1")
+@query(f"WITH {RUNS} SELECT key, seq, op, event_type, value, file_number FROM runs QUALIFY row_number() OVER (PARTITION BY file_number, key ORDER BY seq DESC) = 1")
 def flush_run(spark, d):
-    return snapshot.newest(runs(spark, d).where("file_number = 1"))
+    """Every stretch of the log as the run that it is flushed to."""
+    return snapshot.newest(runs(spark, d), ["file_number", "key"])
 
 
-@query(f"WITH {RUNS} SELECT key, seq, op, event_type, value, file_number FROM (SELECT * FROM runs WHERE file_number IN (0, 1) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE op = 1")
+@query(f"WITH {RUNS} SELECT key, seq, op, event_type, value, file_number FROM (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE op = 1")
 def compact_drop_tombstones(spark, d):
-    return compaction.rewrite(runs(spark, d).where("file_number in (0, 1)"), level=6, last_level=6)
+    return compaction.rewrite(runs(spark, d), level=6, last_level=6)
 
 
-@query(f"WITH {RUNS} SELECT key, seq, op, event_type, value, file_number FROM runs WHERE file_number IN (0, 1) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1")
+@query(f"WITH {RUNS} SELECT key, seq, op, event_type, value, file_number FROM runs QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1")
 def compact_keep_tombstones(spark, d):
-    return compaction.rewrite(runs(spark, d).where("file_number in (0, 1)"), level=1, last_level=6)
+    return compaction.rewrite(runs(spark, d), level=1, last_level=6)
 
 
 @query(f"WITH {RUNS} SELECT key, seq, op, event_type, value, file_number FROM runs WHERE key >= 20 AND key < 60 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1")
@@ -368,7 +370,20 @@ def memory_rotation(spark, d):
     return changelog.rotations(log, 65536).groupBy("memory").agg(F.count("*").alias("entries"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
-@query(None)  # where a record starts depends on the padding before it, record by record
+#: Bytes left in a block after `p`, and whether a fragment's header still fits there.
+_AT = "(32768 - {p} % 32768)"
+_BEGIN = f"({{p}} + CASE WHEN {_AT} < 7 THEN {_AT} ELSE 0 END)"
+
+
+@query(f"""WITH RECURSIVE {BATCHES}, sizes AS (SELECT batch_id % 64 AS log, batch_id AS record, 150 * CAST(8 + sum(5 + length(key) + CASE WHEN op = 1 THEN 4 + length(value) ELSE 0 END) AS BIGINT) AS bytes FROM ops GROUP BY batch_id),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY log ORDER BY record) AS n FROM sizes),
+fragment AS (
+  SELECT log, n, record, 1 AS k, least(bytes, 32761) AS part, bytes - least(bytes, 32761) AS left_, 7 + least(bytes, 32761) AS p FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT log, n, record, k, least(todo, 32768 - begins % 32768 - 7), todo - least(todo, 32768 - begins % 32768 - 7), begins + 7 + least(todo, 32768 - begins % 32768 - 7) FROM (
+    SELECT f.log, m.n, m.record, CASE WHEN f.left_ > 0 THEN f.k + 1 ELSE 1 END AS k, CASE WHEN f.left_ > 0 THEN f.left_ ELSE m.bytes END AS todo, {_BEGIN.format(p="f.p")} AS begins
+    FROM fragment f JOIN numbered m ON m.log = f.log AND m.n = f.n + CASE WHEN f.left_ > 0 THEN 0 ELSE 1 END))
+SELECT log, record, CAST(max(k) AS INTEGER) AS fragments FROM fragment GROUP BY log, record""")
 def wal_fragment_counts(spark, d):
     sizes = wal_record_sizes(spark, d).select((F.col("batch_id") % 64).alias("log"), F.col("batch_id").alias("record"), (F.col("bytes") * 150).alias("bytes"))
     return wal.fragment_counts(sizes)
@@ -520,13 +535,18 @@ def bloom_fpp(spark, d):
     return spark.range(100, 5001, 100).select(F.col("id").alias("n"), F.round(estimates.bloom_error(F.lit(7), F.col("id"), F.lit(9586)), 6).alias("error"))
 
 
-@query("SELECT count(*) AS present, count(*) AS maybe FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 200)")
+@query("SELECT count(*) AS present, count(*) AS maybe FROM (SELECT DISTINCT user_id FROM events)")
 def bloom_no_false_negatives(spark, d):
-    keys = table(spark, d, "events").where("user_id < 200").select("user_id").distinct()
+    keys = table(spark, d, "events").select("user_id").distinct()
     return bloom.probed(keys, keys, "user_id", keys.count()).agg(F.count("*").alias("present"), F.count_if("maybe").alias("maybe"))
 
 
-@query(None)
+#: CRC-32 a byte at a time: the table of 256 remainders, then a fold over the bytes.
+CRC = """steps AS (SELECT range AS i, list_reduce(list_prepend(range::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END) AS r FROM range(256)),
+remainders AS (SELECT list(r ORDER BY i) AS t FROM steps)"""
+
+
+@query(f"WITH {CRC}, crc AS (SELECT c_custkey, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c_name, ''), lambda c: ascii(c)::BIGINT)), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) AS v FROM customer, remainders) SELECT c_custkey, CAST(CASE WHEN v >= 2147483648 THEN v - 4294967296 ELSE v END AS INTEGER) AS crc32 FROM crc")
 def crc32_checksum(spark, d):
     return table(spark, d, "customer").select("c_custkey", codec.checksum(F.col("c_name")).alias("crc32"))
 
