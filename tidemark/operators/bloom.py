@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,14 +16,36 @@ def _places(key: Column, bits: int, hashes: int) -> Column:
     return F.array_distinct(F.array(*[F.pmod(a + b * k, F.lit(bits)) for k in range(hashes)]))
 
 
-def probed(keys: DataFrame, rows: DataFrame, column: str, expected: int, error: float = 0.01) -> DataFrame:
-    """`keys` (distinct) and `maybe`: whether a filter of `rows` may hold them. The filter is a table of its set bits, so nothing of it meets in one place."""
+def sizes(expected: int, error: float = 0.01) -> tuple[int, int]:
+    """(bits, hashes) of a filter."""
     n = max(1, expected)
     bits = math.ceil(-n * math.log(error) / math.log(2) ** 2)
-    hashes = max(1, round(bits / n * math.log(2)))
-    held = rows.select(F.explode(_places(F.col(column), bits, hashes)).alias("bit")).distinct().withColumn("held", F.lit(True))
-    asked = keys.select(column, F.explode(_places(F.col(column), bits, hashes)).alias("bit"))
-    return asked.join(held, "bit", "left").groupBy(column).agg(F.bool_and(F.col("held").isNotNull()).alias("maybe"))
+    return bits, max(1, round(bits / n * math.log(2)))
+
+
+def filled(rows: DataFrame, column: str, bits: int, hashes: int) -> DataFrame:
+    """(word, bits): a filter as a table of its 64-bit words that are not zero, so nothing of it meets in one place."""
+    bit = rows.select(F.explode(_places(F.col(column), bits, hashes)).alias("bit"))
+    one = F.expr("shiftleft(cast(1 as bigint), cast(bit % 64 as int))")
+    return bit.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(one).alias("bits"))
+
+
+def union(*filters: DataFrame) -> DataFrame:
+    """The filter of everything that any of `filters` (of one size) holds."""
+    return reduce(DataFrame.unionByName, filters).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def probe(keys: DataFrame, held: DataFrame, column: str, bits: int, hashes: int) -> DataFrame:
+    """`keys` (distinct) and `maybe`: whether the filter may hold them."""
+    asked = keys.select(column, F.explode(_places(F.col(column), bits, hashes)).alias("bit")).withColumn("word", F.expr("bit div 64"))
+    hit = F.expr("coalesce((shiftright(bits, cast(bit % 64 as int)) & 1) = 1, false)")
+    return asked.join(held, "word", "left").groupBy(column).agg(F.bool_and(hit).alias("maybe"))
+
+
+def probed(keys: DataFrame, rows: DataFrame, column: str, expected: int, error: float = 0.01) -> DataFrame:
+    """`keys` (distinct) and `maybe`: whether a filter of `rows` may hold them."""
+    size = sizes(expected, error)
+    return probe(keys, filled(rows, column, *size), column, *size)
 
 
 class BloomFilter:

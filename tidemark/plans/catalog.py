@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codec, estimates
 from tidemark.operators import bloom, cache, changelog, commands, compaction, manifest, merge, snapshot, stats, tables
-from tidemark.sources import wal
+from tidemark.sources import frames, manifest_log, sstable, wal
 
 RUN = 2500
 
@@ -287,6 +287,13 @@ def pick_compaction(spark, d):
     return compaction.pick(files(spark, d), BASE).select("level", "file_number", "file_size")
 
 
+@query(f"WITH {FILES} SELECT level, file_number FROM files WHERE level = 1 AND 60 - entries % 100 <= 0 ORDER BY file_number LIMIT 1")
+def pick_by_seeks(spark, d):
+    """Where no level is full: the first file whose seeks are used up."""
+    lower = files(spark, d).where("level = 1").withColumn("allowed_seeks", 60 - F.col("entries") % 100)
+    return compaction.pick(lower, 1 << 40).select("level", "file_number")
+
+
 @query(f"WITH {FULL} SELECT CAST(coalesce(min(level), 2147483647) AS INTEGER) AS priority FROM full_levels")
 def compaction_priority(spark, d):
     return compaction.priority(files(spark, d), BASE)
@@ -375,7 +382,7 @@ _AT = "(32768 - {p} % 32768)"
 _BEGIN = f"({{p}} + CASE WHEN {_AT} < 7 THEN {_AT} ELSE 0 END)"
 
 
-@query(f"""WITH RECURSIVE {BATCHES}, sizes AS (SELECT batch_id % 64 AS log, batch_id AS record, 150 * CAST(8 + sum(5 + length(key) + CASE WHEN op = 1 THEN 4 + length(value) ELSE 0 END) AS BIGINT) AS bytes FROM ops GROUP BY batch_id),
+@query(f"""WITH RECURSIVE {BATCHES}, sizes AS (SELECT batch_id // 256 AS log, batch_id AS record, 150 * CAST(8 + sum(5 + length(key) + CASE WHEN op = 1 THEN 4 + length(value) ELSE 0 END) AS BIGINT) AS bytes FROM ops GROUP BY batch_id),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY log ORDER BY record) AS n FROM sizes),
 fragment AS (
   SELECT log, n, record, 1 AS k, least(bytes, 32761) AS part, bytes - least(bytes, 32761) AS left_, 7 + least(bytes, 32761) AS p FROM numbered WHERE n = 1
@@ -385,10 +392,27 @@ fragment AS (
     FROM fragment f JOIN numbered m ON m.log = f.log AND m.n = f.n + CASE WHEN f.left_ > 0 THEN 0 ELSE 1 END))
 SELECT log, record, CAST(max(k) AS INTEGER) AS fragments FROM fragment GROUP BY log, record""")
 def wal_fragment_counts(spark, d):
-    sizes = wal_record_sizes(spark, d).select((F.col("batch_id") % 64).alias("log"), F.col("batch_id").alias("record"), (F.col("bytes") * 150).alias("bytes"))
+    sizes = wal_record_sizes(spark, d).select(F.floor(F.col("batch_id") / 256).alias("log"), F.col("batch_id").alias("record"), (F.col("bytes") * 150).alias("bytes"))
     return wal.fragment_counts(sizes)
 
 
+@query(f"WITH {BATCHES} SELECT batch_id // 256 AS log, row_number() OVER (ORDER BY batch_id, i) + 99 AS seq, op, key, value FROM ops")
+def wal_round_trip(spark, d):
+    """Batches written as framed logs of 256 batches each, and read back."""
+    batches = changelog.sequence_batches(_batches(spark, d), 100).withColumn("log", F.floor(F.col("batch_id") / 256))
+    got = wal.decoded(wal.framed(batches), "log")
+    return got.select("log", "seq", "op", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query(f"WITH {EDITS} SELECT edit_id, 0 AS ord, action, level, file_number, CASE WHEN action = 'ADD' THEN edit_id * 3 END AS file_size, CASE WHEN action = 'ADD' THEN 'a' || file_number END AS smallest, CASE WHEN action = 'ADD' THEN 'b' || file_number END AS largest, edit_id AS last_sequence FROM edits")
+def manifest_codec(spark, d):
+    """Edits in the binary form of manifests, and read back."""
+    n = F.col("file_number").cast("string")
+    made = edits(spark, d).withColumns({"file_size": F.col("edit_id") * 3, "smallest": F.concat(F.lit("a"), n), "largest": F.concat(F.lit("b"), n)})
+    got = manifest_log.decoded(manifest_log.encoded(made).withColumnRenamed("edit_id", "path"), "path")
+    return got.select(F.col("path").alias("edit_id"), "ord", "action", "level", "file_number", "file_size", F.col("smallest").cast("string").alias("smallest"), F.col("largest").cast("string").alias("largest"), "last_sequence")
+
+
 @query(f"WITH {FILES} SELECT (SELECT count(*) FROM cl WHERE seq > 7000) AS memory_entries, (SELECT max(seq) FROM cl) AS last_seq, count(*) AS files, CAST(sum(file_size) AS BIGINT) AS file_bytes FROM files")
 def db_status(spark, d):
     return stats.status(events_log(spark, d), files(spark, d), 7000)
@@ -465,6 +489,28 @@ def block_fill(spark, d):
     return block_index_sparse(spark, d).select("run", "block", tables.fill(F.col("bytes"), F.lit(4096)).alias("fill"))
 
 
+def _table_files(spark, d):
+    """Customers as sorted tables of 1,000 rows each."""
+    rows = table(spark, d, "customer").select(F.floor(F.col("c_custkey") / 1000).alias("file"), F.col("c_name").alias("key"), F.concat_ws("|", "c_mktsegment", "c_nationkey").alias("value"))
+    return sstable.encoded(rows, "file")
+
+
+@query("SELECT c_custkey // 1000 AS file, c_name AS key, concat_ws('|', c_mktsegment, c_nationkey) AS value FROM customer")
+def table_round_trip(spark, d):
+    """Footer, index, handles and blocks written and read back."""
+    got = sstable.decoded(_table_files(spark, d), "file")
+    return got.select("file", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query("WITH asked AS (SELECT DISTINCT o_custkey // 1000 AS file, 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || CASE WHEN o_custkey % 2 = 0 THEN '' ELSE 'x' END AS key FROM orders WHERE o_custkey // 1000 IN (SELECT c_custkey // 1000 FROM customer)) SELECT a.file, a.key, concat_ws('|', c.c_mktsegment, c.c_nationkey) AS value FROM asked a JOIN customer c ON c.c_name = a.key UNION ALL SELECT a.file, a.key, NULL FROM asked a WHERE a.key NOT IN (SELECT c_name FROM customer)")
+def table_point_lookups(spark, d):
+    """The customer of every order, half of them by a wrong name, through index and block of their table."""
+    name = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.when(F.col("o_custkey") % 2 == 0, "").otherwise("x"))
+    asked = table(spark, d, "orders").select(F.floor(F.col("o_custkey") / 1000).alias("file"), name.alias("key")).groupBy("file").agg(F.collect_set("key").alias("keys"))  # a table has 1,000 rows
+    got = sstable.lookups(_table_files(spark, d).join(asked, "file"), "file")
+    return got.select("file", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
 # caches, filters and counters
 
 HASH = "hashed AS (SELECT c_name, c_custkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(c_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) & 4294967295) AS h FROM customer)"
@@ -541,6 +587,16 @@ def bloom_no_false_negatives(spark, d):
     return bloom.probed(keys, keys, "user_id", keys.count()).agg(F.count("*").alias("present"), F.count_if("maybe").alias("maybe"))
 
 
+@query("SELECT count(*) AS present, count(*) AS maybe FROM (SELECT DISTINCT user_id FROM events)")
+def bloom_merge(spark, d):
+    """The filters of each kind of event, as words of bits, united; every key of the whole table is in the union."""
+    e = table(spark, d, "events")
+    keys = e.select("user_id").distinct()
+    size = bloom.sizes(keys.count())
+    held = bloom.union(*[bloom.filled(e.where(kind), "user_id", *size) for kind in ("event_type in ('view', 'click')", "coalesce(event_type not in ('view', 'click'), true)")])
+    return bloom.probe(keys, held, "user_id", *size).agg(F.count("*").alias("present"), F.count_if("maybe").alias("maybe"))
+
+
 #: CRC-32 a byte at a time: the table of 256 remainders, then a fold over the bytes.
 CRC = """steps AS (SELECT range AS i, list_reduce(list_prepend(range::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END) AS r FROM range(256)),
 remainders AS (SELECT list(r ORDER BY i) AS t FROM steps)"""
@@ -586,6 +642,14 @@ def command_names(spark, d):
     return _codes(spark, d).groupBy("code").agg(F.count("*").alias("n")).select("code", codec.command_name(F.col("code")).alias("name"), "n")
 
 
+@query(f"WITH {CODES} SELECT event_id // 1000 AS session, CAST(row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) - 1 AS INTEGER) AS ord, code AS opcode, repeat('k', klen::INTEGER) AS key, repeat('v', vlen::INTEGER) AS value FROM codes")
+def frame_round_trip(spark, d):
+    """Commands as the bytes that a client sends, a thousand to a session, and parsed again."""
+    rows = _codes(spark, d).select(F.floor(F.col("event_id") / 1000).alias("session"), F.col("event_id").alias("ord"), F.col("code").alias("opcode"), F.repeat(F.lit("k"), F.col("klen").cast("int")).alias("key"), F.repeat(F.lit("v"), F.col("vlen").cast("int")).alias("value"))
+    got = frames.parse(frames.written(rows))
+    return got.select("session", "ord", "opcode", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
 @query(f"WITH {MARKED}, closed AS (SELECT DISTINCT session, batch_no FROM marked WHERE kind = 'COMMIT' AND prev = 'START') SELECT m.session, m.ord, m.kind, CAST(CASE WHEN prev = 'START' THEN m.batch_no END AS INTEGER) AS batch FROM marked m LEFT JOIN closed c ON c.session = m.session AND c.batch_no = m.batch_no WHERE kind IN ('PUT', 'DELETE') AND (prev IS DISTINCT FROM 'START' OR c.session IS NOT NULL)")
 def batch_sessions(spark, d):
     return commands.applied(session_commands(spark, d)).select("session", "ord", "kind", "batch")

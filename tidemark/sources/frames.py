@@ -6,6 +6,7 @@ import struct
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 HEADER = 9
 
@@ -36,6 +37,18 @@ def write(kind: int, key: bytes = b"", value: bytes = b"") -> bytes:
     return struct.pack(">Bii", kind, len(key), len(value)) + key + value
 
 
+def written(commands: DataFrame) -> DataFrame:
+    """(session, data): the frames that clients sent, of (session, ord, opcode, key, value) in order; a session's bytes are one row."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.sort_values("ord")
+        data = b"".join(write(int(c), bytes(k or b""), bytes(v or b"")) for c, k, v in zip(rows["opcode"], rows["key"], rows["value"], strict=True))
+        return pd.DataFrame({"session": frame["session"].iloc[:1].to_numpy(), "data": [data]})
+
+    columns = ["session", "ord", "opcode", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")]
+    return commands.select(*columns).groupBy("session").applyInPandas(run, f"session {dict(commands.dtypes)['session']}, data binary")
+
+
 def parse(captures: DataFrame) -> DataFrame:
     """(session, ord, opcode, key, value) of (session, data); a session's bytes are one row."""
 

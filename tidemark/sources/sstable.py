@@ -8,12 +8,14 @@ footer is the filter's handle, the index block's handle and a magic number. All
 
 from __future__ import annotations
 
+import bisect
 import os
 import struct
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MAGIC = 0xDB4775248B80FB57
 FOOTER = struct.Struct(">qqqqQ")
@@ -83,29 +85,88 @@ def encode(entries: Iterable[tuple[bytes, bytes]], block: int = BLOCK) -> bytes:
     return bytes(out) + data + FOOTER.pack(at, 0, at, len(data), MAGIC)
 
 
+class Table:
+    """A table in memory whose blocks are decoded as they are needed."""
+
+    def __init__(self, data: bytes):
+        if len(data) < FOOTER.size:
+            raise Corrupt("too short for a table")
+        *_, at, size, magic = FOOTER.unpack_from(data, len(data) - FOOTER.size)
+        if magic != MAGIC or at < 0 or size < 0 or at + size > len(data):
+            raise Corrupt("no table")
+        self.data, self.decoded = data, 0
+        self.last, self.handles = [], []  # of each block
+        for key, handle in decode_block(data[at : at + size]):
+            begin, length = struct.unpack(">qq", handle)
+            if begin < 0 or length < 0 or begin + length > at:
+                raise Corrupt("bad handle")
+            self.last.append(key)
+            self.handles.append((begin, length))
+
+    def _block(self, k: int) -> Iterator[tuple[bytes, bytes]]:
+        begin, length = self.handles[k]
+        self.decoded += 1
+        return decode_block(self.data[begin : begin + length])
+
+    def scan(self, low: bytes | None = None) -> Iterator[tuple[bytes, bytes]]:
+        """Entries in order, from the first key that is not below `low`; blocks before it are not decoded."""
+        first = 0 if low is None else bisect.bisect_left(self.last, low)
+        for k in range(first, len(self.handles)):
+            for key, value in self._block(k):
+                if low is None or key >= low:
+                    yield key, value
+
+    def get(self, key: bytes) -> bytes | None:
+        """The value of a key, from the one block that may hold it."""
+        found = next(self.scan(key), None)
+        return found[1] if found and found[0] == key else None
+
+
 def decode(data: bytes) -> Iterator[tuple[bytes, bytes]]:
     """All entries, block by block through the index."""
-    if len(data) < FOOTER.size:
-        raise Corrupt("too short for a table")
-    *_, at, size, magic = FOOTER.unpack_from(data, len(data) - FOOTER.size)
-    if magic != MAGIC or at < 0 or size < 0 or at + size > len(data):
-        raise Corrupt("no table")
-    for _, handle in decode_block(data[at : at + size]):
-        begin, length = struct.unpack(">qq", handle)
-        if begin < 0 or length < 0 or begin + length > at:
-            raise Corrupt("bad handle")
-        yield from decode_block(data[begin : begin + length])
+    yield from Table(data).scan()
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, file_number, key, value) of all tables at `path`; files are read side by side."""
+def encoded(rows: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
+    """(by, content): a table of each group's (key, value); a group is as large as one file may be."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        entries = sorted(zip(map(bytes, frame["key"]), map(bytes, frame["value"]), strict=True))
+        return pd.DataFrame({by: frame[by].iloc[:1].to_numpy(), "content": [encode(entries, block)]})
+
+    return rows.select(by, F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")).groupBy(by).applyInPandas(run, f"{by} {dict(rows.dtypes)[by]}, content binary")
+
+
+def decoded(tables: DataFrame, by: str) -> DataFrame:
+    """(by, key, value) of tables (by, content)."""
+
+    def run(frames):
+        for frame in frames:
+            for name, data in zip(frame[by], frame["content"], strict=True):
+                rows = [(name, k, v) for k, v in decode(bytes(data))]
+                yield pd.DataFrame(rows, columns=[by, "key", "value"])
+
+    return tables.select(by, "content").mapInPandas(run, f"{by} {dict(tables.dtypes)[by]}, key binary, value binary")
+
+
+def lookups(tables: DataFrame, by: str) -> DataFrame:
+    """(by, key, value, blocks) of tables with the keys to ask (by, content, keys): value null where there is none, blocks decoded for it."""
 
     def run(frames):
         for frame in frames:
-            for path, data in zip(frame["path"], frame["content"], strict=True):
-                number = int(os.path.basename(path).split(".")[0])
-                rows = [(path, number, k, v) for k, v in decode(bytes(data))]
-                yield pd.DataFrame(rows, columns=["path", "file_number", "key", "value"])
+            rows = []
+            for name, data, keys in zip(frame[by], frame["content"], frame["keys"], strict=True):
+                table = Table(bytes(data))
+                for key in keys:
+                    before = table.decoded
+                    rows.append((name, bytes(key), table.get(bytes(key)), table.decoded - before))
+            yield pd.DataFrame(rows, columns=[by, "key", "value", "blocks"])
 
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(path).select("path", "content")
-    return found.mapInPandas(run, "path string, file_number long, key binary, value binary")
+    return tables.select(by, "content", F.transform("keys", lambda k: k.cast("binary")).alias("keys")).mapInPandas(run, f"{by} {dict(tables.dtypes)[by]}, key binary, value binary, blocks int")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file_number, key, value) of all tables at `path`; files are read side by side."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(path)
+    number = F.regexp_extract("path", r"([^/.]+)\.[^/]*$", 1).cast("long")
+    return decoded(found, "path").select("path", number.alias("file_number"), "key", "value")
