@@ -6,13 +6,14 @@ documents whose language is undetermined or predicted with a probability under 0
 document of the smallest id in each group of near duplicates (five-word shingles, similarity of
 at least 0.8); repeated passages, and documents that are left without a word by that.
 
-Rows that repeat a doc_id count as one document from the near-duplicate stage on; rows without
-doc_id are kept by it.
+Rows that repeat a doc_id count as one document from the near-duplicate stage on: of them the one
+with the longest text stays, of equal lengths the one whose text sorts first (then lang, source and
+n_chars). Rows without doc_id are kept by that stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, neardup, packing, quality, substring
@@ -38,7 +39,9 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     docs = docs.select(*COLUMNS)
     gone = checkpoint(neardup.groups(docs, neardup.Config(width=5)).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
     numbered = docs.where(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return numbered.dropDuplicates(["doc_id"]).union(docs.where(F.col("doc_id").isNull()))
+    order = Window.partitionBy("doc_id").orderBy(F.desc(F.char_length(F.coalesce("text", F.lit("")))), "text", "lang", "source", "n_chars")
+    one = numbered.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*COLUMNS)  # a map sends one row of an id
+    return one.union(docs.where(F.col("doc_id").isNull()))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
