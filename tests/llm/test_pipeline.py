@@ -39,3 +39,10 @@ def test_defined_cases(spark, documents, odd, tmp_path):
         got = corpus_pipeline.run(spark, path).collect()
         assert {p.doc_id for p in got} <= {i for i, _ in rows}
         assert len([p for p in got if p.doc_id == 5 and p.start == 0]) <= 1
+
+
+def test_of_repeated_ids_the_longest_text_stays(spark, documents):
+    rows = [(1, "a short text"), (1, "a longer text by far"), (1, "b longer text by far"), (2, None), (2, "x"), (None, "y"), (None, "y")]
+    for parts in (1, 3):
+        got = corpus_pipeline.keep_one_of_near_duplicates(spark, documents(rows, parts), "").collect()
+        assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "y"), (0, "y"), (1, "a longer text by far"), (2, "x")]
