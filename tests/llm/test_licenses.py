@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from tidemark.llm import kernels as K
 from tidemark.llm import licenses
 from tidemark.llm.licenses import TEMPLATES, Config, align, winnow
 
@@ -18,7 +19,7 @@ def test_notices_are_found_where_they_stand(documents):
     got = {x.doc_id: x for x in licenses.scan(documents(rows)).collect()}
     assert {i: (x.license, x.template, x.coverage, x.start) for i, x in got.items()} == expected
     for i, x in got.items():
-        assert dict(rows)[i][x.start : x.end].rstrip('."') == TEMPLATES[x.template][1].rstrip('."')
+        assert dict(rows)[i][x.start : x.end].rstrip('."/>') == TEMPLATES[x.template][1].rstrip('."/>')
 
 
 def test_edits_and_partial_notices(documents):
@@ -80,3 +81,50 @@ def test_short_notices_with_as_many_words_changed_as_may_be(documents):
             expected[rows[-1][0]] = t, len(words) - replaced
     got = {x.doc_id: (x.template, x.matched_words) for x in licenses.scan(documents(rows)).collect()}
     assert got == expected
+
+
+def hashed(text):
+    b = K.LOWER[np.frombuffer(text.encode(), np.uint8)]
+    return K.hashes(b, *K.runs(b, np.array([0, len(b)]), licenses._CLASSES))
+
+
+def aligned(template, text):
+    """Matched words of the best local alignment of two sequences of words, without a band."""
+    n = len(text) + 1
+    score, match = [0] * n, [0] * n
+    best = (0, 0)
+    for word in template:
+        row, own = [0] * n, [0] * n
+        for j in range(1, n):
+            hit = text[j - 1] == word
+            cell = (score[j - 1] + (1 if hit else -1), match[j - 1] + hit)
+            cell = max(cell, (score[j] - 1, match[j]), (row[j - 1] - 1, own[j - 1]))
+            if cell[0] < 0:
+                cell = (0, 0)
+            row[j], own[j] = cell
+            best = max(best, cell)
+        score, match = row, own
+    return best[1]
+
+
+def test_recall_on_edited_notices(documents):
+    """Notices with up to a quarter of their words replaced, left out or added, against alignments of the whole texts."""
+    r = random.Random(21)
+    rows, truth = [], {}
+    for t in range(len(TEMPLATES)):
+        for share in (0.05, 0.1, 0.15, 0.2, 0.25):
+            words = []
+            for w in TEMPLATES[t][1].split():
+                kind = r.choice(["replace", "drop", "add"]) if r.random() < share else "keep"
+                words += {"keep": [w], "replace": [f"q{r.randrange(999)}"], "drop": [], "add": [w, f"q{r.randrange(999)}"]}[kind]
+            text = " ".join([*(f"z{r.randrange(999)}" for _ in range(r.randrange(30))), *words, *(f"z{r.randrange(999)}" for _ in range(r.randrange(30)))])
+            own = hashed(TEMPLATES[t][1])
+            if aligned(own.tolist(), hashed(text).tolist()) >= Config().coverage * len(own):
+                truth[len(rows)] = t
+            rows.append((len(rows), text))
+    got = {}
+    for x in licenses.scan(documents(rows)).collect():
+        got.setdefault(x.doc_id, []).append(x)
+    sizes = [len(hashed(text)) for _, text in TEMPLATES]
+    found = [any(x.template == t or x.matched_words >= Config().coverage * sizes[t] for x in got.get(i, ())) for i, t in truth.items()]
+    assert len(truth) > 100 and sum(found) >= 0.97 * len(truth)

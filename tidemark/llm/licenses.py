@@ -8,7 +8,7 @@ a hit. A text's k-grams are looked up; hits of one template on near diagonals fo
 candidate is confirmed by a banded local alignment of the template's words with the text's words
 around it, which gives the matched words, their share of the template and the span; what lies
 before and after a match is aligned again, as notices may follow each other closely. Of matches
-that overlap the one with more matched words is reported.
+that overlap the one with more matched words is reported, of equal numbers that of the shorter template.
 
 Words are runs of letters, digits and non-ASCII bytes, in lower case. Spans are in code points.
 Defined cases: null, empty and wordless texts have no match; repeated rows are scanned each by
@@ -24,22 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm import kernels as K
-
-#: Wording of well-known license notices.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("proprietary", "All rights reserved."),
-]
+from tidemark.llm.notices import TEMPLATES
 
 SCHEMA = "doc_id long, license string, template int, matched_words int, coverage double, start long, end long"
 
@@ -50,7 +35,7 @@ _CLASSES = np.where(K.WORD_MARK == 1, 1, 0).astype(np.uint8)
 class Config:
     gram: int = 3
     window: int = 3
-    band: int = 8  # words that an alignment may drift from its diagonal
+    band: int = 8  # words that an alignment may drift from its diagonal, an eighth of a template's words if that is more
     coverage: float = 0.75  # least matched share of a template's words
 
 
@@ -79,12 +64,13 @@ class Index:
     """Fingerprints of the templates by gram length: sorted hashes, each with its template and position."""
 
     def __init__(self, templates: list[tuple[str, str]], config: Config):
-        self.words = []
+        self.words, self.bands = [], []
         rows: dict[int, list] = {}
         for t, (_, text) in enumerate(templates):
             b = K.LOWER[np.frombuffer(text.encode(), np.uint8)]
             h = K.hashes(b, *K.runs(b, np.array([0, len(b)], np.int64), _CLASSES))
             self.words.append(h)
+            self.bands.append(max(config.band, len(h) // 8))
             run = _sure_run(len(h), config.coverage)
             k = max(1, min(config.gram, run))
             g = _grams(h, k)
@@ -150,23 +136,23 @@ def matches(h: np.ndarray, index: Index, config: Config) -> list[tuple[int, int,
     found = []
     begin = 0
     for k in range(1, len(order) + 1):
-        if k < len(order) and template[order[k]] == template[order[begin]] and diagonal[order[k]] - diagonal[order[begin]] <= config.band:
+        if k < len(order) and template[order[k]] == template[order[begin]] and diagonal[order[k]] - diagonal[order[begin]] <= index.bands[template[order[begin]]]:
             continue
         t, shift = int(template[order[begin]]), int(diagonal[order[begin]])
-        own = index.words[t]
+        own, band = index.words[t], index.bands[t]
         least = config.coverage * len(own)
-        open_ = [(max(0, shift - config.band), min(len(h), shift + len(own) + 2 * config.band))]
+        open_ = [(max(0, shift - band), min(len(h), shift + len(own) + 2 * band))]
         while open_:
             lo, hi = open_.pop()
             # too few of the template's words are there for a match
             if hi - lo < least or np.isin(own, h[lo:hi]).sum() < least:
                 continue
-            got = align(own, h[lo:hi], shift - lo, config.band)
+            got = align(own, h[lo:hi], shift - lo, band)
             if got and got[0] >= least:
                 found.append((t, got[0], lo + got[1], lo + got[2]))
                 open_ += [(lo, lo + got[1]), (lo + got[2] + 1, hi)]
         begin = k
-    found.sort(key=lambda x: (-x[1], x[0], x[2]))
+    found.sort(key=lambda x: (-x[1], len(index.words[x[0]]), x[0], x[2]))
     kept: list = []
     taken: dict[int, bool] = {}
     for x in found:
