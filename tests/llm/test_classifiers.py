@@ -1,10 +1,14 @@
+import collections
 import math
+import random
+import re
 import unicodedata
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark.llm import kernels as K
 from tidemark.llm import langid, quality
 from tidemark.llm.catalog import op2_quality_classifier, op4_language_id
 from tidemark.llm.common import held_out, table
@@ -33,6 +37,63 @@ def test_score_is_the_sparse_dot_product(spark, documents):
         assert abs(scored[r.doc_id] - 1 / (1 + np.exp(-x))) < 1e-5
 
 
+def plain_features(text, config):
+    """{bucket: value} of a text, from its words one after the other."""
+    words = [m[0] for m in re.finditer(r"[0-9A-Za-z\x80-\uffff]+|[^0-9A-Za-z\x00-\x20\x7f-\uffff]+", text)]
+    h = [K.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())])) for w in words]  # as they are written
+    grams = [int(x[0]) for x in h]
+    grams += [int(K.pair(a, b)[0]) for a, b in zip(h[:-1], h[1:], strict=True)]
+    for k, code in enumerate(quality._AGAIN, 1):
+        grams += [int(code)] * sum(a == b for a, b in zip(words[:-k], words[k:], strict=True))
+    counts = collections.Counter(g >> (64 - config.bits) for g in grams)
+    return {b: n * config.scale / sum(counts.values()) for b, n in counts.items()}
+
+
+def test_training_equals_a_plain_loop(spark, documents):
+    """Features and follow-the-regularised-leader updates, one number after the other."""
+    r = random.Random(3)
+    config = quality.Config(bits=12, epochs=2, l1=0.01)
+    rows = [(i, " ".join(r.choice(["good", "Fine", "text,", "é", "bad bad", f"w{r.randrange(40)}"] if i % 3 else ["junk", "!!", "spam spam", f"w{r.randrange(40)}"]) for _ in range(r.randrange(1, 30)))) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = quality.train(documents(rows), labels, F.lit(True), config)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= config.l1:
+            return 0.0
+        return (math.copysign(config.l1, z[i]) - z[i]) / ((config.beta + math.sqrt(n[i])) / config.alpha + config.l2)
+
+    made = [({**plain_features(t, config), "bias": 1.0}, int(i % 3 > 0)) for i, t in rows]
+    positive = sum(y for _, y in made)
+    share = [len(made) / (2 * (len(made) - positive)), len(made) / (2 * positive)]
+    order = np.random.default_rng(7)
+    for _ in range(config.epochs):
+        for k in order.permutation(len(made)):
+            x, y = made[k]
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+            for i, v in [(i, v) for i, v in x.items()]:
+                w, g = weight(i), (p - y) * v * share[y]
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / config.alpha
+                z[i] += g - sigma * w
+                n[i] += g * g
+    assert abs(model.bias - weight("bias")) < 1e-3 and np.count_nonzero(model.weights) > 20
+    for i in range(1 << config.bits):
+        assert abs(model.weights[i] - weight(i)) < 1e-3, i
+    for row in quality.score(documents(rows), model, "doc_id").collect():
+        x = made[row.doc_id][0]
+        assert abs(row.score - 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))) < 1e-3
+
+
+def test_quality_of_repeated_ids_and_ties(spark, documents):
+    """Rows that repeat an id train once, whichever partition they are in."""
+    rows = [(1, "good text here"), (1, "other good text"), (1, "good text here"), (2, "junk !! junk"), (3, "good text here"), (3, "good text here")]
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    models = [quality.train(documents(rows, parts), labels, F.lit(True)) for parts in (1, 2, 5)]
+    assert all((m.weights == models[0].weights).all() and m.bias == models[0].bias for m in models)
+    got = [(r.doc_id, r.score) for r in quality.score(documents(rows), models[0], "doc_id").collect()]
+    assert len(got) == 6 and len({s for i, s in got if i == 3}) == 1
+
+
 def test_quality_defined_cases(spark, documents, odd):
     docs = documents(odd)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
