@@ -1,5 +1,8 @@
 import hashlib
+import random
+import struct
 
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint
@@ -47,3 +50,57 @@ def test_query(spark, sf_dir):
     assert frame.near_edited.between(0, 1).all() and frame.near_next.between(0, 1).all()
     long = frame[frame.n_chars > 500]
     assert (long.near_edited > long.near_next).mean() > 0.95
+
+
+def plain(text):
+    """(pieces, wide sums, narrow sums) of a text, by the definition, with another library's hash."""
+
+    def h(seed, part):
+        first = xxhash.xxh64(struct.pack("<i", seed), seed=42).intdigest()
+        return xxhash.xxh64(part.encode(), seed=first).intdigest()
+
+    pieces, wide, narrow = 0, [0] * fingerprint.WIDE, [0] * fingerprint.LANES
+    for paragraph in text.split("\n"):
+        for k in range(fingerprint.WIDE // 2):
+            v = h(100 + k, paragraph)
+            wide[2 * k] += v & 0xFFFFFFFF
+            wide[2 * k + 1] += v >> 32
+        for at in range(0, len(paragraph), fingerprint.PIECE):
+            pieces += 1
+            for k in range(fingerprint.LANES // 64):
+                v = h(k, paragraph[at : at + fingerprint.PIECE])
+                for b in range(32):
+                    narrow[64 * k + 2 * b] += v >> b & 1
+                    narrow[64 * k + 2 * b + 1] += v >> (b + 32) & 1
+    return pieces, [w % 2**32 for w in wide], narrow
+
+
+def test_query_equals_plain_code(spark, documents):
+    """All columns of the query's operator, for texts of one to four bytes a character, empty ones and line ends."""
+    r = random.Random(5)
+    texts = [None, "", "\n", "a", "é𝄞", "one\n\ntwo\n", "x" * 100]
+    texts += ["\n".join("".join(r.choice("ab é𝄞ñ") for _ in range(r.randrange(80))) for _ in range(r.randrange(1, 6))) for _ in range(40)]
+    rows = [(3 * i - 20, t) for i, t in enumerate(texts)]
+    own = {i: t or "" for i, t in rows}
+    ids = sorted(own, reverse=True)
+    after = dict(zip(ids, [*ids[1:], ids[0]], strict=True))
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        x, y = ([2 * v - p for v in n] for p, _, n in (a, b))
+        both = sum(v * v for v in x) + sum(v * v for v in y)
+        return max(0.0, 1 - sum((v - w) ** 2 for v, w in zip(x, y, strict=True)) / both) if both else 0.0
+
+    for size in (5, 1000):
+        got = fingerprint.edited(documents(rows), size).collect()
+        assert len(got) == len(rows)
+        for x in got:
+            text, following = own[x.doc_id], own[after[x.doc_id]]
+            half = len(text) // 2
+            changed = text[: len(text) - half] + following[:half]
+            assert x.n_chars == len(text) and x.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+            for fp, t in ((x.fp, text), (x.edited_fp, changed), (x.next_fp, following)):
+                pieces, wide, narrow = plain(t)
+                assert fp == [pieces, *wide, *narrow]
+            assert abs(x.near_edited - like(plain(text), plain(changed))) < 1e-12 and abs(x.near_next - like(plain(text), plain(following))) < 1e-12

@@ -29,6 +29,9 @@ LANES = 128  # narrow components, two to a sum
 WIDE = 16
 PIECE = 24
 
+#: Most ranges of ids; beyond that many times `rows` a range has more rows, which its sort may spill.
+_MOST = 100_000
+
 _LOW = 0xFFFFFFFF
 _PAIR = 0x0000000100000001
 
@@ -79,11 +82,12 @@ def likeness(a: Column, b: Column) -> Column:
 def _bounds(docs: DataFrame, rows: int) -> tuple[list[int], bool]:
     """(existing ids that close ranges of about `rows` rows, increasing, the last being the largest; whether there are null ids).
 
-    At most 10,001 ids, whatever the table's size."""
+    At most `_MOST` + 1 ids, whatever the table's size."""
     n, known, top = docs.agg(F.count("*"), F.count("doc_id"), F.max("doc_id")).first()
-    parts = max(1, min(10_000, -(-known // rows)))
-    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)], F.lit(1.0))
-    found = docs.select(F.percentile_approx("doc_id", shares, 100_000)).first()[0] if known else None
+    parts = max(1, min(_MOST, -(-known // rows)))
+    shares = F.split(F.lit(",".join(str(k / parts) for k in range(1, parts + 1))), ",").cast("array<double>")
+    some = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, known // (100 * parts)))) == 0  # about a hundred ids for each range place its bound
+    found = docs.where(some).select(F.percentile_approx("doc_id", shares, 10 * parts)).first()[0] if known else None
     return sorted({*(found or ()), *([top] if top is not None else ())}), n > known
 
 
@@ -96,7 +100,7 @@ def _ranges(docs: DataFrame, rows: int) -> DataFrame:
     if not count:
         number, head = F.lit(0), F.lit(True)
     else:
-        closing = F.array(*[F.lit(b).cast("long") for b in bounds])
+        closing = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")  # one literal
         steps = F.array(*[F.lit(1 << k) for k in range(count.bit_length() - 1, -1, -1)])
         below = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= count) & (F.try_element_at(closing, at + step) < F.col("doc_id")), at + step).otherwise(at))
         number = F.when(F.col("doc_id").isNull(), last).otherwise(F.lit(count - 1) - below)
