@@ -7,7 +7,10 @@ books. The length of each decoded vector is stored, so a lookup-table sum of the
 with the codewords, divided by it, estimates the cosine. Every vector is coded, none left out.
 
 Queries come in blocks and so do codes; each pair of blocks keeps the best `rerank` of every query,
-the best of all blocks are then scored exactly, in double precision, on the original vectors.
+the best of all blocks are then scored exactly, in double precision, on the original vectors. The
+stated queries meet all codes: codes (a byte for each book) are moved once for each `query_block`
+queries and the work is their product. Coarse lists would not lessen it where neighbours are far
+apart: on the embeddings of the 0.1 GB tables 32 of 128 k-means lists hold 0.77 of the true five nearest.
 Equal vectors are one entry, with their `top` + 1 smallest ids, which is exact however many they are.
 
 Defined cases: vectors that are null, all zero, of another length than most, or hold null or
@@ -36,9 +39,11 @@ class Config:
     rounds: int = 2  # joint refits
     rerank: int = 192
     top: int = 5
-    code_block: int = 32768
-    query_block: int = 128
+    code_block: int = 32768  # most codes of a block
+    query_block: int = 16384  # most queries of a block: so many share one reading of all codes
     spread: int = 32  # tasks for each block of queries
+    tasks: int = 8  # blocks of queries at least, if each has `few` queries
+    few: int = 128
 
 
 @dataclass(frozen=True)
@@ -217,7 +222,8 @@ def search(vectors: DataFrame, is_query, config: Config = Config(), vec_id: str
         for ids, found, near in kept.values():
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, found.shape[1])), pa.array(found.ravel()), pa.array(near.ravel())], ["query_id", "entry", "near"])
 
-    blocks, parts = -(-n // config.code_block), -(-nq // config.query_block)
+    blocks = -(-n // config.code_block)
+    parts = max(-(-nq // config.query_block), min(config.tasks, -(-nq // config.few)))
     coded = entries.select("entry", "embedding").mapInArrow(code, "entry long, code binary, length double")
     coded = coded.withColumn("block", F.pmod(F.xxhash64("entry"), F.lit(blocks))).groupBy("block").applyInArrow(code_block, "block long, entries binary, codes binary, lengths binary")
     asked = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts))).groupBy("part").applyInArrow(query_block, "part long, queries binary, vectors binary")
