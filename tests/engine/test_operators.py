@@ -4,7 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import codec, estimates
+from tidemark.functions import codec, estimates, filterhash
 from tidemark.operators import bloom, cache, changelog, commands, compaction, manifest, merge, snapshot, tables
 from tidemark.plans import catalog
 from tidemark.sources import directory, frames, manifest_log, sstable, wal
@@ -248,3 +248,63 @@ def test_bloom_query_probes_every_key(spark, tmp_path):
     keys = spark.range(4000).withColumnRenamed("id", "user_id")
     got = bloom.probed(keys, keys.where("user_id < 2000"), "user_id", 2000).collect()
     assert all(r.maybe for r in got if r.user_id < 2000) and sum(r.maybe for r in got if r.user_id >= 2000) < 60
+
+
+def test_filter_hashes():
+    """Against values published for 32-bit MurmurHash3 and for Java's generator."""
+    usual = lambda data, seed: filterhash.murmur(data, seed, "<") & 0xFFFFFFFF
+    assert [usual(b"", 0), usual(b"", 1), usual(b"test", 0x9747B28C), usual(b"Hello, world!", 0x9747B28C), usual(b"aaa", 0x9747B28C), usual(b"aa", 0x9747B28C)] == [0, 0x514E28B7, 0x704B81DC, 0x24884CBA, 0x283E0130, 0x5D211726]
+    assert filterhash.murmur(b"\x01\x02\x03\x04", 7) == filterhash.murmur(b"\x04\x03\x02\x01", 7, "<")
+    ints = filterhash.java_ints(42)
+    assert [next(ints), next(ints)] == [-1170105035, 234785527]
+    bits = filterhash.places(b"key", 9586, 7)
+    assert len(bits) == 7 and all(0 <= b < 9586 for b in bits) and bits == filterhash.places(b"key", 9586, 7)
+
+
+def test_lru():
+    c = cache.Lru(10)
+    assert c.put("a", 4) == 0 and c.put("b", 4) == 0 and c.get("a") == 4
+    assert c.put("c", 4) == 1 and c.get("b") is None and c.bytes == 8
+    assert c.put("a", 5) == 0 and list(c.entries) == ["c", "a"] and c.bytes == 9
+    assert c.put("d", 11) is None and c.bytes == 0 and not c.delete("a")
+    c.put("x", 3)
+    c.put("y", 3)
+    assert c.prune(4) == 1 and list(c.entries) == ["y"]
+    c.clear()
+    assert c.bytes == 0 and c.get("y") is None
+
+
+def test_table_lookups_decode_one_block(spark):
+    rows = [(b"key%03d" % i, b"value%03d" % i) for i in range(300)]
+    t = sstable.Table(sstable.encode(rows, 256))
+    assert len(t.handles) > 10 and t.decoded == 0
+    assert t.get(b"key123") == b"value123" and t.decoded == 1
+    assert t.get(b"key1234") is None and t.get(b"zzz") is None and t.get(b"") is None
+    assert list(t.scan(b"key290")) == rows[290:] and list(t.scan(b"key2995")) == [] and list(t.scan()) == rows
+    assert sstable.Table(sstable.encode([])).get(b"x") is None
+
+
+def test_ranges_for_any_number_of_parts(spark):
+    """Thousands of ranges are one fixed expression; results do not depend on how many there are."""
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("key"), F.lit(2).cast("long").alias("n"), F.format_string("k%05d", F.col("id")).alias("name"))
+    for parts in (1, 3, 10_000):
+        got = snapshot.running(rows, "n", parts=parts).agg(F.count_if(F.col("running") % 2 == 0), F.max("running"), F.countDistinct("running")).first()
+        assert tuple(got) == (20_000, 40_000, 20_000)
+        ordered = snapshot.running(rows, "n", parts=parts).orderBy("key").select("running").limit(5).collect()
+        assert [r[0] for r in ordered] == [2, 4, 6, 8, 10]
+    named = snapshot.ranked(rows.drop("key"), "name").orderBy("name").collect()
+    assert [r["rank"] for r in named] == list(range(1, 20_001))
+    few = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("b", 2, "z"), ("a", None, "w"), (None, 5, "v")], "run string, key int, value string")
+    got = {(r.run, r.key): r.before for r in snapshot.previous(few, "value", by=["run"], parts=3).collect()}
+    assert got == {("a", None): None, ("a", 1): "w", ("a", 3): "y", ("b", 2): None, (None, 5): None}
+
+
+def test_files_and_keys_meet_in_ranges(spark):
+    r = random.Random(4)
+    spans = [(level, 100 * level + k, 1, *sorted((r.randrange(1000), r.randrange(1000)))) for level in range(3) for k in range(30)]
+    f = spark.createDataFrame(spans, "level int, file_number long, file_size long, smallest long, largest long")
+    keys = spark.range(-5, 1005, 3).withColumnRenamed("id", "key")
+    got = sorted((x.key, x.file_number) for x in manifest.containing(f, keys).collect())
+    assert got == sorted((k, n) for k in range(-5, 1005, 3) for _, n, _, a, b in spans if a <= k <= b)
+    pairs = sorted(map(tuple, manifest.overlap_pairs(f).collect()))
+    assert pairs == sorted((n, m) for p, n, _, a, b in spans for q, m, _, c, e in spans if q == p + 1 and b >= c and a <= e)

@@ -81,6 +81,25 @@ def glob_match(text: Column, pattern: str) -> Column:
     return text.rlike(glob(pattern))
 
 
+def block_key(table: Column, offset: Column, version: Column) -> Column:
+    """The name of a block in a cache: another version of its file is another block."""
+    return F.concat_ws(":", F.lit("block"), table, offset.cast("string"), version.cast("string"))
+
+
+def _length(n: Column) -> Column:
+    return F.lpad(F.hex(n.cast("long")), 8, "0")
+
+
+def text_reply(text: Column) -> Column:
+    """A reply of one line of text: four bytes of length, the text and a line end, as hexadecimal text."""
+    return F.concat(_length(F.octet_length(text) + 1), F.hex(text.cast("binary")), F.lit("0A"))
+
+
+def value_reply(value: Column) -> Column:
+    """A reply with a value: four bytes of length and the value; length -1 alone where there is none. As hexadecimal text."""
+    return F.when(value.isNull(), F.lit("FFFFFFFF")).otherwise(F.concat(_length(F.octet_length(value)), F.hex(value.cast("binary"))))
+
+
 def file_name(kind: str, number: Column) -> Column:
     """Names of logs, tables and manifests: six digits at least."""
     fixed = F.format_string("%06d", number)

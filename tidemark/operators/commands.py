@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import codec
+
 START, COMMIT, CANCEL = "START", "COMMIT", "CANCEL"
+#: What a client reads.
+DONE, STARTED, NOT_STARTED, FAILED = "OK", "Batch already started", "No batch in progress", "ERROR: "
 
 
 def _marked(commands: DataFrame) -> DataFrame:
@@ -21,7 +25,7 @@ def _marked(commands: DataFrame) -> DataFrame:
 def errors(commands: DataFrame) -> DataFrame:
     """Each control command that has no effect, and why."""
     rows = _marked(commands)
-    why = F.when((F.col("kind") == START) & (F.col("_before") == START), "Batch already started").when(F.col("kind").isin(COMMIT, CANCEL) & ~F.col("_before").eqNullSafe(START), "No batch in progress")
+    why = F.when((F.col("kind") == START) & (F.col("_before") == START), STARTED).when(F.col("kind").isin(COMMIT, CANCEL) & ~F.col("_before").eqNullSafe(START), NOT_STARTED)
     return rows.withColumn("error", why).where(F.col("error").isNotNull()).drop("_before", "_batch")
 
 
@@ -41,6 +45,14 @@ def applied(commands: DataFrame, timeout_s: int | None = None) -> DataFrame:
     return rows.where(data & (~inside | F.col("_done"))).withColumn("batch", F.when(inside, F.col("_batch")).cast("int")).drop("_before", "_batch", "_done")
 
 
+def replies(commands: DataFrame) -> DataFrame:
+    """Each command but reads, with `reply`: that it is done, or why it has no effect; as bytes in hexadecimal."""
+    rows = _marked(commands).where(F.col("kind") != "GET")
+    why = F.when((F.col("kind") == START) & (F.col("_before") == START), STARTED).when(F.col("kind").isin(COMMIT, CANCEL) & ~F.col("_before").eqNullSafe(START), NOT_STARTED)
+    text = F.coalesce(F.concat(F.lit(FAILED), why), F.lit(DONE))
+    return rows.withColumn("reply", codec.text_reply(text)).drop("_before", "_batch")
+
+
 def sessions(commands: DataFrame) -> DataFrame:
     """Commands and seconds of each session."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))

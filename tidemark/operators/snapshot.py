@@ -136,7 +136,7 @@ def previous(rows: DataFrame, value: str, key: str = "key", parts: int | None =
     Inside a range of keys by a window; the first row of a range looks at the last one of the ranges before it."""
     placed = in_parts(rows, key, parts)
     inside = placed.withColumn("_first", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(key)) == 1).withColumn("before", F.lag(value).over(Window.partitionBy(*by, "_part").orderBy(key)))
-    ends = placed.groupBy(*by, "_part").agg(F.max_by(value, key).alias("_end")).withColumn("_end", F.lag("_end").over(Window.partitionBy(*by).orderBy("_part")))
+    ends = placed.groupBy(*by, "_part").agg(F.when(F.col("_part") < 0, F.last(value)).otherwise(F.max_by(value, key)).alias("_end")).withColumn("_end", F.lag("_end").over(Window.partitionBy(*by).orderBy("_part")))
     if not by:
         ends = F.broadcast(ends)  # 10,001 rows at most
     return _with(inside, ends, [*by, "_part"]).withColumn("before", F.when(F.col("_first"), F.col("_end")).otherwise(F.col("before"))).drop("_part", "_first", "_end")

@@ -29,3 +29,9 @@ def status(log: DataFrame, files: DataFrame, flushed: int) -> DataFrame:
     memory = log.agg(F.count_if(F.col("seq") > flushed).alias("memory_entries"), F.coalesce(F.max("seq"), F.lit(-1)).cast("long").alias("last_seq"), F.lit(1).alias("_one"))
     held = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("file_size"), F.lit(0)).cast("long").alias("file_bytes"), F.lit(1).alias("_one"))
     return memory.join(held, "_one").drop("_one")
+
+
+def server(commands: DataFrame) -> DataFrame:
+    """Of (session, kind): sessions, commands, and how many of them read, put and delete."""
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    return commands.agg(F.countDistinct("session").alias("connections"), F.count("*").alias("commands"), of("PUT").alias("puts"), of("GET").alias("gets"), of("DELETE").alias("deletes"))

@@ -569,6 +569,27 @@ def table_cache_stats(spark, d):
     return cache.table_stats(every.select("tbl", "off"), resident, ["tbl", "off"], "tbl").withColumn("resident_rate", F.round("resident_rate", 9))
 
 
+LRU = "asked AS (SELECT user_id % 4 AS shard, event_id AS ord, user_id AS key, 100 + user_id % 50 AS size FROM events), again AS (SELECT *, lag(ord) OVER (PARTITION BY shard, key ORDER BY ord) AS before FROM asked)"
+
+
+@query(f"WITH {LRU}, passed AS (SELECT a.shard, a.ord, a.size + coalesce(sum(b.size), 0) AS held FROM again a LEFT JOIN (SELECT *, lead(ord) OVER (PARTITION BY shard, key ORDER BY ord) AS later FROM asked) b ON b.shard = a.shard AND b.ord > a.before AND b.ord < a.ord AND (b.later IS NULL OR b.later > a.ord) WHERE a.before IS NOT NULL GROUP BY a.shard, a.ord, a.size) SELECT a.shard, a.ord, coalesce(p.held <= 1500, false) AS hit FROM again a LEFT JOIN passed p ON p.shard = a.shard AND p.ord = a.ord")
+def cache_eviction(spark, d):
+    """Which accesses hit a cache of 1,500 bytes a shard. In SQL: those with no more than that asked for since the key was last."""
+    e = table(spark, d, "events")
+    asked = e.select((F.col("user_id") % 4).alias("shard"), F.col("event_id").alias("ord"), F.col("user_id").alias("key"), (100 + F.col("user_id") % 50).alias("size"))
+    return cache.lru_trace(asked, 1500).drop("evicted")
+
+
+@query("SELECT user_id, count(*) AS accesses, max(event_id) AS last_access FROM events GROUP BY user_id")
+def cache_accesses(spark, d):
+    return cache.accesses(table(spark, d, "events"), "user_id", "event_id")
+
+
+@query("SELECT c_custkey, 'block:' || c_mktsegment || ':' || c_custkey * 4096 || ':' || c_nationkey AS key FROM customer")
+def cache_block_keys(spark, d):
+    return table(spark, d, "customer").select("c_custkey", codec.block_key(F.col("c_mktsegment"), F.col("c_custkey") * 4096, F.col("c_nationkey")).alias("key"))
+
+
 @query("SELECT n, p, CAST(ceil(-n * ln(p) / pow(ln(2.0), 2)) AS BIGINT) AS bits, CAST(greatest(1, round(ceil(-n * ln(p) / pow(ln(2.0), 2)) / n * ln(2.0))) AS INTEGER) AS hashes FROM (SELECT range AS n FROM range(1000, 20001, 1000)) CROSS JOIN (VALUES (0.01::DOUBLE), (0.001::DOUBLE), (0.1::DOUBLE)) t(p)")
 def bloom_sizing(spark, d):
     rows = spark.range(1000, 20001, 1000).select(F.col("id").alias("n"), F.explode(F.array(F.lit(0.01), F.lit(0.001), F.lit(0.1))).alias("p"))
@@ -660,6 +681,22 @@ def batch_errors(spark, d):
     return commands.errors(session_commands(spark, d)).select("session", "ord", "kind", "error")
 
 
+@query(f"WITH {MARKED}, said AS (SELECT session, ord, CASE WHEN kind = 'START' AND prev = 'START' THEN 'ERROR: Batch already started' WHEN kind IN ('COMMIT', 'CANCEL') AND prev IS DISTINCT FROM 'START' THEN 'ERROR: No batch in progress' ELSE 'OK' END AS t FROM marked) SELECT session, ord, printf('%08X', length(t) + 1) || hex(encode(t)) || '0A' AS reply FROM said")
+def command_replies(spark, d):
+    return commands.replies(session_commands(spark, d)).select("session", "ord", "reply")
+
+
+@query(f"WITH {SNAP} SELECT r.key, CASE WHEN s.key IS NULL THEN 'FFFFFFFF' ELSE printf('%08X', length(s.event_type)) || hex(encode(s.event_type)) END AS reply FROM (SELECT range * 3 AS key FROM range(100)) r LEFT JOIN snap s ON s.key = r.key")
+def get_replies(spark, d):
+    got = multi_get_with_misses(spark, d)
+    return got.select("key", codec.value_reply(F.when(F.col("found"), F.col("event_type"))).alias("reply"))
+
+
+@query(f"WITH {CMD} SELECT count(DISTINCT session) AS connections, count(*) AS commands, count(*) FILTER (kind = 'PUT') AS puts, count(*) FILTER (kind = 'GET') AS gets, count(*) FILTER (kind = 'DELETE') AS deletes FROM cmd")
+def server_stats(spark, d):
+    return stats.server(session_commands(spark, d))
+
+
 @query(f"WITH {CMD} SELECT session, count(*) AS commands, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS seconds FROM cmd GROUP BY session")
 def session_info(spark, d):
     return commands.sessions(session_commands(spark, d))
