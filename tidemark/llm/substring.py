@@ -41,7 +41,6 @@ class Config:
     min_words: int = 20
     short: int = 3
     reach: int = 5  # words on both sides that a cut inside a sentence is the least of
-    salts: int = 16  # parts that the rows of one digest are dealt to
 
     @property
     def deciding(self) -> int:
@@ -164,10 +163,8 @@ def dedup(docs: DataFrame, config: Config = Config()) -> DataFrame:
     row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
     held = checkpoint(digests(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text").where(F.col("text").isNotNull()), config))
     owners = held.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("holders")).where((F.col("holders") > 1) & F.col("owner").isNotNull())
-    # one digest may be in a third of all documents: its holders are dealt to several parts
-    owners = owners.select(F.explode(F.sequence(F.lit(0), F.lit(config.salts - 1))).alias("salt"), "digest", "owner")
-    salted = held.withColumn("salt", F.pmod("row", F.lit(config.salts)).cast("int"))
-    taken = salted.hint("merge").join(owners.hint("merge"), ["digest", "salt"]).where(~F.col("owner").eqNullSafe(F.col("doc_id")))
+    # one digest may be in a third of all documents: its holders are split by the skew join, which needs plain exchanges on both sides
+    taken = held.hint("merge").join(owners.select("digest", "owner").hint("merge"), "digest").where(~F.col("owner").eqNullSafe(F.col("doc_id")))
     # a set of distinct units of one text, however often its row is repeated; of like hashes of other rows the owner tells
     per_row = taken.groupBy("row").agg(F.collect_set(F.struct("digest", "owner")).alias("taken"))
     both = docs.select(whole, row.alias("row")).hint("merge").join(per_row.hint("merge"), "row", "left").select("doc", "taken")
