@@ -93,8 +93,28 @@ def test_repeated_ids_with_other_texts(documents):
     assert len(runs) == 1
 
 
-def test_a_bucket_of_many_unlike_classes(documents):
-    """Parts of a hot bucket are put in order by themselves; no link is lost by that."""
-    rows = made(seed=8)
-    one = {r.doc_id: r.component_id for r in neardup.groups(documents(rows), neardup.Config(width=2, bands=8, rows=1, part=3)).collect()}
-    assert one == {i: c for i, (_, c) in plain_groups(rows, 2).items()}
+def test_a_bucket_of_many_unlike_classes(documents, monkeypatch):
+    """Parts of a hot bucket are put in order by themselves, and its pairs come by rare shingles; no link is lost by that."""
+    asked = []
+    plain = neardup.sharing_rare
+    monkeypatch.setattr(neardup, "sharing_rare", lambda *a: asked.append(1) or plain(*a))
+    for part, seed in ((2, 8), (3, 11)):
+        rows = made(seed=seed)
+        one = {r.doc_id: r.component_id for r in neardup.groups(documents(rows), neardup.Config(width=2, bands=8, rows=1, part=part)).collect()}
+        assert one == {i: c for i, (_, c) in plain_groups(rows, 2).items()}
+    assert asked
+
+
+def test_similar_sets_share_a_rare_shingle(spark):
+    """All pairs of the threshold's similarity come up, whatever the sizes."""
+    r = random.Random(2)
+    own, kept = {}, []
+    for base in range(12):
+        core = [r.randrange(2**60) for _ in range(r.choice([1, 3, 4, 5, 9, 40]))]
+        for _ in range(6):
+            own[len(own)] = sorted({*r.sample(core, max(1, len(core) - r.randrange(4))), *(r.randrange(50) for _ in range(r.randrange(3)))})
+    sets = spark.createDataFrame([(i, bytearray(np.array(x, "<i8").tobytes())) for i, x in own.items()], "doc_id long, members binary")
+    nodes = spark.createDataFrame([(i, len(x), i) for i, x in own.items()], "node long, n long, component long")
+    got = {tuple(x) for x in neardup.sharing_rare(nodes, sets, neardup.Config()).collect()}
+    kept = {(i, j) for i in own for j in own if i < j and 100 * len({*own[i]} & {*own[j]}) >= 80 * len({*own[i]} | {*own[j]})}
+    assert len(kept) >= 15 and kept <= got and len(got) < len(own) ** 2 / 4

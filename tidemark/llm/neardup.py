@@ -15,6 +15,9 @@
    pair exceeds (the parity bits of two sets differ in at most as many places as the sets in
    elements) drops pairs before they are formed; the others are confirmed on full sets. So no
    link between components is lost, and no pair inside a component is spelled out.
+6. A bucket where that would be more than `part` ** 2 pairs is joined by rare shingles instead: in
+   any order of all shingles, here by their frequency, similar sets share one of their first
+   n - ceil(0.8 n) + 1, so only sets that share one of those become pairs. That is exact too.
 
 Defined cases: null, empty and white-space texts have an empty set, n_shingles 0, and are linked
 with nothing; a text with fewer words than a shingle is one shingle; of rows that repeat a doc_id
@@ -48,7 +51,7 @@ class Config:
     percent: int = 80  # least similarity, as 100 * intersection >= percent * union
     bands: int = 48
     rows: int = 7
-    part: int = 4096  # classes of a hot bucket that one task puts in order
+    part: int = 4096  # classes of a hot bucket that one task puts in order, and the root of the pairs that a bucket may be joined to
 
     @property
     def registers(self) -> int:
@@ -208,6 +211,31 @@ def components(edges: DataFrame) -> DataFrame:
         total = now
 
 
+def sharing_rare(nodes: DataFrame, sets: DataFrame, config: Config) -> DataFrame:
+    """(u, v) of `nodes` (node, n, component) of unlike components that share one of the rarest shingles, which every similar pair does."""
+
+    def run(batches):
+        for batch in batches:
+            for node, n, part, cell in zip(*(batch.column(k) for k in ("node", "n", "component", "members")), strict=True):
+                members = np.frombuffer(cell.as_buffer(), "<i8")
+                for i in range(0, len(members), 200_000):
+                    own = members[i : i + 200_000]
+                    columns = [pa.array(np.full(len(own), x.as_py())) for x in (node, n, part)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(own)], ["node", "n", "component", "shingle"])
+
+    held = nodes.hint("merge").join(sets.select(F.col("doc_id").alias("node"), "members").hint("merge"), "node").dropDuplicates(["node"])
+    every = checkpoint(held.select("node", "n", "component", "members").mapInArrow(run, "node long, n long, component long, shingle long"))
+    often = every.groupBy("shingle").agg(F.count("*").alias("often"))
+    by_rarity = Window.partitionBy("node").orderBy("often", "shingle")  # one set
+    first = F.col("n") - F.ceil(F.col("n") * config.percent / 100) + 1
+    rare = every.hint("merge").join(often.hint("merge"), "shingle").withColumn("_rank", F.row_number().over(by_rarity)).where((F.col("_rank") <= first) & (F.col("often") > 1))
+    rare = checkpoint(rare.select("shingle", "node", "n", "component"))
+    other = rare.select("shingle", F.col("node").alias("v"), F.col("n").alias("m"), F.col("component").alias("apart"))
+    alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * config.percent
+    both = rare.hint("merge").join(other.hint("merge"), "shingle").where((F.col("node") < F.col("v")) & (F.col("component") != F.col("apart")) & alike)
+    return both.select(F.col("node").alias("u"), "v").distinct()
+
+
 def groups(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs`."""
     marks = checkpoint(sketch(docs, config))
@@ -242,16 +270,23 @@ def groups(docs: DataFrame, config: Config = Config()) -> DataFrame:
     placed = shared.select("node", "n", "bucket").hint("merge").join(labels.hint("merge"), "node", "left").select("node", "n", "bucket", F.coalesce("component", "node").alias("component"))
     placed = checkpoint(placed)
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    most = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.component").alias("main"))
+    most = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("held")).where("parts > 1")
+    hot = F.col("held").cast("double") * (F.col("held") - F.col("top.size")) > config.part**2
+    most = most.select("bucket", F.col("top.component").alias("main"), hot.alias("hot"))
     split = placed.hint("merge").join(checkpoint(most).hint("merge"), "bucket")
     # similar sets of n and m elements differ in at most (n + m) * (100 - percent) / (100 + percent) elements, hence in no more parity bits
     bits = sets.select(F.col("doc_id").alias("node"), *[F.col("odd")[k].alias(f"x{k}") for k in range(ODD)])
     split = checkpoint(split.hint("merge").join(bits.hint("merge"), "node"))
+    crowded = split.where("hot").select("node", "n", "component").distinct()
+    split = split.where("not hot")
     minor = split.where(F.col("component") != F.col("main")).select("bucket", F.col("node").alias("a"), F.col("n").alias("m"), F.col("component").alias("apart"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(ODD)])
     differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(ODD)])
     close = differ * (100 + config.percent) <= (F.col("n") + F.col("m")) * (100 - config.percent)
     rest = split.hint("merge").join(minor.hint("merge"), "bucket").where((F.col("component") != F.col("apart")) & alike & close)
-    rest = rest.select(*ordered("node", "a")).distinct().join(first, ["u", "v"], "left_anti")
+    rest = rest.select(*ordered("node", "a"))
+    if crowded.take(1):
+        rest = rest.union(sharing_rare(crowded, sets, config))
+    rest = rest.distinct().join(first, ["u", "v"], "left_anti")
     more = checkpoint(confirm(checkpoint(rest), sets, config))
     named = classes.hint("merge").join(labels.hint("merge"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     if more.take(1):  # these links join whole components: a small graph of its own
