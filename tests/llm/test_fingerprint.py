@@ -25,7 +25,8 @@ def test_order_insertion_and_deletion(spark):
 
 def expected(rows):
     """(doc_id, n_chars, sha256 of the edited text), by the definition."""
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(xxhash.xxh64((r[1] or "").encode(), seed=42).intdigest()), r[1] or ""))
     out = []
     for k, (i, text) in enumerate(order):
         text, after = text or "", order[(k + 1) % len(order)][1] or ""
@@ -41,6 +42,20 @@ def test_edited_texts_across_ranges(spark, documents, odd):
     assert fingerprint.edited(documents([])).collect() == []
 
 
+def test_crowded_ids_make_ranges_of_their_own(spark, documents):
+    """A third of the rows has no id, another third one and the same; no range has many of them."""
+    many = [(None, f"bare {i} " * (i % 5)) for i in range(60)] + [(7, f"seven {i}") for i in range(60)] + [(i, f"other {i}") for i in range(40)]
+    top = [(100, f"top {i}") for i in range(30)]
+    for rows in (many, many + top, top, many[:60], [(3, "same")] * 40 + [(None, "same")] * 40 + [(1, "x")], many + [(-5, "least")]):
+        docs = documents(rows)
+        for size in (4, 9, 1000):
+            got = fingerprint.edited(docs, size).collect()
+            assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == expected(rows)
+    placed = fingerprint._ranges(documents(many).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 5)
+    per = [r["count"] for r in placed.where("not ghost").groupBy("range").count().collect()]
+    assert max(per) <= 20 and len(per) >= 25
+
+
 def test_query(spark, sf_dir):
     got = op6_document_fingerprints(spark, sf_dir)
     plan = got._jdf.queryExecution().executedPlan().toString()

@@ -16,7 +16,7 @@ descending doc_id from ranges of ids: one shuffle of the texts by range, in whic
 the next range is repeated, and all windows and sums run inside the ranges.
 
 Defined cases: a null text is an empty one, which is one empty paragraph; rows that repeat a
-doc_id follow each other in the order of their texts; null doc_ids come last; with a single row
+doc_id follow each other in the order of their texts' hashes, then their texts; null doc_ids come last; with a single row
 the successor is the row itself; further columns are ignored.
 """
 
@@ -91,24 +91,74 @@ def _bounds(docs: DataFrame, rows: int) -> tuple[list[int], bool]:
     return sorted({*(found or ()), *([top] if top is not None else ())}), n > known
 
 
+def _longs(values) -> Column:
+    """Whole numbers as one literal array, however many there are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
+def _crowded(docs: DataFrame, rows: int) -> dict[int | None, int]:
+    """Rows of each id, or of none, that has more than two ranges should have; `_MOST` ids at most."""
+    n = docs.count()
+    found = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > max(2 * rows, n // _MOST))
+    return {r["doc_id"]: r["n"] for r in found.collect()}
+
+
 def _ranges(docs: DataFrame, rows: int) -> DataFrame:
     """`docs` (doc_id, text) with `range` (by descending id; the last holds null ids) and `ghost`:
-    true for a copy of a range's first row at the end of the range before it, in a circle."""
+    true for a copy of a range's first row at the end of the range before it, in a circle.
+
+    The rows of an id that has very many, or of none, make ranges of their own, by the hash of their texts."""
     bounds, nulls = _bounds(docs.select("doc_id"), rows)
+    crowded = _crowded(docs.select("doc_id"), rows)
+    bounds = sorted({*bounds, *(c for c in crowded if c is not None)})
     count = len(bounds)
-    last = max(0, count - 1 + nulls)
-    if not count:
-        number, head = F.lit(0), F.lit(True)
-    else:
-        closing = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")  # one literal
-        steps = F.array(*[F.lit(1 << k) for k in range(count.bit_length() - 1, -1, -1)])
+    # from the largest id on: ranges of the bound's own rows, if it is crowded, and one of the ids below it
+    own = [-(-crowded.get(b, 0) // rows) for b in bounds]
+    first, upto = [0] * count, 0
+    for a in range(count - 1, -1, -1):
+        first[a], upto = upto, upto + own[a] + 1
+    bare = -(-crowded.get(None, 0) // rows)  # ranges of rows without an id, if they are crowded
+    spot = F.xxhash64("text")
+    share = spot.cast("double") / 2.0**64 + 0.5
+    if count:
+        closing, steps = _longs(bounds), F.array(*[F.lit(1 << k) for k in range(count.bit_length() - 1, -1, -1)])
         below = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= count) & (F.try_element_at(closing, at + step) < F.col("doc_id")), at + step).otherwise(at))
-        number = F.when(F.col("doc_id").isNull(), last).otherwise(F.lit(count - 1) - below)
-        head = F.col("doc_id").isNull() | (F.try_element_at(closing, below + 1) == F.col("doc_id"))
-    placed = docs.withColumn("range", number.cast("int")).withColumn("_head", head)
+        at_bound = F.try_element_at(closing, F.col("_at") + 1) == F.col("doc_id")
+    else:
+        below, at_bound = F.lit(0), F.lit(False)
+    placed = docs.withColumn("_at", below)
+    inside = F.try_element_at(_longs(first or [0]), F.col("_at") + 1)
+    if crowded:
+        parts = F.try_element_at(_longs(own or [0]), F.col("_at") + 1)
+        inside = inside + F.when(at_bound & (parts > 0), F.floor(share * parts)).otherwise(parts)
+    last = upto + max(bare, int(nulls)) - 1
+    number = F.when(F.col("doc_id").isNull(), F.lit(upto) + F.floor(share * F.lit(max(1, bare)))).otherwise(inside)
+    placed = placed.withColumn("range", number.cast("int"))
+    head = F.col("doc_id").isNull() | at_bound
+    if crowded:
+        # where ranges begin is only known of bounds: ask for the others, and leave out those without rows
+        several = F.when(F.col("doc_id").isNull(), F.lit(bare > 0)).otherwise(parts > 0)
+        starts = placed.where(several).groupBy("range").agg(F.max("doc_id").alias("id"), F.min(spot).alias("spot")).collect()
+        starts = {r["range"]: r for r in starts}
+        plain = {f for f, k in zip(first, own, strict=True) if not k} | ({upto} if nulls and not bare else set())
+        left = sorted(plain | starts.keys())
+        renamed, kind, begin = [0] * (last + 1), [0] * (last + 1), [0] * (last + 1)
+        ends = {f + k for f, k in zip(first, own, strict=True) if k}
+        for k, r in enumerate(left):
+            renamed[r] = k
+            if r in starts:
+                kind[r], begin[r] = (2, starts[r]["id"]) if r in ends else (1, starts[r]["spot"])
+        here = F.col("range") + 1
+        what, begins = F.try_element_at(_longs(kind), here), F.try_element_at(_longs(begin), here)
+        head = F.when(what == 1, begins == spot).when(what == 2, begins == F.col("doc_id")).otherwise(head)
+        placed = placed.withColumn("_head", head).withColumn("range", F.try_element_at(_longs(renamed), here).cast("int"))
+        last = len(left) - 1
+    else:
+        placed = placed.withColumn("_head", head)
+    last = max(0, last)
     before = F.pmod(F.col("range") + last, F.lit(last + 1)).cast("int")
-    own = F.struct(F.col("range").alias("range"), F.lit(False).alias("ghost"))
-    copies = F.when(F.col("_head"), F.array(own, F.struct(before.alias("range"), F.lit(True).alias("ghost")))).otherwise(F.array(own))
+    kept = F.struct(F.col("range").alias("range"), F.lit(False).alias("ghost"))
+    copies = F.when(F.col("_head"), F.array(kept, F.struct(before.alias("range"), F.lit(True).alias("ghost")))).otherwise(F.array(kept))
     return placed.select("doc_id", "text", F.explode(copies).alias("_r")).select("doc_id", "text", "_r.range", "_r.ghost")
 
 
@@ -118,7 +168,7 @@ def edited(docs: DataFrame, rows: int = 2000) -> DataFrame:
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many of
     the next text by descending doc_id. `rows`: about so many rows make a range."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    inside = Window.partitionBy("range").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")
+    inside = Window.partitionBy("range").orderBy("ghost", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text")
     placed = _ranges(docs, rows).withColumn("place", F.row_number().over(inside)).withColumn("_next", F.lead("text").over(inside))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
