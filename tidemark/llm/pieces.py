@@ -102,23 +102,29 @@ class _Words:
     def number(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Numbers of the words b[start:end]."""
         h = K.hashes(b, starts, ends)
+        order = np.argsort(h)  # look-ups in order stay in the processor's cache
+        h = h[order]
         at = np.searchsorted(self.keys, h)
         known = np.zeros(len(h), bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == h[inside]
-        out = np.zeros(len(h), np.int64)
-        out[known] = self.numbers[at[known]]
+        found = np.zeros(len(h), np.int64)
+        found[known] = self.numbers[at[known]]
         other = np.flatnonzero(~known)
         if len(other):
-            keys, first, which = np.unique(h[other], return_index=True, return_inverse=True)
-            numbers = len(self) + np.arange(len(keys))
-            out[other] = numbers[which]
+            fresh = np.ones(len(other), bool)
+            fresh[1:] = h[other[1:]] != h[other[:-1]]
+            first = other[fresh]
+            keys, numbers = h[first], len(self) + np.arange(len(first))
+            found[other] = numbers[np.cumsum(fresh) - 1]
             data = b.tobytes()
-            for s, e in zip(starts[other[first]].tolist(), ends[other[first]].tolist(), strict=True):
+            for s, e in zip(starts[order[first]].tolist(), ends[order[first]].tolist(), strict=True):
                 word = data[s:e].decode()
                 self.new.append(MARK + (word.replace(MARK, _OWN_MARK) if MARK in word else word))
-            spot = np.searchsorted(self.keys, keys)
+            spot = at[first]
             self.keys, self.numbers = np.insert(self.keys, spot, keys), np.insert(self.numbers, spot, numbers)
+        out = np.empty(len(h), np.int64)
+        out[order] = found
         return out
 
 
@@ -641,18 +647,19 @@ def top_k(lattice: Lattice, units: np.ndarray, sizes: np.ndarray, k: int, keys:
             break
         lo = np.array([x.at if x else 0 for x in parts])
         bound = np.array([x.value if x else 0.0 for x in parts])
-        # each part's best segmentation is a draw from its distribution
-        u, noise = _uniform(each, 1 + place + turn * (1 << 40))
+        # each part's best segmentation is a draw from its distribution; before its first open unit nothing is drawn
+        free = np.flatnonzero(live[row] & (place >= lo[row]))
+        counter = 1 + place[free] + turn * (1 << 40)
+        u, noise = _uniform(each[free], counter)
         choice = begin.copy()
-        target = units + u
-        other = np.flatnonzero(ways > 1)
-        other = other[target[other] > cumulative[begin[other]]]
-        for step in range(1, 4):  # few are further down
-            choice[other] += 1
-            other = other[(target[other] > cumulative[choice[other]]) & (step < ways[other] - 1)]
-        choice[other] = np.minimum(np.searchsorted(cumulative, target[other]), begin[other] + ways[other] - 1)
-        drawn = np.flatnonzero(long & (place >= lo[row]) & live[row])
-        choice[drawn] = lattice.draw(root[drawn], each[drawn], (1 + place + turn * (1 << 40))[drawn])
+        target, other, many = units[free] + u, begin[free], ways[free]
+        far, step = np.flatnonzero((many > 1) & (target > cumulative[other])), 1
+        while len(far):  # few are further down
+            other[far] += 1
+            far, step = far[(target[far] > cumulative[other[far]]) & (step < many[far] - 1)], step + 1
+        choice[free] = other
+        drawn = np.flatnonzero(long[free])
+        choice[free[drawn]] = lattice.draw(root[free[drawn]], each[free[drawn]], counter[drawn])
         left_mass = np.full(len(sizes), -np.inf)
         for r in np.flatnonzero(live & (sizes > 0)):
             part, at = parts[r], starts[r] + lo[r]
@@ -665,7 +672,7 @@ def top_k(lattice: Lattice, units: np.ndarray, sizes: np.ndarray, k: int, keys:
                 p = np.exp(log_p[begin[at] : begin[at] + ways[at]])
                 p[np.array(part.without) - begin[at]] = 0
                 c = np.cumsum(p)
-                pick = min(int(np.searchsorted(c, u[at] * c[-1], "right")), int(np.flatnonzero(p)[-1]))
+                pick = min(int(np.searchsorted(c, u[np.searchsorted(free, at)] * c[-1], "right")), int(np.flatnonzero(p)[-1]))
                 choice[at] = begin[at] + pick
                 p[pick] = 0
                 total = p.sum()
@@ -678,13 +685,13 @@ def top_k(lattice: Lattice, units: np.ndarray, sizes: np.ndarray, k: int, keys:
         own = log_p[choice]
         so_far = np.concatenate([[0.0], np.cumsum(own)])
         # what is left of each part, split at every unit from its first open one on
-        rest = others[choice]
-        at_lo = (starts + lo)[live & (sizes > 0)]
-        rest[at_lo] = left_mass[live & (sizes > 0)]
-        mass = so_far[:-1] - so_far[starts[row]] + rest
+        rest = others[choice[free]]
+        some = live & (sizes > 0)
+        rest[np.searchsorted(free, (starts + lo)[some])] = left_mass[some]
+        mass = so_far[free] - so_far[starts[row[free]]] + rest
+        value = np.full(len(units), -np.inf)
         with np.errstate(divide="ignore"):
-            value = mass - np.log(np.exp(mass - bound[row]) - np.log(noise))
-        value[(place < lo[row]) | ~np.isfinite(mass)] = -np.inf
+            value[free] = np.where(np.isfinite(mass), mass - np.log(np.exp(mass - bound[row[free]]) - np.log(noise)), -np.inf)
         for r in np.flatnonzero(live):
             x = slice(starts[r], ends[r])
             mine = choice[x].copy()
