@@ -6,6 +6,8 @@ runs are stretches of 2,500 sequences. `orders` is a second changelog, `customer
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import codec, estimates
 from tidemark.operators import bloom, cache, changelog, commands, compaction, manifest, merge, snapshot, stats, tables
 from tidemark.sources import frames, manifest_log, sstable, wal
+from tidemark.store import Store, WriteBatch
 
 RUN = 2500
 
@@ -418,6 +421,61 @@ def db_status(spark, d):
     return stats.status(events_log(spark, d), files(spark, d), 7000)
 
 
+# stores
+
+
+def _folder(spark) -> str:
+    """A new folder that all executors share; of this machine only where none is set, as in tests."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stores')}/stores/{uuid.uuid4().hex}"
+
+
+def _text(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_name <> 'Customer#000000002' AND c_name <> 'Customer#000000001' UNION ALL VALUES ('Customer#000000001', 'put last'), ('another', 'put')")
+def store_round_trip(spark, d):
+    """Customers written in bulk, those with a finished order deleted in bulk, single writes and a batch; compacted, closed and read by the next process."""
+    path = _folder(spark)
+    with Store.open(spark, path) as db:
+        db.write_frame(customers(spark, d).select("key", F.col("c_mktsegment").alias("value")))
+        gone = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct()
+        db.write_frame(customers(spark, d).join(gone, "c_custkey", "left_semi").select("key", F.lit(None).cast("string").alias("value")))
+        db.write(WriteBatch().put("Customer#000000001", "first").delete("Customer#000000002").put("another", "put"))
+        db.put("Customer#000000001", "put last")
+        db.flush()
+        db.compact_range("Customer#000000001", "a")
+    return _text(Store.open(spark, path).snapshot())
+
+
+@query("SELECT n_name AS key, CASE WHEN n_regionkey <> 2 THEN CAST(n_nationkey AS VARCHAR) END AS value, n_regionkey <> 2 AS found FROM nation")
+def store_replay(spark, d):
+    """A put for every nation, a delete for those of one region, none of it flushed: the next process reads the log."""
+    path, nations = _folder(spark), table(spark, d, "nation")
+    db = Store.open(spark, path)
+    for n in nations.orderBy("n_nationkey").collect():  # 25 rows
+        db.put(n.n_name, str(n.n_nationkey))
+        if n.n_regionkey == 2:
+            db.delete(n.n_name)
+    got = Store.open(spark, path).multi_get(nations.select(F.col("n_name").alias("key")))
+    return got.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "found")
+
+
+@query("SELECT n_regionkey AS level_run, count(*) AS entries, min(n_name) AS smallest, max(n_name) AS largest FROM nation GROUP BY n_regionkey")
+def store_runs(spark, d):
+    """Each region's nations flushed as a run of their own: the files that the manifest knows."""
+    db = Store.open(spark, _folder(spark))
+    rows = table(spark, d, "nation").orderBy("n_regionkey", "n_nationkey").collect()  # 25 rows
+    for region in sorted({r.n_regionkey for r in rows}):
+        batch = WriteBatch()
+        for r in rows:
+            if r.n_regionkey == region:
+                batch.put(r.n_name, str(r.n_nationkey))
+        db.write(batch)
+        db.flush()
+    return db.files().select((F.col("file_number") - 1).alias("level_run"), "entries", F.col("smallest").cast("string").alias("smallest"), F.col("largest").cast("string").alias("largest"))
+
+
 # keys and tables
 
 
