@@ -461,7 +461,7 @@ def store_replay(spark, d):
     return got.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "found")
 
 
-@query("SELECT n_regionkey AS level_run, count(*) AS entries, min(n_name) AS smallest, max(n_name) AS largest FROM nation GROUP BY n_regionkey")
+@query("SELECT CAST(n_regionkey AS BIGINT) AS level_run, count(*) AS entries, min(n_name) AS smallest, max(n_name) AS largest FROM nation GROUP BY n_regionkey")
 def store_runs(spark, d):
     """Each region's nations flushed as a run of their own: the files that the manifest knows."""
     db = Store.open(spark, _folder(spark))
