@@ -60,29 +60,33 @@ class Lru:
 
     def get(self, key) -> int | None:
         """The size of an entry, which then is the latest."""
-        if key in self.entries:
-            self.entries.move_to_end(key)
-        return self.entries.get(key)
+        if key not in self.entries:
+            return None
+        self.entries.move_to_end(key)
+        return self.entries[key][0]
+
+    def value(self, key):
+        return self.entries[key][1]
 
-    def put(self, key, size: int) -> int | None:
+    def put(self, key, size: int, value=None) -> int | None:
         """How many entries had to go; None if this one is too large for the cache, which is empty then."""
         self.delete(key)
         gone = self.prune(self.capacity - size)
         if size > self.capacity:
             return None
-        self.entries[key] = size
+        self.entries[key] = size, value
         self.bytes += size
         return gone
 
     def delete(self, key) -> bool:
-        size = self.entries.pop(key, None)
+        size = self.entries.pop(key, (None, None))[0]
         self.bytes -= size or 0
         return size is not None
 
     def prune(self, to: int) -> int:
         gone = 0
         while self.bytes > to and self.entries:
-            self.bytes -= self.entries.popitem(last=False)[1]
+            self.bytes -= self.entries.popitem(last=False)[1][0]
             gone += 1
         return gone
 
