@@ -107,7 +107,7 @@ def count(docs: DataFrame, config: Config) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(K.tidy(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, usable: Column, config: Config = Config()) -> Model:
@@ -170,4 +170,4 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(p)], [*keep, "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "lang_pred string, score double"])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(K.tidy(run), schema)

@@ -138,7 +138,7 @@ def sketch(docs: DataFrame, config: Config) -> DataFrame:
                             bands[i + r] = h[r - lo]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(K.tidy(run), "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def odd_bits(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -169,7 +169,7 @@ def set_bytes(docs: DataFrame, config: Config) -> DataFrame:
             own = pa.array([_digest(x) == w for x, w in zip(sets, wanted, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary()), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "members", "odd"]).filter(own)
 
-    return docs.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, members binary, odd array<long>")
+    return docs.select("doc_id", "digest", "text").mapInArrow(K.tidy(run), "doc_id long, members binary, odd array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, config: Config) -> DataFrame:
@@ -189,7 +189,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, config: Config) -> DataFrame:
     # the hub of a large group is u: that join comes last, with plain exchanges on both sides, so that skewed partitions are split
     one = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("members").alias("set_v")).hint("merge"), "v")
     two = one.join(sets.select(F.col("doc_id").alias("u"), F.col("members").alias("set_u")).hint("merge"), "u")
-    return two.select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long").distinct()
+    return two.select("u", "v", "set_u", "set_v").mapInArrow(K.tidy(run), "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def sharing_rare(nodes: DataFrame, sets: DataFrame, config: Config) -> DataFrame
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(own)], ["node", "n", "component", "shingle"])
 
     held = nodes.hint("merge").join(sets.select(F.col("doc_id").alias("node"), "members").hint("merge"), "node").dropDuplicates(["node"])
-    every = checkpoint(held.select("node", "n", "component", "members").mapInArrow(run, "node long, n long, component long, shingle long"))
+    every = checkpoint(held.select("node", "n", "component", "members").mapInArrow(K.tidy(run), "node long, n long, component long, shingle long"))
     often = every.groupBy("shingle").agg(F.count("*").alias("often"))
     by_rarity = Window.partitionBy("node").orderBy("often", "shingle")  # one set
     first = F.col("n") - F.ceil(F.col("n") * config.percent / 100) + 1

@@ -46,7 +46,7 @@ class Config:
     sentence_penalty: float = 0.25  # a document cut at a sentence end
     token_penalty: float = 2.0  # a cut inside a sentence
     inner: int = 16  # tokens between candidates inside a sentence
-    cache: int = 1_000_000  # words whose ids are kept
+    cache: int = 400_000  # words whose ids are kept
 
     def path(self) -> str:
         if self.vocabulary:
@@ -321,4 +321,4 @@ def pack(docs: DataFrame, config: Config = Config()) -> DataFrame:
         if rows:
             yield flush()
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(K.tidy(run), SCHEMA)

@@ -774,7 +774,7 @@ def sample(docs: DataFrame, config: Config = Config(), with_ids: bool = False) -
                 coded = [x.astype(np.int32) for x in coded] if with_ids else []
                 yield _made(rows, coded, names, kinds, with_ids)
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(K.tidy(run), SCHEMA + ", ids array<int>" * with_ids)
 
 
 def _made(rows, coded, names, kinds, with_ids):
@@ -793,7 +793,7 @@ def encode(docs: DataFrame, config: Config = Config()) -> DataFrame:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.encode(texts, num_threads=1), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(K.tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, config: Config = Config(), sampled: bool = False) -> DataFrame:
@@ -806,4 +806,4 @@ def decode(coded: DataFrame, config: Config = Config(), sampled: bool = False) -
             texts = [lattice.decode(x) if sampled else lattice.model.decode(x) for x in (y or [] for y in lists)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return coded.select("doc_id", "ids").mapInArrow(K.tidy(run), "doc_id long, text string")

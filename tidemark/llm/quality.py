@@ -124,7 +124,7 @@ def features(docs: DataFrame, config: Config, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], [*keep, "ids", "values"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ids binary, values binary"])
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(K.tidy(run), schema)
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], config: Config) -> tuple[np.ndarray, float]:
@@ -198,4 +198,4 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*keep, "score"])
 
     schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "score double"])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(K.tidy(run), schema)

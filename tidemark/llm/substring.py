@@ -126,7 +126,7 @@ def digests(docs: DataFrame, config: Config) -> DataFrame:
                 at = pa.array(row[new] + i)
                 yield pa.RecordBatch.from_arrays([ids.take(at), keys.take(at), pa.array(digest[new].view(np.int64))], names)
 
-    return docs.mapInArrow(run, "doc_id long, row long, digest long")
+    return docs.mapInArrow(K.tidy(run), "doc_id long, row long, digest long")
 
 
 def removals(digest: np.ndarray, n: np.ndarray, repeat: np.ndarray, config: Config) -> list[tuple[int, int]]:
@@ -210,4 +210,4 @@ def dedup(docs: DataFrame, config: Config = Config()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(spans, kind)], [*names, "removed_spans"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"removed_spans {SPAN}"])
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(K.tidy(run), schema)
