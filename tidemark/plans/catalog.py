@@ -290,10 +290,10 @@ def pick_compaction(spark, d):
     return compaction.pick(files(spark, d), BASE).select("level", "file_number", "file_size")
 
 
-@query(f"WITH {FILES} SELECT level, file_number FROM files WHERE level = 1 AND 60 - entries % 100 <= 0 ORDER BY file_number LIMIT 1")
+@query(f"WITH {FILES} SELECT CAST(level + 1 AS INTEGER) AS level, file_number FROM files WHERE 60 - entries % 100 <= 0 ORDER BY 1, 2 LIMIT 1")
 def pick_by_seeks(spark, d):
-    """Where no level is full: the first file whose seeks are used up."""
-    lower = files(spark, d).where("level = 1").withColumn("allowed_seeks", 60 - F.col("entries") % 100)
+    """All files a level lower, where none is full: the first file whose seeks are used up."""
+    lower = files(spark, d).withColumns({"level": F.col("level") + 1, "allowed_seeks": 60 - F.col("entries") % 100})
     return compaction.pick(lower, 1 << 40).select("level", "file_number")
 
 
