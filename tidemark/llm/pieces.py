@@ -51,7 +51,7 @@ class Config:
     unit: int = 6  # most characters of a word, its mark included, whose segmentations are listed
     offset: float = 2.7
     sharpness: float = 1.0
-    cache: int = 350_000  # words whose segmentations or edges are kept
+    cache: int = 450_000  # words whose segmentations or edges are kept
 
     def path(self) -> str:
         if self.model:
@@ -72,6 +72,9 @@ _VERY_LONG = 256
 #: No piece.
 _NONE = -(1 << 40)
 
+#: Bytes of texts that are drawn side by side; their numbers stay in a processor's cache.
+_SLICE = 1 << 18
+
 #: Words whose edges are worked out at once.
 _TOGETHER = 4096
 
@@ -134,12 +137,17 @@ class _Column:
     def __init__(self, kind=np.float64, width: int = 0):
         self.data, self.size = np.zeros((1024, width) if width else 1024, kind), 0
 
-    def add(self, values) -> None:
-        n = len(values)
-        while self.size + n > len(self.data):
-            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
-        self.data[self.size : self.size + n] = values
+    def room(self, n: int) -> np.ndarray:
+        """The next `n` places, for the caller to fill."""
+        if self.size + n > len(self.data):
+            grown = np.empty((max(2 * len(self.data), self.size + n), *self.data.shape[1:]), self.data.dtype)
+            grown[: self.size] = self.data[: self.size]
+            self.data = grown
         self.size += n
+        return self.data[self.size - n : self.size]
+
+    def add(self, values) -> None:
+        self.room(len(values))[:] = values
 
     @property
     def used(self) -> np.ndarray:
@@ -379,9 +387,11 @@ class Lattice:
         top[begin] = 0.0
         rest[begin] = np.add.reduceat(top, begin)
         node, edges = self.edge.size, self.step.size
+        steps = self.step.room(len(src))
         self.edge.add(edges + begin)
         self.edges.add(count)
-        self.step.add(np.column_stack([upto + node + src, log_p, rest, np.where(to < size, node + to, -1)]))
+        for column, values in enumerate((upto + node + src, log_p, rest, np.where(to < size, node + to, -1))):
+            steps[:, column] = values
         self.edge_piece.add(piece)
         return node + np.cumsum(sizes) - sizes
 
@@ -537,8 +547,9 @@ class Lattice:
         self.pieces.add(piece)
         return np.arange(at, self.log_p.size)
 
-    def draw_without(self, root: int, without: tuple[int, ...], seed: int) -> tuple[int, float]:
-        """A segmentation from `root` that is none of the drawn ones `without`, and the log-probability of all that are then left."""
+    def draw_without(self, root: int, without: tuple[int, ...], seed: int) -> tuple[list[int], float, float, float]:
+        """A segmentation from `root` that is none of the drawn ones `without`: its edges, its log-probability, the
+        probability of all others, and the log-probability of all that are then left."""
         first, many, path, end = (x.data for x in (self.edge, self.edges, self.path, self.path_end))
         log_p, others, to = self.step.data.T[1:]
         chance = random.Random(seed).random
@@ -592,8 +603,7 @@ class Lattice:
             at, node = at.get(pick) if at is not None else None, int(to[pick])
         exclude(own)
         mass = left()[id(tree)][2]
-        (k,) = self._keep(np.array(own), np.array([len(own)]), np.array([total]), np.array([missed]))
-        return int(k), math.log(mass) if mass > 0 else -math.inf
+        return own, total, missed, math.log(mass) if mass > 0 else -math.inf
 
     def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of the pieces, the end of each)."""
@@ -660,13 +670,14 @@ def top_k(lattice: Lattice, units: np.ndarray, sizes: np.ndarray, k: int, keys:
         choice[free] = other
         drawn = np.flatnonzero(long[free])
         choice[free[drawn]] = lattice.draw(root[free[drawn]], each[free[drawn]], counter[drawn])
-        left_mass = np.full(len(sizes), -np.inf)
+        left_mass, again = np.full(len(sizes), -np.inf), []
         for r in np.flatnonzero(live & (sizes > 0)):
             part, at = parts[r], starts[r] + lo[r]
             if part.choice is not None:
                 choice[starts[r] : at] = part.choice[: lo[r]]
             if part.without and long[at]:
-                choice[at], left_mass[r] = lattice.draw_without(int(root[at]), part.without, int(each[at]) << 64 | int(place[at]) + turn * (1 << 40))
+                *drawn, left_mass[r] = lattice.draw_without(int(root[at]), part.without, int(each[at]) << 64 | int(place[at]) + turn * (1 << 40))
+                again.append((at, *drawn))
             elif part.without:
                 log_p = lattice.log_p.data
                 p = np.exp(log_p[begin[at] : begin[at] + ways[at]])
@@ -679,6 +690,9 @@ def top_k(lattice: Lattice, units: np.ndarray, sizes: np.ndarray, k: int, keys:
                 left_mass[r] = np.log(total) if total > 0 else -np.inf
             else:
                 left_mass[r] = lattice.others.data[choice[at]]
+        if again:
+            spots, edges, total, missed = zip(*again, strict=True)
+            choice[list(spots)] = lattice._keep(np.concatenate(edges), np.array([len(x) for x in edges]), np.array(total), np.array(missed))
         # of texts that have no part left nothing is drawn or used
         choice[long & ~live[row]] = 0
         log_p, others = lattice.log_p.data, lattice.others.data
@@ -696,8 +710,12 @@ def top_k(lattice: Lattice, units: np.ndarray, sizes: np.ndarray, k: int, keys:
             x = slice(starts[r], ends[r])
             mine = choice[x].copy()
             out[r].append((mine, float(so_far[ends[r]] - so_far[starts[r]]), float(bound[r])))
-            v = value[x]
-            for j in np.argpartition(-v, k)[: k + 1] if len(v) > k + 1 else range(len(v)):
+            v, most = value[x], k - turn  # so many parts can still come up, the value after the last sample among them
+            if most == 1:
+                best = [v.argmax()] if len(v) else []
+            else:
+                best = np.argpartition(v, len(v) - most)[-most:] if len(v) > most else range(len(v))
+            for j in best:
                 if v[j] > -np.inf:
                     without = (*parts[r].without, int(mine[j])) if j == lo[r] else (int(mine[j]),)
                     heapq.heappush(heaps[r], _Part(float(v[j]), mine, int(j), without))
@@ -732,7 +750,7 @@ def round_trips(lattice: Lattice, coded: list[np.ndarray], texts: list[np.ndarra
     out, i = [], 0
     while i < len(coded):
         j, n = i + 1, len(texts[i])
-        while j < len(coded) and n + len(texts[j]) <= K.SLICE:
+        while j < len(coded) and n + len(texts[j]) <= _SLICE:
             n += len(texts[j])
             j += 1
         spelled, ends = lattice.spell(np.concatenate(coded[i:j]))
@@ -765,7 +783,7 @@ def sample(docs: DataFrame, config: Config = Config(), with_ids: bool = False) -
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             raw, offsets, _ = K.buffers(batch.column("text"))
-            for i, j in K.slices(offsets):
+            for i, j in K.slices(offsets, _SLICE):
                 keys = [((x or 0) & (2**64 - 1)) ^ seed for x in ids[i:j]]
                 found = [(r, s, own) for r, row in enumerate(samples(lattice, raw, offsets[i : j + 1], keys), i) for s, own in enumerate(row)]
                 coded = [own[0] for _, _, own in found]
