@@ -292,8 +292,10 @@ def test_ranges_for_any_number_of_parts(spark):
         assert tuple(got) == (20_000, 40_000, 20_000)
         ordered = snapshot.running(rows, "n", parts=parts).orderBy("key").select("running").limit(5).collect()
         assert [r[0] for r in ordered] == [2, 4, 6, 8, 10]
-    named = snapshot.ranked(rows.drop("key"), "name").orderBy("name").collect()
-    assert [r["rank"] for r in named] == list(range(1, 20_001))
+    assert len(snapshot.bounds(rows, "name", 7)) == 6 and snapshot.bounds(rows, "name") == []
+    one = snapshot.running(rows.drop("key"), "n", "name").orderBy("name").collect()
+    many = snapshot.running(rows.drop("key"), "n", "name", 50).orderBy("name").collect()
+    assert one == many and [r.running for r in one] == list(range(2, 40_001, 2))
     few = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("b", 2, "z"), ("a", None, "w"), (None, 5, "v")], "run string, key int, value string")
     got = {(r.run, r.key): r.before for r in snapshot.previous(few, "value", by=["run"], parts=3).collect()}
     assert got == {("a", None): None, ("a", 1): "w", ("a", 3): "y", ("b", 2): None, (None, 5): None}

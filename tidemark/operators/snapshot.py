@@ -78,8 +78,16 @@ def first(rows: DataFrame, limit: int = 1, key: str = "key") -> DataFrame:
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
+#: Bytes, as the optimizer estimates them, that are one range of keys without asking for more.
+_ONE_RANGE = 4 << 20
+
+
 def bounds(rows: DataFrame, key: str = "key", parts: int | None = None) -> list:
-    """Keys that cut `rows` into about `parts` ranges of like size (10,000 at most), ascending; that many is all the driver gets to keep."""
+    """Keys that cut `rows` into about `parts` ranges of like size (10,000 at most), ascending; that many is all the driver gets to keep.
+
+    Without `parts` as many as there are shuffle partitions, but one range if the plan's estimate is a few megabytes."""
+    if parts is None and int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= _ONE_RANGE:
+        return []
     parts = min(10_000, parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if parts < 2:
         return []
@@ -111,17 +119,15 @@ def part_of(key: str, kind: str, cuts: list) -> Column:
     return F.when(F.col(key).isNull(), -1).otherwise(below).cast("int")
 
 
-def in_parts(rows: DataFrame, key: str = "key", parts: int | None = None) -> DataFrame:
-    """Rows with `_part`, the range of keys that they are in."""
-    return rows.withColumn("_part", part_of(key, dict(rows.dtypes)[key], bounds(rows, key, parts)))
-
-
 def running(rows: DataFrame, amount: str, key: str = "key", parts: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Rows with `running`, the sum of `amount` (a long) up to and with their key, over the whole order or that of each `by`. Keys are unique there.
 
     The running sum inside a range of keys plus the sums of the ranges before it: only one number
     for each range (and `by`) meets in one place."""
-    placed = in_parts(rows, key, parts)
+    cuts = bounds(rows, key, parts)
+    if not cuts:
+        return rows.withColumn("running", F.sum(amount).over(Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long"))
+    placed = rows.withColumn("_part", part_of(key, dict(rows.dtypes)[key], cuts))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = placed.groupBy(*by, "_part").agg(F.sum(amount).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
     inside = placed.withColumn("_inside", F.sum(amount).over(Window.partitionBy(*by, "_part").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -134,7 +140,10 @@ def previous(rows: DataFrame, value: str, key: str = "key", parts: int | None =
     """Rows with `before`, the `value` of the row before them in the order of keys, over everything or in each `by`.
 
     Inside a range of keys by a window; the first row of a range looks at the last one of the ranges before it."""
-    placed = in_parts(rows, key, parts)
+    cuts = bounds(rows, key, parts)
+    if not cuts:
+        return rows.withColumn("before", F.lag(value).over(Window.partitionBy(*by).orderBy(key)))
+    placed = rows.withColumn("_part", part_of(key, dict(rows.dtypes)[key], cuts))
     inside = placed.withColumn("_first", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(key)) == 1).withColumn("before", F.lag(value).over(Window.partitionBy(*by, "_part").orderBy(key)))
     ends = placed.groupBy(*by, "_part").agg(F.when(F.col("_part") < 0, F.last(value)).otherwise(F.max_by(value, key)).alias("_end")).withColumn("_end", F.lag("_end").over(Window.partitionBy(*by).orderBy("_part")))
     if not by:
