@@ -116,6 +116,36 @@ class PlainTree:
         return out
 
 
+class WholeTree(PlainTree):
+    """The same with all sequences that come up `fewest` times, however long the input, hot contexts without a test."""
+
+    def __init__(self, texts, config):
+        super().__init__(texts, config)
+        grams, total = collections.Counter(), collections.Counter(self.whole)
+        for row in self.rows:
+            padded = ["END", *row]
+            for i in range(1, len(padded)):
+                for size in range(2, min(i, config.depth) + 2):
+                    grams[tuple(padded[i - size + 1 : i + 1])] += 1
+        total.update({(s,): k for s, k in self.whole.items()})
+        total.update(grams)
+        self.grams, self.next, self.states, self.weight = {g: k for g, k in grams.items() if k >= config.fewest}, collections.defaultdict(dict), set(), {}
+        for g, k in self.grams.items():
+            self.next[g[:-1]][g[-1]] = k
+        self.share = {g: (k - config.discount) / total[g[:-1]] for g, k in self.grams.items()}
+        hot = config.hot(sum(self.whole.values()))
+        for context in self.next:
+            if "END" in context[1:]:
+                continue
+            up = {s: self.root[s] if len(context) == 1 else self.share[(*context[1:], s)] for s in self.next[context]}
+            size = total[context]
+            left, up_left = size - sum(self.next[context].values()), 1 - min(sum(up.values()), 1 - 1e-9)
+            gain = sum(k * math.log(k / size / up[s]) for s, k in self.next[context].items()) + (left * math.log(left / size / up_left) if left else 0)
+            self.weight[context] = max(1 - sum(self.share[(*context, s)] for s in up), 1e-12) / up_left
+            if size >= hot or gain > config.price * (len(up) + 1) * math.log(max(size, 2)):
+                self.states.update(context[k:] for k in range(len(context)))
+
+
 def corpus(seed, rows=60, kinds=9):
     """Texts of a few words that depend on the two before them, with rare words in between."""
     r = random.Random(seed)
@@ -142,6 +172,48 @@ def test_scores_equal_a_plain_tree(spark, documents, config):
         assert abs(r.score - tree.score(texts[r.doc_id])) < 1e-4 * max(1, r.n_tokens), r.doc_id
 
 
+@pytest.mark.parametrize("config", [Config(fewest=2, floor=0.0), Config(fewest=2, share=0.03), Config(fewest=1, share=2.0, dealt=100, price=0.1), Config(fewest=3, share=0.05, depth=2), Config(fewest=2, share=0.1, depth=4)])
+def test_scores_equal_a_whole_tree(spark, documents, config):
+    """Sequences under the threshold are in the tree too, below hot contexts and wherever their contexts meet."""
+    rows = [*corpus(3), *((700 + i, t) for i, t in corpus(5, 20, 30)), (900, None), (901, ""), (902, "unseen wxx2 W5 w5 rnew77ing and zzz END end")]
+    learned = lambda i: i % 3 != 0
+    texts = [t for i, t in rows if learned(i)]
+    tree, cut, table_of = WholeTree(texts, config), PlainTree(texts, config), dict(rows)
+    got = suffixtree.score(documents(rows), F.col("doc_id") % 3 != 0, config).collect()
+    assert len(got) == len(rows) and len(tree.states) > 2 * len(cut.states)
+    for r in got:
+        assert abs(r.score - tree.score(table_of[r.doc_id])) < 1e-4 * max(1, r.n_tokens), r.doc_id
+
+
+def test_sequences_that_recur_are_not_dropped_as_the_input_grows(spark, documents):
+    """A text that comes twice is told from one that comes once, however many others there are."""
+    r = random.Random(1)
+    words = [f"w{i}" for i in range(40)]
+    draw = lambda: " ".join(r.choices(words, k=100))
+    twice = draw()
+    for others in (30, 600):
+        rows = [(1, twice), (2, twice), *((3 + i, draw()) for i in range(others))]
+        got = {x.doc_id: x.score / x.base_score for x in suffixtree.score(documents(rows), F.lit(True)).collect()}
+        assert got[1] < 0.6 * min(v for k, v in got.items() if k > 2), others
+
+
+def test_whole_tree_gives_distributions():
+    tree = WholeTree([t for _, t in corpus(5, 30, 30)], Config(fewest=2, share=0.05))
+    for context in [(), *tree.states]:
+        assert abs(sum(tree.p(context, s) for s in tree.root) - 1) < 1e-6
+
+
+def test_symbols_beyond_two_million_are_kept_apart():
+    levels = suffixtree.Levels([np.array([(1 << suffixtree._BITS) | 0])])
+    assert levels.find(0, np.array([0, 1]), np.array([1 << 21, 0])).tolist() == [-1, 0]
+    assert suffixtree.WHOLE.threshold(10**13) == math.ceil((10**13) ** (1 / 3)) and suffixtree.WHOLE.fewest == 2
+
+
+def test_packed_numbers():
+    arrays = [np.array([], np.int64), np.array([0, 0]), np.arange(300), np.array([2**40, 5, 2**62])]
+    assert [x.tolist() for x in suffixtree.unpack(suffixtree.pack(arrays))] == [x.tolist() for x in arrays]
+
+
 def test_plain_tree_gives_distributions():
     """Of the tree that the operator is held against: after every context the symbols' probabilities sum up to one."""
     tree = PlainTree([t for _, t in corpus(4)], Config(least=3, price=0.1))

@@ -3,26 +3,28 @@
 Tokens are the words of the contract in lower case and an end mark. Symbols of the tree are the end
 mark, every word that came up at least `threshold` times in training, and for all other words the
 classes of their endings (the last three bytes); endings below the threshold share one class. A word
-of a class is predicted as P(class | state) * P(word | class), where seen words are discounted and
-what that frees is the probability of a word not seen.
-
-The threshold is relative to the training tokens N: max(least, N ** (1/3), N * floor). So the tree
-grows with the input, and no level can have more than 1 / floor sequences, which is the smallest
-share that the method looks at and bounds what is broadcast: at most 1 / floor numbers for each of
-`depth` levels and the words.
-
-Candidate contexts are all sequences of up to `depth` symbols; level by level the sequences of one
-more symbol are counted whose first and last parts both reach the threshold, which loses none that
-reaches it. A context is kept as a state if its next-symbol distribution differs enough from its
-parent's (the context without its oldest symbol): count times Kullback-Leibler divergence must
-exceed a description-length price; with a state all its suffixes are states. Listed next symbols get
-their discounted share, all others what is left, in proportion to the parent state. Each symbol is
-scored by the longest suffix state of what precedes it, back to the start of the text.
-
-All counts are of the whole training set: partial sums on the executors, then one shuffle. Counts
-of the most frequent words (at most `known_words` and those of the tree) are broadcast; tokens of
-all other words are looked up by a join, so every count is exact and no vocabulary has to fit into
-memory.
+of a class is predicted as P(class | state) * P(word | class), with the exact count of the word;
+seen words are discounted and what that frees is the probability of a word not seen. The query's
+threshold is max(least, N ** (1/3)) of the training tokens N, so the symbols grow with the input.
+
+Candidates are all sequences of up to `depth` symbols and the next one that come up `fewest` times, two
+for the query, however long the input. A context is kept as a state if its next-symbol distribution
+differs enough from its parent's (the context without its oldest symbol): count times
+Kullback-Leibler divergence must exceed a description-length price; with a state all its suffixes
+are states. Listed next symbols get their discounted share, all others what is left, in proportion
+to the parent state. Each symbol is scored by the longest suffix state of what precedes it, back to
+the start of the text.
+
+The tree is never in one place. Only hot contexts, with a share of at least `share` of the tokens
+(at most 1 / share for each length, and states without the test), have their next symbols counted
+by a shuffle and broadcast. Every other position goes to a task with all other occurrences of its
+shortest context that is not hot; a longer context is below that one, so that task has the whole
+subtree, counts and tests it, scores its positions by it and sends back a sum for each text.
+A `Config` with `fewest` 0 takes the threshold for sequences too and broadcasts the whole tree.
+
+All counts are of the whole training set. Counts of the most frequent words (at most `known_words`
+and those of the tree) are broadcast; tokens of all other words are looked up by a join, so every
+count is exact and no vocabulary has to fit into memory.
 
 Defined cases: null and empty texts are the end mark alone; without training rows the base is
 log10(0.5/0.5) = 0 for each token and symbols are uniform; repeated rows are scored each by
@@ -53,10 +55,21 @@ class Config:
     discount: float = 0.5
     known_words: int = 1 << 19
     held: int = 3_000_000  # counts that a task holds
+    fewest: int = 0  # occurrences of a sequence of the tree, however long the input; 0: the threshold
+    share: float = 2.0**-10  # of the tokens that a context must have to be hot
+    dealt: int = 1_000_000  # positions that a task holds before it deals them out
+    bucket: int = 1_000_000  # positions that meet in one task
 
     def threshold(self, tokens: int) -> int:
         return int(max(self.least, np.ceil(tokens ** (1 / 3)), np.ceil(tokens * self.floor)))
 
+    def hot(self, tokens: int) -> int:
+        return int(max(self.threshold(tokens), np.ceil(tokens * self.share)))
+
+
+#: Every sequence that recurs is a candidate, and every word of the cube root of the tokens a symbol.
+WHOLE = Config(floor=0.0, fewest=2)
+
 
 @dataclass(frozen=True)
 class Alphabet:
@@ -183,7 +196,7 @@ def sequence(symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 #: Bits of a symbol in a key; the bits above are the number of the sequence before it.
-_BITS = 21
+_BITS = 28
 
 
 class Levels:
@@ -216,6 +229,26 @@ class Levels:
             own = self.find(level, before, x) if level < len(self.keys) else None
             yield before, own
 
+    def number(self, cs: list[np.ndarray]) -> np.ndarray:
+        """Numbers of the sequences of these symbols, the last first; -1 where there is none."""
+        out = cs[-1]
+        for k, c in enumerate(cs[-2::-1]):
+            out = self.find(k, out, c)
+        return out
+
+    def hottest(self, hot: list[np.ndarray], cs: list[np.ndarray], none: int):
+        """(how many of the contexts `cs` of each symbol, from the shortest on, are flagged in `hot`, the
+        symbols for which that is all of them, the number of the longest)."""
+        many, at, before = np.zeros(len(cs[0]), np.int64), np.arange(len(cs[0])), None
+        for level, flags in enumerate(hot):
+            at = at[cs[level][at] != none]
+            before = self.number([c[at] for c in cs[: level + 1]])
+            there = before >= 0
+            there[there] = flags[before[there]]
+            at, before = at[there], before[there]
+            many[at] = level + 1
+        return many, at, before
+
     def spelled(self, level: int) -> np.ndarray:
         """The symbols of all sequences of `level` + 2 symbols, the oldest first."""
         before, last = self.keys[level] >> _BITS, self.keys[level] & ((1 << _BITS) - 1)
@@ -223,28 +256,50 @@ class Levels:
         return np.concatenate([front, last[:, None]], 1)
 
 
-def code(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """`symbols` of all texts, a slice of texts to a row, as little-endian 32-bit numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast(alphabet)
+def pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of numbers from 0 on in as few bytes as the largest needs, byte by byte of all numbers, compressed."""
+    parts, head = [], [len(arrays)]
+    for x in arrays:
+        x = np.ascontiguousarray(x, np.int64)
+        width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+        parts.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+        head += [len(x), width]
+    body = b"".join([np.array(head, "<i8").tobytes(), *parts])
+    return len(body).to_bytes(5, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpack(blob) -> list[np.ndarray]:
+    raw = memoryview(blob)
+    body = np.frombuffer(pa.decompress(pa.py_buffer(raw[5:]), int.from_bytes(raw[:5], "little"), codec="zstd"), np.uint8)
+    size = int(body[:8].view("<i8")[0])
+    out, at = [], 8 + 16 * size
+    for n, width in body[8:at].view("<i8").reshape(-1, 2).tolist():
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = body[at : at + n * width].reshape(width, n).T
+        out.append(x.view(np.int64)[:, 0])
+        at += n * width
+    return out
 
-    def run(batches):
-        for batch in batches:
-            raw, offsets, _ = K.buffers(batch.column("text"))
-            made = []
-            for i, j in K.slices(offsets):
-                h, ending, n = tokens(raw, offsets[i : j + 1])
-                made.append(sequence(shared.value.symbols(h, ending), n).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["symbols"])
 
-    return docs.select("text").mapInArrow(K.tidy(run), "symbols binary")
+def _coded(rid: np.ndarray, learned: np.ndarray, n: np.ndarray, symbols: np.ndarray) -> bytes:
+    """Texts in symbols, the end mark after each: number of the first row, steps to the others, whether learned from, length."""
+    return pack([rid[:1], np.diff(rid), learned, n + 1, sequence(symbols, n)])
+
 
+def _decoded(cell):
+    """(row numbers, learned from, lengths with the end mark, symbols)."""
+    first, steps, learned, n, x = unpack(cell.as_buffer())
+    return np.concatenate([first, first + np.cumsum(steps)]), learned.astype(bool), n, x
 
-def count_sequences(coded: DataFrame, levels: Levels, config: Config) -> DataFrame:
-    """(key, n) of the sequences one symbol longer than those of `levels` whose first and last parts are among them."""
-    shared = coded.sparkSession.sparkContext.broadcast(levels.keys)
+
+def count_sequences(coded: DataFrame, levels: Levels, config: Config, hot: list[np.ndarray] | None = None) -> DataFrame:
+    """(key, n) of the sequences one symbol longer than those of `levels` whose first and last parts are among them;
+    with `hot`, flags of symbols and all of `levels`, of all sequences that begin with a flagged longest one."""
+    none = 1 << _BITS
+    shared = coded.sparkSession.sparkContext.broadcast((levels.keys, hot))
 
     def run(batches):
-        held, levels = _Counter(config.held), Levels(shared.value)
+        held, levels, hot = _Counter(config.held), Levels(shared.value[0]), shared.value[1]
 
         def emit():
             keys, n = held.total()
@@ -252,19 +307,24 @@ def count_sequences(coded: DataFrame, levels: Levels, config: Config) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 200_000]), pa.array(n[i : i + 200_000])], ["key", "n"])
 
         for batch in batches:
-            for cell in batch.column("symbols"):
-                x = np.frombuffer(cell.as_buffer(), "<i4").astype(np.int64)
-                last = x
-                for before, own in levels.walk(x):
-                    if own is not None:
-                        last = own
-                at = np.flatnonzero((before >= 0) & (last >= 0))
-                if held.add(*np.unique((before[at] << _BITS) | x[at], return_counts=True)):
+            for cell in batch.column("coded"):
+                _, learned, n, x = _decoded(cell)
+                x = x[np.repeat(learned, n)]
+                if hot is None:
+                    last = x
+                    for before, own in levels.walk(x):
+                        if own is not None:
+                            last = own
+                    at = np.flatnonzero((before >= 0) & (last >= 0))
+                    before = before[at]
+                else:
+                    _, at, before = levels.hottest(hot, contexts(x, len(hot), none), none)
+                if held.add(*np.unique((before << _BITS) | x[at], return_counts=True)):
                     yield from emit()
                     held = _Counter(config.held)
         yield from emit()
 
-    return coded.mapInArrow(K.tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return coded.select("coded").mapInArrow(K.tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -273,6 +333,7 @@ class Tree:
     root: np.ndarray  # log10 of each symbol's probability
     listed: list[np.ndarray]  # of each sequence: log10 of its last symbol's probability after the others
     other: list[np.ndarray]  # of each context: log10 of what its unlisted symbols' probabilities at the parent are multiplied by; NaN if it is no state
+    hot: list[np.ndarray] | None = None  # of each context: whether the tree has its next symbols; None if it has all there are
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """log10 of the probability of each symbol of a sequence."""
@@ -289,8 +350,29 @@ class Tree:
         return out
 
 
-def build(alphabet: Alphabet, levels: Levels, counts: list[np.ndarray], config: Config) -> Tree:
-    """The tree from the counts of the sequences of two symbols and more."""
+    def climb(self, x: np.ndarray, cs: list[np.ndarray], hot: np.ndarray):
+        """Of symbols `x` after contexts of which the shortest `hot` are hot: (log10 of the probability after
+        these, the share of the symbol after the longest of them, or its probability at the root)."""
+        out = self.root[x]
+        share = 10.0**out
+        for level in range(len(cs)):
+            at = np.flatnonzero(hot > level)
+            if not len(at):
+                break
+            before = self.levels.number([c[at] for c in cs[: level + 1]])
+            own = self.levels.find(level, before, x[at])
+            weight, hit = self.other[level][before], np.flatnonzero(own >= 0)
+            value = np.where(np.isnan(weight), out[at], out[at] + weight)
+            listed = self.listed[level][own[hit]].astype(np.float64)
+            value[hit] = np.where(np.isnan(weight[hit]), value[hit], listed)
+            out[at] = value
+            share[at] = 0.0
+            share[at[hit]] = 10.0**listed
+        return out, share
+
+
+def build(alphabet: Alphabet, levels: Levels, counts: list[np.ndarray], config: Config, hot: list[np.ndarray] | None = None) -> Tree:
+    """The tree from the counts of the sequences of two symbols and more; contexts in `hot` are states without a test."""
     root = (alphabet.count + 0.5) / (alphabet.count.sum() + 0.5 * alphabet.size)
     listed, parents, weight, keep, nearest = [], [], [], [], []
     for level, keys in enumerate(levels.keys):
@@ -328,8 +410,195 @@ def build(alphabet: Alphabet, levels: Levels, counts: list[np.ndarray], config:
         parents.append(parent)
     for level in range(len(keep) - 1, 0, -1):  # with a state its suffixes
         keep[level - 1][parents[level][keep[level]]] = True
+    if hot is not None:
+        keep = [(np.bincount(keys >> _BITS, minlength=len(h)) > 0) & h for keys, h in zip(levels.keys, hot, strict=True)]
     other = [np.where(k, w, np.nan).astype(np.float32) for k, w in zip(keep, weight, strict=True)]
-    return Tree(levels, np.log10(root), [np.log10(x).astype(np.float32) for x in listed], other)
+    return Tree(levels, np.log10(root), [np.log10(x).astype(np.float32) for x in listed], other, hot)
+
+
+def contexts(x: np.ndarray, depth: int, none: int) -> list[np.ndarray]:
+    """The symbol before each symbol, the one before that and so on; `none` before the start of a text."""
+    out = [np.concatenate([[0], x[:-1]]) if len(x) else x]
+    for _ in range(depth - 1):
+        longer = np.concatenate([[none], out[-1][:-1]]) if len(x) else x
+        longer[out[0] == 0] = none
+        out.append(longer)
+    return out
+
+
+def rest(coded: DataFrame, tree: Tree, alphabet: Alphabet, config: Config, buckets: int) -> DataFrame:
+    """(rid, score) of all rows by the whole tree: log10 probability of its symbols.
+
+    Positions all of whose contexts are hot are scored where their text is. The others go, with
+    `depth` symbols before them, to the bucket of their shortest context that is not hot; there all
+    occurrences of that context and of the longer ones meet, so the part of the tree below it is
+    counted, tested and used in one task. What comes back is a sum for each row that the bucket saw."""
+    rank = np.empty(alphabet.size + 1, np.int32)  # frequent symbols are small numbers, which take less room
+    rank[np.argsort(-np.append(alphabet.count, -1), kind="stable")] = np.arange(alphabet.size + 1)
+    shared, none, depth = coded.sparkSession.sparkContext.broadcast((tree, rank)), alphabet.size, config.depth
+
+    def answer(rid: np.ndarray, value: np.ndarray):
+        """Sums by row, packed by the partition that the rows came from; rows are in order."""
+        order = np.argsort(rid, kind="stable")
+        rid, value = rid[order], value[order]
+        first = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]])) if len(rid) else np.zeros(0, np.int64)
+        rid, value = rid[first], (np.add.reduceat(value, first) if len(first) else value).astype(np.float32)
+        cuts = np.flatnonzero(np.diff(rid >> 33)) + 1
+        for own, v in zip(np.split(rid, cuts), np.split(value, cuts), strict=True):
+            if len(own):
+                yield int(own[0] >> 33), pack([own[:1], np.diff(own), v.view(np.uint32).astype(np.int64)])
+
+    def deal(batches):
+        tree, rank = shared.value
+        kept, size = [], 0
+
+        def emit():
+            rid, learned, start, x, bucket, *cs = (np.concatenate(z) for z in zip(*kept, strict=True))
+            order = np.lexsort((rid, bucket)) if np.any(np.diff(rid) < 0) else np.argsort(bucket, kind="stable")
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                at = order[i:j]
+                yield int(bucket[at[0]]), pack([rid[at[:1]], np.diff(rid[at]), learned[at], start[at], x[at], *(c[at] for c in cs)])
+
+        def rows(made):
+            made = list(made)
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int64()), pa.array([v for _, v in made], pa.binary())], ["bucket", "blob"])
+
+        for batch in batches:
+            for cell in batch.column("coded"):
+                rid, learned, n, x = _decoded(cell)
+                row = K.row_of(n)
+                if tree.hot is None:
+                    sums = np.bincount(row, tree.score(x), len(rid))
+                else:
+                    cs = contexts(x, depth, none)
+                    start, here, _ = tree.levels.hottest(tree.hot, cs, none)
+                    far = np.ones(len(x), bool)
+                    far[here] = False
+                    for level in range(1, depth):  # texts that begin before a longer context
+                        far &= ~((start == level) & (cs[level] == none))
+                    here, far = np.flatnonzero(~far), np.flatnonzero(far)
+                    sums = np.bincount(row[here], tree.climb(x[here], [c[here] for c in cs], start[here])[0], len(rid))
+                    if len(far):
+                        start = start[far]
+                        h = np.zeros(len(far), np.uint64)
+                        for level, c in enumerate(cs):
+                            at = start >= level
+                            h = np.where(at, K.mix(h * np.uint64(0x9E3779B97F4A7C15) + c[far].astype(np.uint64) + np.uint64(1)), h)
+                        bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int32)
+                        kept.append((rid[row[far]], learned[row[far]], start.astype(np.int8), rank[x[far]], bucket, *(rank[c[far]] for c in cs)))
+                        size += len(far)
+                yield rows((-1 - k, blob) for k, blob in answer(rid, sums))
+                if size > config.dealt:
+                    yield rows(emit())
+                    kept, size = [], 0
+        if kept:
+            yield rows(emit())
+
+    def solve(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:
+            made = [(-1 - bucket, v.as_py()) for v in table.column("blob")]
+        else:
+            tree, rank = shared.value
+            parts = [unpack(v.as_buffer()) for v in table.column("blob")]
+            rid = np.concatenate([np.concatenate([p[0], p[0] + np.cumsum(p[1])]) for p in parts])
+            learned, start, x, *cs = (np.concatenate(z) for z in zip(*(p[2:] for p in parts), strict=True))
+            del parts
+            made = list(answer(rid, subtrees(tree, np.argsort(rank), config, learned, start, x, cs)))
+        return pa.table([pa.array([k for k, _ in made], pa.int64()), pa.array([v for _, v in made], pa.binary())], ["src", "blob"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        sums, src = np.zeros(0), table.column("src")[0].as_py() << 33
+        for blob in table.column("blob"):  # each has a row once
+            first, steps, value = unpack(blob.as_buffer())
+            own = np.concatenate([first, first + np.cumsum(steps)]) - src
+            if own[-1] >= len(sums):
+                sums = np.concatenate([sums, np.zeros(max(len(sums), int(own[-1]) + 1 - len(sums)))])
+            sums[own] += value.astype(np.uint32).view(np.float32)
+        at = np.flatnonzero(sums)  # every row has its end mark, whose probability is under one
+        return pa.table([pa.array(at + src), pa.array(sums[at])], ["rid", "score"])
+
+    dealt = coded.select("coded").mapInArrow(K.tidy(deal), "bucket long, blob binary")
+    return dealt.groupBy("bucket").applyInArrow(solve, "src long, blob binary").groupBy("src").applyInArrow(gather, "rid long, score double")
+
+
+def subtrees(tree: Tree, symbol: np.ndarray, config: Config, learned: np.ndarray, start: np.ndarray, x: np.ndarray, cs: list[np.ndarray]) -> np.ndarray:
+    """log10 of the probability of each symbol `x` after the contexts `cs`, all as ranks, newest first.
+
+    Of each the shortest context that is not hot has `start` + 1 symbols; all its occurrences are here."""
+    none, depth = len(symbol) - 1, len(cs)
+    bits = max(1, int(none).bit_length())
+    absent = int(np.flatnonzero(symbol == none)[0])
+    # distinct windows: contexts in order, the newest symbol first
+    if bits * (depth + 1) < 64:
+        key = cs[0]
+        for c in (*cs[1:], x):
+            key = (key << bits) | c
+        order = np.argsort(key)
+        del key
+    else:
+        order = np.lexsort((x, *cs[::-1]))
+    cs, x = [c[order] for c in cs], x[order]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    step = []
+    for c in cs:
+        new[1:] |= c[1:] != c[:-1]
+        step.append(new.copy())
+    new[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(new)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    n = np.bincount(of, learned, len(first))
+    start, x = start[order[first]], x[first]
+    cs = [c[first] for c in cs]
+    groups = [(np.cumsum(each) - 1)[first] for each in step]
+    del order, new, step, first, learned
+    # of the hot contexts: what the tree has
+    out, up = tree.climb(symbol[x], [symbol[c] for c in cs], start)
+    # counts, divergence and weights of the others, a level at a time
+    found = []
+    for level in range(depth):
+        g, here = groups[level], (start <= level) & (cs[level] != absent)
+        size = int(g[-1]) + 1
+        total = np.bincount(g, n, size)
+        rep = np.flatnonzero(here)  # a window of each sequence
+        of_seq = np.arange(len(rep))
+        if level < depth - 1:
+            key = (g[rep] << bits) | x[rep]
+            order = np.argsort(key)
+            key = key[order]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            of_seq[order] = np.cumsum(new) - 1
+            count = np.bincount(of_seq, n[rep])
+            rep, windows = rep[order[new]], rep
+        else:
+            count, windows = n[rep], rep
+        listed = count >= config.fewest
+        own = g[rep]
+        share = np.where(listed, (count - config.discount) / np.maximum(total[own], 1), 0.0)
+        of_window = np.zeros(len(g))
+        of_window[windows] = share[of_seq]
+        rep, own, c, s = rep[listed], own[listed], count[listed], share[listed]
+        u = up[rep]
+        mass, up_mass = np.bincount(own, c, size), np.minimum(np.bincount(own, u, size), 1 - 1e-9)
+        kinds, safe = np.bincount(own, minlength=size), np.maximum(total, 1)
+        left_over, up_rest = np.maximum(safe - mass, 0), 1 - up_mass
+        gain = np.bincount(own, c * np.log(c / safe[own] / u), size) + np.where(left_over > 0, left_over * np.log(np.maximum(left_over, 1e-300) / safe / up_rest), 0)
+        keep = (kinds > 0) & (gain > config.price * (kinds + 1) * np.log(np.maximum(total, 2)))
+        weight = np.log10(np.maximum(1 - np.bincount(own, s, size), 1e-12) / up_rest)
+        found.append((here, keep, weight, of_window))
+        up = np.where(here, of_window, up)
+    for level in range(depth - 1, 0, -1):  # with a state its suffixes
+        here, keep = found[level][:2]
+        found[level - 1][1][groups[level - 1][here & keep[groups[level]]]] = True
+    for level, (here, keep, weight, share) in enumerate(found):
+        g = groups[level]
+        state = here & keep[g]
+        out = np.where(state, np.where(share > 0, np.log10(np.where(share > 0, share, 1)), out + weight[g]), out)
+    return out[of]
 
 
 def _alphabet(words: DataFrame, texts: int, least: int) -> Alphabet:
@@ -346,7 +615,7 @@ def _alphabet(words: DataFrame, texts: int, least: int) -> Alphabet:
     return Alphabet(keys[order], column("ending"), count, kinds)
 
 
-def score(docs: DataFrame, usable: Column, config: Config = Config()) -> DataFrame:
+def score(docs: DataFrame, usable: Column, config: Config = WHOLE) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of `docs`.
 
     `usable` says which rows the model learns from."""
@@ -360,18 +629,8 @@ def score(docs: DataFrame, usable: Column, config: Config = Config()) -> DataFra
     vocabulary = (size.get(WORD, (0, 0))[1] or 0) + (texts > 0)
     base = total + 0.5 * (vocabulary + 1)
 
-    # the tree, a level at a time
     least = config.threshold(total)
     alphabet = _alphabet(words, texts, least)
-    coded = checkpoint(code(learned, alphabet))
-    levels, found = Levels([]), []
-    for _ in range(config.depth):
-        made = count_sequences(coded, levels, config).where(F.col("n") >= least).toArrow()  # at most 1 / floor rows
-        keys, n = made.column("key").to_numpy(), made.column("n").to_numpy()
-        order = np.argsort(keys)
-        levels, found = Levels([*levels.keys, keys[order]]), [*found, n[order]]
-        del made
-    tree = build(alphabet, levels, found, config)
 
     # counts of the frequent words, as many as may be broadcast, and those of the tree
     level = F.floor(F.log2("n") * 8).cast("int")
@@ -387,19 +646,20 @@ def score(docs: DataFrame, usable: Column, config: Config = Config()) -> DataFra
     known, held = known[order], held[order]
     del frequent
     pa.default_memory_pool().release_unused()
-    shared = spark.sparkContext.broadcast((alphabet, tree, known, held))
+    shared = spark.sparkContext.broadcast((alphabet, known, held))
     log_base = float(np.log10(base))
     end_value = float(np.log10(texts + 0.5))
-    names = ["rid", "doc_id", "word", "unseen", "n_tokens", "hits", "plain", "score"]
+    names = ["rid", "doc_id", "word", "unseen", "n_tokens", "hits", "plain", "score", "coded"]
 
     def run(batches):
-        alphabet, tree, known, held = shared.value
+        alphabet, known, held = shared.value
         plain_value, own_value = np.log10(held + 0.5), np.log10(held - config.discount)
         # of each class: its words together, and a word of it that was not seen
         whole = np.log10(np.maximum(alphabet.count, 1))
         unseen = np.where(alphabet.kinds > 0, np.log10(np.maximum(config.discount * alphabet.kinds, 1e-300)), 0.0)
         for batch in batches:
             rid, ids = batch.column("rid"), batch.column("doc_id")
+            numbers, learned = rid.to_numpy(), batch.column("learned").to_numpy(zero_copy_only=False)
             raw, offsets, _ = K.buffers(batch.column("text"))
             rows = batch.num_rows
             n_tokens, hits, plain, full = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
@@ -409,7 +669,7 @@ def score(docs: DataFrame, usable: Column, config: Config = Config()) -> DataFra
                 row = K.row_of(n)
                 sym = alphabet.symbols(h, ending)
                 in_class = alphabet.is_class(sym)
-                full[i:j] = np.bincount(K.row_of(n + 1), tree.score(sequence(sym, n)), j - i) - np.bincount(row[in_class], whole[sym[in_class]], j - i)
+                full[i:j] = -np.bincount(row[in_class], whole[sym[in_class]], j - i)
                 at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
                 seen = known[at] == h if len(known) else np.zeros(len(h), bool)
                 hits[i:j] = np.bincount(row[seen], minlength=j - i)
@@ -418,12 +678,30 @@ def score(docs: DataFrame, usable: Column, config: Config = Config()) -> DataFra
                 full[i:j] += np.bincount(row[both], own_value[at[both]], j - i)
                 rare = np.flatnonzero(~seen)
                 if len(rare):
-                    yield pa.RecordBatch.from_arrays([rid.take(pa.array(row[rare] + i)), pa.nulls(len(rare), pa.int64()), pa.array(h[rare].view(np.int64)), pa.array(unseen[sym[rare]]), *[pa.nulls(len(rare), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names)
-            yield pa.RecordBatch.from_arrays([rid, ids, pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.float64()), pa.array(n_tokens), pa.array(hits), pa.array(plain), pa.array(full)], names)
-
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # read back twice: the numbers of the rows must stay the same
-    both = checkpoint(numbered.mapInArrow(K.tidy(run), "rid long, doc_id long, word long, unseen double, n_tokens long, hits long, plain double, score double"))
+                    yield pa.RecordBatch.from_arrays([rid.take(pa.array(row[rare] + i)), pa.nulls(len(rare), pa.int64()), pa.array(h[rare].view(np.int64)), pa.array(unseen[sym[rare]]), *[pa.nulls(len(rare), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())]], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())] + [pa.array([_coded(numbers[i:j], learned[i:j], n, sym)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([rid, ids, pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.float64()), pa.array(n_tokens), pa.array(hits), pa.array(plain), pa.array(full), pa.nulls(rows, pa.binary())], names)
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(usable, F.lit(False)).alias("learned"))
+    # read back more than once: the numbers of the rows must stay the same
+    both = checkpoint(numbered.mapInArrow(K.tidy(run), "rid long, doc_id long, word long, unseen double, n_tokens long, hits long, plain double, score double, coded binary"))
+
+    # the tree, a level at a time: with `fewest` only below the hot contexts, the rest is made where it is used
+    coded = both.where("coded is not null").select("coded")
+    levels, found, hot = Levels([]), [], None
+    if config.fewest:
+        hot = [alphabet.count >= max(config.hot(total), 1)]
+    for level in range(config.depth):
+        made = count_sequences(coded, levels, config, hot).where(F.col("n") >= (config.fewest or least)).toArrow()
+        keys, n = made.column("key").to_numpy(), made.column("n").to_numpy()
+        order = np.argsort(keys)
+        levels, found = Levels([*levels.keys, keys[order]]), [*found, n[order]]
+        del made
+        if hot and level < config.depth - 1:
+            hot.append((found[-1] >= config.hot(total)) & (levels.keys[-1] & ((1 << _BITS) - 1) != 0))
+    tree = build(alphabet, levels, found, config, hot)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // config.bucket))
+    treed = rest(coded, tree, alphabet, config, buckets)
     rare = both.where("word is not null").select("word", "rid", "unseen")
     looked = rare.hint("merge").join(words.select(F.col("key").alias("word"), F.col("n").alias("c")).hint("merge"), "word", "left")
     c = F.coalesce("c", F.lit(0))
@@ -431,7 +709,8 @@ def score(docs: DataFrame, usable: Column, config: Config = Config()) -> DataFra
     # words that are not broadcast are in classes
     own = F.when(c > 0, F.log10(c - config.discount)).otherwise(F.col("unseen"))
     added = looked.select("rid", nothing.cast("long"), nothing.cast("long"), (c > 0).cast("long"), F.log10(c + 0.5), own)
-    scored = both.where("word is null").select("rid", "doc_id", "n_tokens", "hits", "plain", "score")
-    merged = scored.union(added).groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("hits").alias("hits"), F.sum("plain").alias("plain"), F.sum("score").alias("score"))
+    scored = both.where("rid is not null and word is null").select("rid", "doc_id", "n_tokens", "hits", "plain", "score")
+    parts = treed.select("rid", nothing.cast("long"), nothing.cast("long"), nothing.cast("long"), nothing.cast("double"), "score")
+    merged = scored.union(added).union(parts).groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("hits").alias("hits"), F.sum("plain").alias("plain"), F.sum("score").alias("score"))
     plain = F.col("plain") + F.lit(end_value) - F.col("n_tokens") * F.lit(log_base)
     return merged.select("doc_id", "n_tokens", (F.col("hits") + int(texts > 0)).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), plain.alias("base_score"), "score")
